@@ -53,11 +53,8 @@ def as_col(value: Column | str) -> Column:
 
 
 def any_of(text: Column, words) -> Column:
-    """True when one of the words occurs in the text."""
-    test = text.contains(words[0])
-    for word in words[1:]:
-        test = test | text.contains(word)
-    return test
+    """True when one of the words occurs in the text; one pass, the text is evaluated once."""
+    return text.rlike("|".join("\\Q" + word + "\\E" for word in words))
 
 
 def squeeze(value: Column | str) -> Column:
@@ -101,18 +98,23 @@ def remove_form_hints(value: Column | str) -> Column:
     return strip_chars(squeeze(F.regexp_replace(as_col(value), FORM_HINT_RE, "")), " ;,.-—")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``; for use inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_placeholder(value: Column | str) -> Column:
-    text = F.lower(squeeze(value))
-    return (
-        (text == "")
+    return let(
+        F.lower(squeeze(value)),
+        lambda text: (text == "")
         | text.isin(*PLACEHOLDERS)
         | text.startswith("распознано google drive ocr")
         | text.endswith("не распознана")
-        | text.endswith("не распознано")
+        | text.endswith("не распознано"),
     )
 
 
 def display_value(value: Column | str) -> Column:
     """Value shown in a register cell: squeezed, without form hints; placeholders become blank."""
     cleaned = remove_form_hints(squeeze(F.coalesce(as_col(value), F.lit(""))))
-    return F.when(is_placeholder(cleaned), F.lit("")).otherwise(cleaned)
+    return let(cleaned, lambda c: F.when(is_placeholder(c), F.lit("")).otherwise(c))
