@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goodsledger.functions.text import let  # noqa: F401  (re-exported)
@@ -76,3 +76,13 @@ def match_spans(text: Column, pattern: str, rank: int) -> Column:
         matches,
         lambda s, m: F.struct(s.alias("start"), F.lit(rank).alias("rank"), (s + F.length(m)).alias("end")),
     )
+
+
+def exploded(df: DataFrame, array: Column, position: str, element: str, *keep: Column | str) -> DataFrame:
+    """One row per element with its zero-based position.
+
+    An inner explode makes the optimizer add a filter on the array's size and push it below the projections
+    that compute the array, which computes it twice and unstaged. The outer form has no such filter; rows of
+    empty arrays are dropped by their missing position.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(position, element)).where(F.col(position).isNotNull())

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goodsledger.functions.arrays import hold
+from goodsledger.functions.arrays import exploded, hold
 from goodsledger.functions.documents import (
     document_form,
     is_cash_receipt,
@@ -139,7 +139,7 @@ def parse_documents(documents: DataFrame) -> DataFrame:
 
 def item_rows(parsed: DataFrame, *keys: str) -> DataFrame:
     """One row per item with its position from 1."""
-    return parsed.select(*keys, F.posexplode("items").alias("at", "item")).select(
+    return exploded(parsed, F.col("items"), "at", "item", *keys).select(
         *keys, (F.col("at") + 1).alias("item_pos"), "item.*"
     )
 

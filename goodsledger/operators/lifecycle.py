@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from goodsledger.functions.arrays import exploded
 from goodsledger.functions.similarity import normalized_similarity
 from goodsledger.functions.text import as_col, normalize_product_name
 from goodsledger.operators.matching import FOLD_LIMIT, REPLACEMENT_THRESHOLD, match_lines
@@ -31,7 +32,7 @@ def open_receivings(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     receivings = requests.drop("order_items").withColumnRenamed("receiving_id", "id").withColumn(
         "status", F.lit("receiving_started")
     ).withColumn("comment", F.lit(None).cast("string"))
-    lines = requests.select("receiving_id", F.posexplode("order_items").alias("pos", "item"))
+    lines = exploded(requests, F.col("order_items"), "pos", "item", "receiving_id")
     fields = {f.name for f in requests.schema["order_items"].dataType.elementType.fields}
 
     def field(name: str, default: Column) -> Column:

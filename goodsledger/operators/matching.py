@@ -130,8 +130,8 @@ def match_gathered(order_lines: DataFrame, invoice_lines: DataFrame) -> DataFram
     exploded = pairs.select(
         "receiving_id",
         F.when(F.size("orders") > 0, last_order).otherwise(F.lit(0)).alias("last_order_pos"),
-        F.inline(rows),
-    )
+        F.inline_outer(rows),
+    ).where(F.col("order").isNotNull() | F.col("invoice").isNotNull())
     return classify(exploded)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from goodsledger.functions.arrays import exploded
 from goodsledger.operators.extract import HEADER_COLUMNS
 
 PART_PAGES = 1000
@@ -50,7 +51,7 @@ def merge_items(pages: DataFrame) -> DataFrame:
     offsets = pages.select("doc_id", "page", F.size("items").alias("n")).select(
         "doc_id", "page", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip")
     )
-    rows = pages.select("doc_id", "page", F.posexplode("items").alias("at", "item"))
+    rows = exploded(pages, F.col("items"), "at", "item", "doc_id", "page")
     return rows.join(offsets, ["doc_id", "page"]).select(
         "doc_id", "page", (F.col("skip") + F.col("at") + 1).alias("item_pos"), "item.*"
     )
@@ -73,7 +74,7 @@ def merge_texts(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
 def merge_notes(pages: DataFrame) -> DataFrame:
     """Distinct parser notes in first-seen order: ``(doc_id, note_pos, note)``; merged documents say so first."""
     seen = (
-        pages.select("doc_id", "page", F.posexplode("parser_notes").alias("at", "note"))
+        exploded(pages, F.col("parser_notes"), "at", "note", "doc_id", "page")
         .where(F.coalesce("note", F.lit("")) != "")
         .groupBy("doc_id", "note")
         .agg(F.min(F.struct("page", "at")).alias("first"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from goodsledger.functions.arrays import exploded
 from goodsledger.functions.dates import valid_offset, valid_zone
 from goodsledger.functions.numbers import (
     float_text,
@@ -69,9 +70,8 @@ def document_headers(documents: DataFrame) -> DataFrame:
 
 def document_meta_lines(documents: DataFrame) -> DataFrame:
     """Metadata entries of the newest documents, one row each: ``(receiving_id, item_pos, meta)``."""
-    parsed = latest_documents(documents).select(
-        "receiving_id", F.posexplode(parse_document_meta("recognized_items_json")["items"]).alias("at", "meta")
-    )
+    items = parse_document_meta("recognized_items_json")["items"]
+    parsed = exploded(latest_documents(documents), items, "at", "meta", "receiving_id")
     return parsed.select("receiving_id", (F.col("at") + 1).cast("long").alias("item_pos"), "meta")
 
 
@@ -109,7 +109,7 @@ def header_payload(reviews: DataFrame) -> DataFrame:
 
 def review_lines(reviews: DataFrame) -> DataFrame:
     """Recognized items of review requests as stored lines, positions from 1."""
-    lines = reviews.select("receiving_id", F.posexplode("items").alias("at", "it"))
+    lines = exploded(reviews, F.col("items"), "at", "it", "receiving_id")
     have = {f.name for f in reviews.schema["items"].dataType.elementType.fields}
 
     def field(name: str, kind: str = "string") -> Column:
@@ -396,7 +396,7 @@ def review_issues(
         (empty("iiko_default_store_id") & empty("target_warehouse"), F.lit("не указан склад iiko/defaultStore")),
         (F.coalesce("n_items", F.lit(0)) == 0, F.lit("нет товарных позиций")),
     ]
-    header_issues = base.select(F.col("id").alias("receiving_id"), F.posexplode(_messages(rules)).alias("at", "message")).select(
+    header_issues = exploded(base, _messages(rules), "at", "message", F.col("id").alias("receiving_id")).select(
         "receiving_id", F.col("at").cast("long").alias("seq"), "message"
     )
 
@@ -426,9 +426,7 @@ def review_issues(
         (price < 0, about("некорректная цена")),
         (F.coalesce(F.col("sum"), round_even(quantity * price)) < 0, about("нет или некорректная sum")),
     ]
-    item_issues = joined.select(
-        "receiving_id", "item_pos", F.posexplode(_messages(item_rules)).alias("at", "message")
-    ).select("receiving_id", (F.col("item_pos") * 10 + F.col("at")).alias("seq"), "message")
+    item_issues = exploded(joined, _messages(item_rules), "at", "message", "receiving_id", "item_pos").select("receiving_id", (F.col("item_pos") * 10 + F.col("at")).alias("seq"), "message")
     return (
         header_issues.unionByName(item_issues)
         .groupBy("receiving_id", "message")

@@ -42,7 +42,7 @@ _SPACE = r"[\s\p{Z}\x{0085}]"
 
 @query("document_lines", rf"""
 with x as (select doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\x0b\f\r\x{{0085}}\x{{2028}}\x{{2029}}]'),
-             s -> regexp_replace(s, '^{_SPACE}+|{_SPACE}+$', '', 'g')), s -> s <> '') as lines from documents)
+             lambda s: regexp_replace(s, '^{_SPACE}+|{_SPACE}+$', '', 'g')), lambda s: s <> '') as lines from documents)
 select doc_id, unnest(generate_series(1, len(lines)))::int as line_no, unnest(lines) as line from x""")
 def _document_lines(t: Inputs):
     return document_lines(t.documents.select("doc_id", "text"))
@@ -51,9 +51,9 @@ def _document_lines(t: Inputs):
 @query("document_numbers", rf"""
 with x as (select doc_id, list_transform(regexp_extract_all(translate(text, 'Xx', '  '),
              '\d{{1,3}}(?:{_SPACE}\d{{3}})+(?:[,.]\d+)?%?|\d+(?:[,.]\d+)?%?'),
-             s -> try_cast(replace(translate(s, chr(160) || ''' %', ''), ',', '.') as double)) as n from documents),
-y as (select doc_id, list_filter(n, v -> v is not null) as n from x)
-select doc_id, len(n) as n_numbers, round(list_sum(list_transform(n, v -> least(v, 1e6))), 2) as total,
+             lambda s: try_cast(replace(translate(s, chr(160) || ''' %', ''), ',', '.') as double)) as n from documents),
+y as (select doc_id, list_filter(n, lambda v: v is not null) as n from x)
+select doc_id, len(n) as n_numbers, round(list_sum(list_transform(n, lambda v: least(v, 1e6))), 2) as total,
        round(n[1], 4) as first_number from y""")
 def _document_numbers(t: Inputs):
     numbers = t.documents.select("doc_id", numbers_in("text").alias("n"))
@@ -82,7 +82,7 @@ with x as (select doc_id as id, text, '' as kind from documents union all
          when 2 then strftime(o_orderdate, '%-d.%-m.%y') when 3 then strftime(o_orderdate, '%-d') || ' ' ||
          (['января','февраля','марта','апреля','мая','июня','июля','августа','сентября','октября','ноября','декабря'])[month(o_orderdate)]
          || ' ' || strftime(o_orderdate, '%Y') || ' г.' else 'без даты' end,
-         case when o_orderkey % 5 = 4 then 'none' else strftime(o_orderdate, case when o_orderkey % 5 = 2 then '20%y-%m-%d' else '%Y-%m-%d' end) end
+         case when o_orderkey % 5 = 4 then 'none' when o_orderkey % 5 = 2 then strftime(o_orderdate, '20%y-%m-%d') else strftime(o_orderdate, '%Y-%m-%d') end
   from orders)
 select id, kind, case when kind = 'none' then null when kind <> '' then kind else coalesce(
     case when regexp_matches(text, '\d{2}[./-]\d{2}[./-]\d{4}') then regexp_extract(text, '(\d{2})[./-](\d{2})[./-](\d{4})', 3)
@@ -184,15 +184,15 @@ def _document_numbers_found(t: Inputs):
 
 
 @query("organization_names", """
-select s_suppkey as id, 'ООО "' || s_name || '"' as organization,
-  case when s_suppkey % 2 = 0 then 'ООО "' || s_name || '", г. Москва' else null end as party,
+select s_suppkey as id, 'ООО "' || s_name || ' плюс"' as organization,
+  case when s_suppkey % 2 = 0 then 'ООО "' || s_name || ' плюс", г. Москва' else null end as party,
   'Договор ' || s_name as basis, case when s_suppkey % 3 = 0 then '' else 'ООО ' || s_name end as shown
 from supplier""")
 def _organization_names(t: Inputs):
     name = F.col("s_name")
-    long = F.concat(F.lit('Поставщик:  Общество с ограниченной  ответственностью "'), name, F.lit('" 236044, г. Москва'))
+    long = F.concat(F.lit('Поставщик:  Общество с ограниченной  ответственностью "'), name, F.lit(' плюс" 236044, г. Москва'))
     party = F.when(
-        F.col("s_suppkey") % 2 == 0, F.concat(F.lit('000 "'), name, F.lit('", г. Москва р/с 407 (организация, адрес)'))
+        F.col("s_suppkey") % 2 == 0, F.concat(F.lit('000 "'), name, F.lit(' плюс", г. Москва р/с 407 (организация, адрес)'))
     ).otherwise(F.concat(F.lit("(организация, адрес, телефон) "), name.substr(1, 0)))
     basis = F.concat(F.lit("Основание: Договор "), name, F.lit(" ."))
     shown = F.when(F.col("s_suppkey") % 3 == 0, F.lit("Поставщик  не распознан")).otherwise(
@@ -490,7 +490,7 @@ def _headed(t: Inputs) -> DataFrame:
             F.concat(F.lit("Склад / подразделение: Склад номер "), F.col("id") % 7),
             F.concat(F.lit("Основание: Договор поставки "), F.col("id") % 100),
             F.lit("Номер документа"), F.lit("Дата составления"), F.concat(F.lit("УТ-"), F.col("id") + 10000), F.date_format("created_at", "dd.MM.yyyy"),
-            F.transform("all", lambda x: x["line"]),
+            F.lit("Сумма с учетом НДС руб. коп."), F.transform("all", lambda x: x["line"]),
         ).alias("text"),
     )
 

@@ -355,8 +355,8 @@ lines as (
 @query("fill_items_from_catalogs", f"""with {FILL_SQL}
 select receiving_id, item_pos, iiko_product_id, product_article, iiko_product_name, 'шт' as amount_unit,
        'C' || cast(c_custkey as varchar) as store_id, vat_percent,
-       cast(case when vat_percent is null then null when vat_percent > 0
-            then round_even(cast(total * vat_percent / (100 + vat_percent) as decimal(28,8)), 2) else 0 end as double) as vat_sum,
+       case when vat_percent > 0 then cast(round_even(cast(cast(total * vat_percent / (100 + vat_percent) as varchar) as decimal(38,10)), 2) as double)
+            when vat_percent is not null then 0 end as vat_sum,
        'ready' as mapping_status, '' as mapping_error
 from lines""", needs=("order_lines", "receivings"))
 def _fill_items(t: Inputs):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from goodsledger.functions.arrays import exploded
 from goodsledger.schemas import CATALOG, conform
 
 # Keys a nameless entity is named after, in this order.
@@ -58,7 +59,7 @@ def parse_catalog(texts: DataFrame, kind: str) -> DataFrame:
     body = F.trim(F.col("text"))
     listed = F.from_json(F.when(body.startswith("["), body), f"array<struct<{_fields()}>>")
     wrapped = F.from_json(F.when(body.startswith("{"), body), f"items array<struct<{_fields()}>>")["items"]
-    rows = texts.select(F.posexplode(F.coalesce(listed, wrapped)).alias("at", "e")).where(F.col("e").isNotNull())
+    rows = exploded(texts, F.coalesce(listed, wrapped), "at", "e").where(F.col("e").isNotNull())
     return _entities(rows.select(F.col("at").cast("long").alias("entity_pos"), "e.*"), kind)
 
 

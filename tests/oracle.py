@@ -65,7 +65,9 @@ def compare(spark, con, name: str, sf_dir: str):
         note = f"columns {sorted(df.columns)} != {sorted(columns)}"
     elif got != want:
         a, b = [r for r in got if r not in set(want)], [r for r in want if r not in set(got)]
-        note = f"{len(got)} vs {len(want)} rows; spark only {a[:2]}; sql only {b[:2]}"
+        names = sorted(columns)
+        odd = [(n, x, y) for n, x, y in zip(names, a[0], b[0]) if x != y] if a and b else ""
+        note = f"{len(got)} vs {len(want)} rows, {len(a)}/{len(b)} differ: {odd}; spark only {a[:1]}; sql only {b[:1]}"
     return note == "", len(got), spark_s, note or f"sql {sql_s:.1f}s"
 
 
