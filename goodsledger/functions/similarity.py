@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from goodsledger.functions.text import as_col, name_tokens, normalize_product_name
+from goodsledger.functions.text import as_col, let, name_tokens, normalize_product_name
 
 
 def token_similarity(left: Column, right: Column, left_tokens: Column, right_tokens: Column) -> Column:
@@ -13,12 +13,16 @@ def token_similarity(left: Column, right: Column, left_tokens: Column, right_tok
 
     Takes normalized texts with their distinct tokens, so callers tokenize each line once.
     """
-    shared = F.size(F.array_intersect(left_tokens, right_tokens))
-    total = F.size(left_tokens) + F.size(right_tokens) - shared
+    both = F.size(left_tokens) + F.size(right_tokens)
+    # shared / (both - shared), with the intersection evaluated once
+    jaccard = let(
+        F.size(F.array_intersect(left_tokens, right_tokens)),
+        lambda shared: shared / F.greatest(both - shared, F.lit(1)),
+    )
     return (
         F.when((left == "") | (right == ""), F.lit(0.0))
         .when(left.contains(right) | right.contains(left), F.lit(1.0))
-        .otherwise(shared / F.greatest(total, F.lit(1)))
+        .otherwise(jaccard)
     )
 
 

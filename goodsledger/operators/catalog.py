@@ -80,9 +80,12 @@ def _best_of_block(names: list[str], texts: pd.DataFrame) -> Iterator[tuple[str,
             if ch in alphabet:
                 own[alphabet[ch]] += 1
         # matching blocks cannot hold more characters than the texts share
-        bound = 2.0 * np.minimum(counts, own).sum(axis=1) / (sizes + len(name))
+        shared = np.minimum(counts, own).sum(axis=1)
+        bound = 2.0 * shared / (sizes + len(name))
         best: tuple[float, tuple[int, int]] | None = None
-        for row, word in enumerate(words):
+        # one text can only contain the other when it has all of its characters
+        for row in np.flatnonzero(shared == np.minimum(sizes, len(name))):
+            word = words[row]
             if name in word or word in name:
                 bound[row] = -1.0
                 short, long = sorted((len(name), len(word)))

@@ -54,13 +54,13 @@ with x as (select doc_id, list_transform(regexp_extract_all(translate(text, 'Xx'
              lambda s: try_cast(replace(translate(s, chr(160) || ''' %', ''), ',', '.') as double)) as n from documents),
 y as (select doc_id, list_filter(n, lambda v: v is not null) as n from x)
 select doc_id, len(n) as n_numbers, round(list_sum(list_transform(n, lambda v: least(v, 1e6))), 2) as total,
-       round(n[1], 4) as first_number from y""")
+       n[1] as first_number from y""")
 def _document_numbers(t: Inputs):
     numbers = t.documents.select("doc_id", numbers_in("text").alias("n"))
     total = F.aggregate("n", F.lit(0.0), lambda acc, v: acc + F.least(v, F.lit(1e6)))
     return numbers.select(
         "doc_id", F.size("n").alias("n_numbers"),
-        F.when(F.size("n") > 0, F.round(total, 2)).alias("total"), F.round(F.get("n", F.lit(0)), 4).alias("first_number"),
+        F.when(F.size("n") > 0, F.round(total, 2)).alias("total"), F.get("n", F.lit(0)).alias("first_number"),
     )
 
 
