@@ -18,7 +18,7 @@ BLOCK = """
 Товарная накладная имеет приложение на
 """
 INLINE = """
-ООО "Заря"
+ООО Заря
 Накладная №А-55 от 04.05.2024
 Гречка ядрица 4 кг 80 320
 """
@@ -119,7 +119,7 @@ def test_block_rows(parsed):
 def test_inline_row_and_header(parsed):
     row = parsed["inline"]
     assert items(row) == [("Гречка ядрица", 4.0, "кг", 80.0, 320.0, None, None)]
-    assert (row.supplier, row.invoice_number, row.invoice_date) == ('ООО "Заря"', "А-55", "2024-05-04")
+    assert (row.supplier, row.invoice_number, row.invoice_date) == ("ООО Заря", "А-55", "2024-05-04")
     assert row.total_sum == 320.0 and row.document_form == "Накладная"
 
 
