@@ -36,6 +36,19 @@ HEADER_COLUMNS = (
 )
 
 
+def spread(documents: DataFrame) -> DataFrame:
+    """Spread documents over all shuffle partitions before parsing.
+
+    Parsing is heavy per byte. Adaptive execution merges small shuffle partitions by bytes, which would leave most
+    cores idle; an explicit partition count is kept as it is.
+    """
+    session = documents.sparkSession
+    count = max(
+        int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism
+    )
+    return documents.repartition(count)
+
+
 def with_kind(documents: DataFrame) -> DataFrame:
     """Line arrays and document kind: receipt, universal transfer document, continuation page."""
     lines = F.col("lines")

@@ -29,7 +29,7 @@ from goodsledger.functions.products import clean_name, is_product_name
 from goodsledger.functions.text import blank_to_null, display_value, normalize_catalog_text, squeeze
 from goodsledger.functions.units import normalize_unit
 from goodsledger.operators import pages as paging
-from goodsledger.operators.extract import item_rows, parse_documents, route_useful, with_kind
+from goodsledger.operators.extract import item_rows, parse_documents, route_useful, spread, with_kind
 from goodsledger.operators.extract_items import with_items
 from goodsledger.plans.registry import Inputs, query
 from goodsledger.sources import registers
@@ -147,7 +147,7 @@ def _document_kinds(t: Inputs):
 @query("parse_documents")
 def _parse_documents(t: Inputs):
     """Every header field and the items of the whole documents table."""
-    parsed = route_useful(parse_documents(t.documents.select("doc_id", "text")))
+    parsed = route_useful(parse_documents(spread(t.documents.select("doc_id", "text"))))
     return parsed.select(
         "doc_id", "supplier", "invoice_number", "invoice_date", "document_form", "supplier_inn", "consignee", "recipient",
         "warehouse", "basis", "total_sum", F.size("items").alias("n_items"), "parser_provider",
@@ -350,7 +350,7 @@ def render(t: Inputs, line: Column, head: str, tail: Column, lines: DataFrame |
 
 
 def parsed_items(documents: DataFrame) -> DataFrame:
-    return item_rows(with_items(with_kind(documents)), "doc_id").select(
+    return item_rows(with_items(with_kind(spread(documents))), "doc_id").select(
         "doc_id", "item_pos", "name", "quantity", "unit", "price", "sum", "vat", "vat_percent", "vat_sum"
     )
 
@@ -504,7 +504,7 @@ select r.id as doc_id, 'ООО "' || supplier || '", ИНН ' || cast(7700000000
        (select cast(sum(cast(quantity * price as decimal(24,2))) as double) from order_lines o where o.receiving_id = r.id) as total_sum
 from receivings r where id in (select receiving_id from order_lines)""", needs=("order_lines", "receivings"))
 def _waybill_headers(t: Inputs):
-    return parse_documents(_headed(t)).select(
+    return parse_documents(spread(_headed(t))).select(
         "doc_id", "supplier", "supplier_inn", "consignee", "recipient", "warehouse", "basis", "invoice_number", "invoice_date",
         "document_form", "total_sum",
     )
@@ -598,7 +598,7 @@ select 'invoice_' || cast(receiving_id as varchar) as file, item_pos as line_num
        'ready' as mapping_status, cast(null as varchar) as mapping_error
 from order_lines where item_pos % 5 <> 4""", needs=("order_lines",))
 def _register_items(t: Inputs):
-    return registers.register_to_items(registers.register_rows(registers.with_records(register_texts(t))))
+    return registers.register_to_items(registers.register_rows(registers.with_records(spread(register_texts(t)))))
 
 
 @query("register_headers", """
@@ -606,7 +606,7 @@ select distinct 'invoice_' || cast(receiving_id as varchar) as file, 'ООО "Р
        'N-' || cast(receiving_id as varchar) as invoice_number, '2024-05-06' as invoice_date, '' as venue, 'Основной склад' as warehouse
 from order_lines""", needs=("order_lines",))
 def _register_headers(t: Inputs):
-    rows = registers.register_rows(registers.with_records(register_texts(t)))
+    rows = registers.register_rows(registers.with_records(spread(register_texts(t))))
     return registers.register_to_header(rows).select("file", "supplier", "invoice_number", "invoice_date", "venue", "warehouse")
 
 
@@ -646,14 +646,14 @@ select 'review_' || cast(receiving_id as varchar) as file, f.field,
        case f.field when 'Поставщик' then 'ООО "Лир", Москва' when 'Номер накладной' then 'D-' || cast(receiving_id as varchar) else 'Кухня' end as value
 from r cross join (select unnest(['Поставщик', 'Номер накладной', 'Склад / подразделение']) as field) f""", needs=("order_lines",))
 def _summary_blocks(t: Inputs):
-    return registers.read_summary_blocks(registers.with_records(summary_texts(t)))
+    return registers.read_summary_blocks(registers.with_records(spread(summary_texts(t))))
 
 
 @query("summary_headers", """
 select distinct 'review_' || cast(receiving_id as varchar) as file, 'ООО "Лир", Москва' as supplier, 'D-' || cast(receiving_id as varchar) as invoice_number,
        'Кухня' as iiko_default_store_id, '' as venue from order_lines""", needs=("order_lines",))
 def _summary_headers(t: Inputs):
-    blocks = registers.read_summary_blocks(registers.with_records(summary_texts(t)))
+    blocks = registers.read_summary_blocks(registers.with_records(spread(summary_texts(t))))
     return registers.summary_to_header(blocks).select("file", "supplier", "invoice_number", "iiko_default_store_id", "venue")
 
 
@@ -663,4 +663,4 @@ select 'review_' || cast(receiving_id as varchar) as file, item_pos as line_numb
        'ready' as mapping_status, cast(null as varchar) as mapping_error
 from order_lines""", needs=("order_lines",))
 def _legacy_items(t: Inputs):
-    return registers.read_legacy_items(registers.with_records(summary_texts(t)))
+    return registers.read_legacy_items(registers.with_records(spread(summary_texts(t))))
