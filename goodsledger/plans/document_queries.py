@@ -485,8 +485,8 @@ def _headed(t: Inputs) -> DataFrame:
         F.col("id").alias("doc_id"),
         F.concat_ws(
             "\n", F.lit("Унифицированная форма No ТОРГ-12"),
-            F.concat(F.lit('Поставщик ООО "'), F.col("supplier"), F.lit('", ИНН '), F.lit(7700000000) + F.col("id"), F.lit(" (организация, адрес)")),
-            F.lit("Грузополучатель"), F.concat(F.lit('ООО "'), F.col("venue"), F.lit('", г. Москва р/с 4070')),
+            F.concat(F.lit('Поставщик ООО "'), F.col("supplier"), F.lit(' плюс", ИНН '), F.lit(7700000000) + F.col("id"), F.lit(" (организация, адрес)")),
+            F.lit("Грузополучатель"), F.concat(F.lit('ООО "'), F.col("venue"), F.lit(' плюс", г. Москва р/с 4070')),
             F.concat(F.lit("Склад / подразделение: Склад номер "), F.col("id") % 7),
             F.concat(F.lit("Основание: Договор поставки "), F.col("id") % 100),
             F.lit("Номер документа"), F.lit("Дата составления"), F.concat(F.lit("УТ-"), F.col("id") + 10000), F.date_format("created_at", "dd.MM.yyyy"),
@@ -496,9 +496,9 @@ def _headed(t: Inputs) -> DataFrame:
 
 
 @query("waybill_headers", """
-select r.id as doc_id, 'ООО "' || supplier || '", ИНН ' || cast(7700000000 + id as varchar) as supplier,
-       cast(7700000000 + id as varchar) as supplier_inn, 'ООО "' || venue || '", г. Москва' as consignee,
-       'ООО "' || venue || '", г. Москва' as recipient, 'номер ' || cast(id % 7 as varchar) as warehouse,
+select r.id as doc_id, 'ООО "' || supplier || ' плюс", ИНН ' || cast(7700000000 + id as varchar) as supplier,
+       cast(7700000000 + id as varchar) as supplier_inn, 'ООО "' || venue || ' плюс", г. Москва' as consignee,
+       'ООО "' || venue || ' плюс", г. Москва' as recipient, 'номер ' || cast(id % 7 as varchar) as warehouse,
        'Договор поставки ' || cast(id % 100 as varchar) as basis, 'УТ-' || cast(id + 10000 as varchar) as invoice_number,
        strftime(created_at, '%Y-%m-%d') as invoice_date, 'ТОРГ-12' as document_form,
        (select cast(sum(cast(quantity * price as decimal(24,2))) as double) from order_lines o where o.receiving_id = r.id) as total_sum
