@@ -6,6 +6,7 @@ import base64
 from functools import lru_cache
 
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 
@@ -51,3 +52,13 @@ def encode_text(coder: tiktoken.Encoding, text: str, pattern: str = public_token
     if len(text) <= SPLIT_LIMIT:
         return coder.encode_ordinary(text)
     return [i for word in splitter(pattern).finditer(text) for i in encode_word(coder, word.group())]
+
+
+@lru_cache(maxsize=2)
+def byte_table(ranks: bytes) -> pa.LargeBinaryArray:
+    """The bytes of each id, at its place. Ids that the file leaves free have none."""
+    known = token_bytes(ranks)
+    table: list[bytes | None] = [None] * (max(known.values(), default=-1) + 1)
+    for token, rank in known.items():
+        table[rank] = token
+    return pa.array(table, pa.large_binary())

@@ -9,6 +9,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from goodsledger.session import ensure_checkpoint_dir, ship_package
 
@@ -44,7 +47,7 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_arrow(df: DataFrame, func, schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, func, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with the package shipped to the workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(func, schema)
@@ -59,6 +62,31 @@ def byte_texts(batch: pa.RecordBatch) -> list[bytes]:
     return batch.column(TEXT).cast(pa.binary()).to_pylist()
 
 
+def packed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``intake`` beside the whole row as one struct, for operators that return rows with all their columns."""
+    return docs.select(
+        F.struct("*").alias("row"),
+        F.col(quoted(id_col)).alias(ID),
+        F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias(TEXT),
+    )
+
+
+def derive(rows: DataFrame, func, fields: str) -> DataFrame:
+    """Columns that ``func(texts) -> {name: values}`` makes of the whole texts, beside all of ``rows`` but the text."""
+    made = T.StructType.fromDDL(fields)
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != TEXT), *made.fields])
+
+    def run(batches):
+        kinds = to_arrow_schema(made)
+        for batch in batches:
+            columns = {name: batch.column(name) for name in batch.schema.names if name != TEXT}
+            found = func(byte_texts(batch))
+            columns |= {k.name: pa.array(found[k.name], k.type) for k in kinds}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return in_arrow(rows, run, schema)
+
+
 def per_batch(batches: Iterable[pa.RecordBatch], build) -> Iterator[pa.RecordBatch]:
     """Apply ``build(ids, texts) -> arrays by name`` to each batch that has rows."""
     for batch in batches:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from goodsledger.llm import exact_dedup, packing, simhash, url_filter
+from goodsledger.llm import bpe, exact_dedup, packing, quality_rules, secrets, simhash, url_filter
 from goodsledger.llm.common import read
 
 
@@ -22,10 +22,22 @@ def op3_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op7_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(read(spark, sf_dir, "documents"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read(spark, sf_dir, "documents"))
+
+
 EXACT_SQL = """
 with hashed as (select doc_id, sha256(coalesce(text, '')) as text_sha256, coalesce(text, '') as body from documents),
      kept as (select body, max(doc_id) as keep_id, count(*) as group_size from hashed group by body)
@@ -34,7 +46,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from h
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pack_documents, op2_url_verdicts, op3_exact_duplicates, op6_simhash_components)
+    found = (op1_pack_documents, op2_url_verdicts, op3_exact_duplicates, op4_quality_rules, op6_simhash_components, op7_secret_spans, op8_byte_bpe)
     return {query.__name__: query for query in found}
 
 
