@@ -92,7 +92,7 @@ def exact_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", *, diges
     """
     rows = identified(docs, id_col, text_col, digest_of)
     stays = F.max(F.struct(F.col(ID).alias("keep_id"), (-F.col("row")).alias("nth"))).alias("stays")
-    groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), stays)
+    groups = store(rows.groupBy("recipe").agg(F.count("*").alias("group_size"), stays), "text-groups")
     return rows.join(groups, "recipe").select(
         F.col(ID).alias(id_col),
         F.col("stays.keep_id").alias("keep_id"),
