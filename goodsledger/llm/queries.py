@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from goodsledger.llm import bpe, exact_dedup, packing, quality_rules, secrets, simhash, url_filter
+from goodsledger.llm import bpe, exact_dedup, licenses, packing, quality_model, quality_rules, secrets, simhash, toxicity, url_filter
 from goodsledger.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
@@ -38,6 +42,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op9_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(read(spark, sf_dir, "documents"))
+
+
 EXACT_SQL = """
 with hashed as (select doc_id, sha256(coalesce(text, '')) as text_sha256, coalesce(text, '') as body from documents),
      kept as (select body, max(doc_id) as keep_id, count(*) as group_size from hashed group by body)
@@ -45,10 +57,19 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from h
 """
 
 
+QUERIES = (
+    op1_pack_documents, op2_url_verdicts, op3_exact_duplicates, op4_quality_rules, op5_toxicity,
+    op6_simhash_components, op7_secret_spans, op8_byte_bpe, op9_quality_scores, op10_license_labels,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_pack_documents, op2_url_verdicts, op3_exact_duplicates, op4_quality_rules, op6_simhash_components, op7_secret_spans, op8_byte_bpe)
-    return {query.__name__: query for query in found}
+    return {query.__name__: query for query in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_verdicts": url_filter.verdict_sql(), "op3_exact_duplicates": EXACT_SQL}
+    return {
+        "op2_url_verdicts": url_filter.verdict_sql(),
+        "op3_exact_duplicates": EXACT_SQL,
+        "op10_license_labels": licenses.labels_sql(),
+    }
