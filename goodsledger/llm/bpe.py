@@ -7,23 +7,26 @@ number, and the block's positions turn into ids. Decoding looks every id up in t
 as large as the vocabulary whatever the corpus.
 
 Both sides of a block come from one function over the same table, so the input must be a stored table (or any
-plan that gives the same rows in the same order again); block checksums stop the job if it is not.
+plan that gives the same rows in the same order again). A block's name is a digest of its contents; if the
+sides differ, the names do not meet and the job stops.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from goodsledger.llm import bpe_tables
 from goodsledger.llm.common import ID, byte_texts, id_type, in_arrow, intake
 
 #: Bytes of text that a block holds; a longer document is a block of its own.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 
 
 class Block:
@@ -31,74 +34,112 @@ class Block:
 
     def __init__(self):
         self.numbers: dict[str, int] = {}
-        self.rows: list[tuple] = []
+        self.keys: list = []
+        self.found: list[np.ndarray] = []
         self.size = 0
         self.check = xxhash.xxh3_64()
 
     def add(self, key, text: bytes, split) -> None:
         self.check.update(text)
+        self.check.update(str(len(text)))
         self.size += len(text)
         numbers = self.numbers
         found = [numbers.setdefault(word, len(numbers)) for word in split.findall(text.decode())]
-        self.rows.append((key, np.array(found, dtype="<u4").tobytes()))
+        self.keys.append(key)
+        self.found.append(np.array(found, dtype=np.uint32))
+
+    def ranked(self) -> tuple[list[str], np.ndarray]:
+        """The words by falling frequency, equal ones in order of the word; each number's place in that list."""
+        words = sorted(self.numbers)
+        first = np.fromiter((self.numbers[w] for w in words), np.int64, len(words))
+        counts = np.bincount(np.concatenate(self.found), minlength=len(words)) if words else np.zeros(0, np.int64)
+        order = np.argsort(-counts[first], kind="stable")
+        place = np.empty(len(words), np.uint32)
+        place[first[order]] = np.arange(len(words), dtype=np.uint32)
+        return [words[i] for i in order], place
+
+    def name(self, task: int, n: int) -> int:
+        """Of the block's place and contents; 63 bits."""
+        self.check.update(f"{task} {n}")
+        return self.check.intdigest() >> 1
 
 
 def blocks(batches, block_bytes: int):
-    """(block number, block) of one task, in the order of its rows."""
+    """(name, block) of one task, in the order of its rows."""
     task, n, split = TaskContext.get().partitionId(), 0, bpe_tables.splitter()
     block = Block()
     for batch in batches:
-        for key, text in zip(batch.column(ID), byte_texts(batch), strict=True):
-            if block.rows and block.size + len(text) > block_bytes:
-                yield task << 32 | n, block
+        for key, text in zip(batch.column(ID).to_pylist(), byte_texts(batch), strict=True):
+            if block.keys and block.size + len(text) > block_bytes:
+                yield block.name(task, n), block
                 block, n = Block(), n + 1
-            block.add(key.as_py(), text, split)
-    if block.rows:
-        yield task << 32 | n, block
+            block.add(key, text, split)
+    if block.keys:
+        yield block.name(task, n), block
+
+
+def packed_numbers(numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Seven bits a byte, the highest set where more follow; and where each number ends."""
+    sizes = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(5):
+        has = sizes > k
+        more = (sizes[has] > k + 1).astype(np.uint8) << 7
+        out[ends[has] - sizes[has] + k] = (numbers[has] >> np.uint32(7 * k)).astype(np.uint8) & 127 | more
+    return out.tobytes(), ends
+
+
+def unpacked_numbers(data: bytes) -> np.ndarray:
+    """The numbers of ``packed_numbers``."""
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate([np.zeros(min(1, len(ends)), np.int64), ends[:-1] + 1])
+    numbers = np.zeros(len(ends), np.int64)
+    for k in range(5):
+        at = starts + k
+        has = at <= ends
+        numbers[has] |= (raw[at[has]] & 127).astype(np.int64) << 7 * k
+    return numbers
 
 
 def word_rows(rows: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, check, number, word): each distinct word of each block."""
+    """(block, number, word): each distinct word of each block, the commonest first."""
 
     def run(batches):
-        for at, block in blocks(batches, block_bytes):
-            words = pa.array(block.numbers, pa.string())
+        for name, block in blocks(batches, block_bytes):
+            words, _ = block.ranked()
             n = len(words)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array(np.full(n, at)),
-                    "check": pa.array(np.full(n, block.check.intdigest(), np.uint64).view(np.int64)),
-                    "number": pa.array(np.arange(n, dtype=np.int32)),
-                    "word": words,
-                }
-            )
+            columns = {"block": np.full(n, name), "number": np.arange(n, dtype=np.int32), "word": pa.array(words, pa.string())}
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return in_arrow(rows, run, "block long, check long, number int, word string")
+    return in_arrow(rows, run, "block long, number int, word string")
 
 
 def position_rows(rows: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, check, _id, positions): each document as the numbers of its words in order."""
+    """(block, _id, positions): each document as the packed numbers of its words in order."""
+    id_arrow = to_arrow_type(rows.schema[ID].dataType)
 
     def run(batches):
-        for at, block in blocks(batches, block_bytes):
-            n = len(block.rows)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array(np.full(n, at)),
-                    "check": pa.array(np.full(n, block.check.intdigest(), np.uint64).view(np.int64)),
-                    ID: pa.array([key for key, _ in block.rows], batch_type),
-                    "positions": pa.array([numbers for _, numbers in block.rows], pa.binary()),
-                }
-            )
+        for name, block in blocks(batches, block_bytes):
+            _, place = block.ranked()
+            data, ends = packed_numbers(place[np.concatenate(block.found)])
+            last = np.cumsum([0, *map(len, block.found)])
+            cuts = np.concatenate([[0], ends])[last]
+            found = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            columns = {"block": np.full(len(found), name), ID: pa.array(block.keys, id_arrow)}
+            yield pa.RecordBatch.from_pydict(columns | {"positions": pa.array(found, pa.binary())})
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    return in_arrow(rows, run, f"block long, {ID} {id_type(rows)}, positions binary")
 
-    batch_type = to_arrow_type(rows.schema[ID].dataType)
-    return in_arrow(rows, run, f"block long, check long, {ID} {id_type(rows)}, positions binary")
 
+def width(ranks: bytes) -> str:
+    """Smallest unsigned type for the ids between the two shuffles."""
+    return "<u2" if max(bpe_tables.token_bytes(ranks).values(), default=0) < 1 << 16 else "<u4"
 
-def encoded_words(words: DataFrame, ranks) -> DataFrame:
-    """(block, check, number, ids): words of all blocks side by side, each distinct one encoded once."""
+
+def encoded_words(words: DataFrame, ranks, kind: str) -> DataFrame:
+    """(block, number, ids): the words of all blocks side by side, each distinct one encoded once."""
 
     def run(batches):
         coder, last, codes = bpe_tables.encoding(ranks.value), None, b""
@@ -107,32 +148,31 @@ def encoded_words(words: DataFrame, ranks) -> DataFrame:
             made = []
             for word in found.dictionary.to_pylist():
                 if word != last:
-                    last, codes = word, np.array(bpe_tables.encode_word(coder, word), dtype="<u4").tobytes()
+                    last, codes = word, np.array(bpe_tables.encode_word(coder, word), dtype=kind).tobytes()
                 made.append(codes)
-            kept = {name: batch.column(name) for name in ("block", "check", "number")}
+            kept = {name: batch.column(name) for name in ("block", "number")}
             yield pa.RecordBatch.from_pydict(kept | {"ids": pa.array(made, pa.binary()).take(found.indices)})
 
     together = words.repartition("word").sortWithinPartitions("word")
-    return in_arrow(together, run, "block long, check long, number int, ids binary")
+    return in_arrow(together, run, "block long, number int, ids binary")
 
 
-def reassemble(positions: pa.Table, words: pa.Table) -> pa.Table:
+def reassemble(positions: pa.Table, words: pa.Table, kind: str) -> pa.Table:
     """Ids of the documents of one block."""
-    checks = set(positions["check"].unique().to_pylist()) | set(words["check"].unique().to_pylist())
-    if len(checks) > 1:
+    packed = positions["positions"].to_pylist()
+    if not packed or (any(packed) and not len(words)):
         raise ValueError("the input gave other rows when read again; store it first")
-    order = np.argsort(words["number"].to_numpy())
-    coded = words["ids"].take(pa.array(order)).to_pylist()
-    flat = np.frombuffer(b"".join(coded), dtype="<u4")
-    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+    order = pa.array(np.argsort(words["number"].to_numpy()))
+    ids = words["ids"].take(order).combine_chunks() if len(words) else pa.array([], pa.binary())
+    sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(kind).itemsize
+    flat = np.frombuffer(b"".join(ids.to_pylist()), dtype=kind)
     starts = np.cumsum(sizes) - sizes
     out = []
-    for numbers in positions["positions"].to_pylist():
-        at = np.frombuffer(numbers, dtype="<u4")
+    for data in packed:
+        at = unpacked_numbers(data)
         each = sizes[at]
-        ends = np.cumsum(each)
-        shift = np.repeat(starts[at] - (ends - each), each)
-        out.append(flat[shift + np.arange(len(shift))].tobytes())
+        shift = np.repeat(starts[at] - (np.cumsum(each) - each), each)
+        out.append(flat[shift + np.arange(len(shift))].astype("<u4").tobytes())
     return pa.table({ID: positions[ID], "ids": pa.array(out, pa.binary())})
 
 
@@ -142,14 +182,11 @@ def encode(docs: DataFrame, id_col="doc_id", text_col="text", *, ranks: str | No
     Null and empty texts have no ids. Null and repeated ids stay as they are. An empty table gives no rows.
     """
     rows = intake(docs, id_col, text_col)
-    sent = rows.sparkSession.sparkContext.broadcast(bpe_tables.rank_file(ranks or bpe_tables.ranks_path()))
-    words = encoded_words(word_rows(rows, block_bytes), sent)
-    positions = position_rows(rows, block_bytes)
-    return (
-        positions.groupBy("block")
-        .cogroup(words.groupBy("block"))
-        .applyInArrow(reassemble, f"{ID} {id_type(rows)}, ids binary")
-    )
+    table = bpe_tables.rank_file(ranks or bpe_tables.ranks_path())
+    kind = width(table)
+    words = encoded_words(word_rows(rows, block_bytes), rows.sparkSession.sparkContext.broadcast(table), kind)
+    blocked = position_rows(rows, block_bytes).groupBy("block").cogroup(words.groupBy("block"))
+    return blocked.applyInArrow(lambda left, right: reassemble(left, right, kind), f"{ID} {id_type(rows)}, ids binary")
 
 
 def decode(coded: DataFrame, *, ranks: str | None = None) -> DataFrame:
