@@ -1,10 +1,12 @@
 """SimHash near-duplicates: fingerprints by shingle majority, pigeonhole blocks, Hamming check, components.
 
-Fingerprints are 64 bits. Two of them that differ in at most ``max_bits`` (2) bits agree on two of any four
-blocks they are split into, so they share one of six keys of two blocks. Distinct fingerprints are joined on
-these keys and the pairs checked. A key with more than ``BUCKET`` fingerprints is not joined but split again:
-the bits outside the key form four smaller blocks, of which the pair again shares two. After the third split a
-key fixes 56 bits, so no bucket ever holds more than 256 fingerprints, whatever the data.
+A fingerprint has one or more lanes of 64 bits, each a SimHash of its own. Two lanes that differ in at most k bits
+agree on two of any k + 2 blocks they are split into, so they share a key of two blocks. Distinct fingerprints
+are joined on these keys, lane by lane, and the pairs checked by their Hamming distance over all lanes. A lane
+makes a pair at one key only, that of its first two shared blocks. A key with more
+than ``BUCKET`` fingerprints is not joined but split again: the bits outside the key form k + 2 smaller blocks,
+of which a close pair again shares two. With k = 2 the third split fixes 56 bits, so that no bucket ever holds
+more than 256 fingerprints of one lane.
 
 Copies meet in the distinct fingerprints and are never paired. Components of the links are found by alternating
 large-star and small-star steps on the distinct fingerprints; every step is a written table.
@@ -12,19 +14,21 @@ large-star and small-star steps on the distinct fingerprints; every step is a wr
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from math import acos, pi
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goodsledger.llm.common import ID, id_type, in_arrow, intake, keep_rows, per_batch, store
+from goodsledger.llm.common import ID, derive, intake, keep_rows, store
 
 #: Fingerprints of one key up to which they are compared as they are.
 BUCKET = 64
-BLOCKS, LEVELS = 4, 3
+#: A key that fixes so many bits is not split further.
+SPLIT_UP_TO = 52
 
 
 def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
@@ -52,79 +56,100 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", *, shingle=3, seed=42) -> DataFrame:
-    """(_id, _sha, fp) per row; fp is the fingerprint as a signed long. Null, empty and wordless texts have 0."""
-    rows = intake(docs, id_col, text_col).withColumn("_sha", F.sha2("_text", 256))
-
-    def build(ids: pa.Array, texts: list[bytes]) -> dict:
-        found = np.array([majority(shingle_hashes(t, shingle, seed)) for t in texts], dtype=np.uint64)
-        return {ID: ids, "fp": pa.array(found.view(np.int64))}
+def lane_hashes(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """The hashes themselves for lane 0; others by mixing them with the lane's number."""
+    if not lane:
+        return hashes
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * lane % (1 << 64))
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
-    def with_sha(batches):
-        for batch in batches:
-            for made in per_batch([batch], build):
-                yield pa.RecordBatch.from_pydict({ID: made[0], "_sha": batch.column("_sha"), "fp": made[1]})
 
-    return in_arrow(rows, with_sha, f"{ID} {id_type(rows)}, _sha string, fp long")
+def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", *, shingle=3, seed=42, lanes=1) -> DataFrame:
+    """(_id, _sha, lanes) per row; lanes are signed longs. Null, empty and wordless texts have zeros."""
+    rows = intake(docs, id_col, text_col).withColumn("_sha", F.sha2("_text", 256))
 
+    def build(texts: list[bytes]) -> dict:
+        found = np.zeros((len(texts), lanes), dtype=np.uint64)
+        for i, text in enumerate(texts):
+            hashes = shingle_hashes(text, shingle, seed)
+            found[i] = [majority(lane_hashes(hashes, lane)) for lane in range(lanes)]
+        return {"lanes": list(found.view(np.int64))}
 
-def block_masks() -> list[list[list[int]]]:
-    """Per level and parent mask, the masks of the keys: two of the four blocks of the bits still free."""
-    levels, parents = [], [0]
-    for _ in range(LEVELS):
-        masks = []
-        for parent in parents:
-            free = [bit for bit in range(64) if not parent >> bit & 1]
-            width = len(free) // BLOCKS
-            blocks = [sum(1 << bit for bit in free[i * width : (i + 1) * width]) for i in range(BLOCKS)]
-            masks.append([parent | a | b for a, b in combinations(blocks, 2)])
-        levels.append(masks)
-        parents = [mask for of_parent in masks for mask in of_parent]
-    return levels
+    return derive(rows, build, "lanes array<long>")
 
 
 def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def keyed(rows: DataFrame, masks: list[list[int]]) -> DataFrame:
-    """Explode (slot, fp) to the keys of the next level: (slot, key, fp)."""
-    table = F.array(*[F.array(*[F.lit(signed(m)).cast("long") for m in of]) for of in masks])
-    at = F.posexplode(F.element_at(table, F.col("slot") + 1)).alias("nth", "mask")
-    return rows.select("slot", "fp", at).select(
-        (F.col("slot") * len(masks[0]) + F.col("nth")).alias("slot"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
-    )
+def split_masks(parents: list[dict], blocks: int) -> list[dict]:
+    """The keys of the next level: two blocks of the bits that the parent leaves free.
+
+    ``mask``: all bits fixed; ``differ``: blocks that a pair made at this key must not share, here and above.
+    """
+    out = []
+    for parent in parents:
+        free = [bit for bit in range(64) if not parent["mask"] >> bit & 1]
+        cuts = [len(free) * i // blocks for i in range(blocks + 1)]
+        parts = [sum(1 << bit for bit in free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        for p, q in combinations(range(blocks), 2):
+            before = [parts[i] for i in range(q) if i != p]
+            out.append(
+                {"parent": parent["slot"], "slot": len(out), "mask": parent["mask"] | parts[p] | parts[q], "differ": parent["differ"] + before}
+            )
+    return out
+
 
+def close_pairs(prints: DataFrame, lanes: int, lane_bits: int, max_bits: int) -> DataFrame:
+    """Pairs (a < b) of the nodes of the stored ``prints`` that differ in at most ``max_bits`` over all lanes.
 
-def differing(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
-def close_pairs(prints: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Pairs (a < b) of the distinct ``fp`` of ``prints`` that differ in at most ``max_bits`` (0 to 2) bits."""
-    if not 0 <= max_bits <= BLOCKS - 2:
-        raise ValueError("two of four blocks are shared only up to two differing bits")
-    found = []
-    rows = prints.select(F.lit(0).alias("slot"), "fp")
-    for level, masks in enumerate(block_masks()):
-        keys = store(keyed(rows, masks), "simhash-keys")
-        sizes = keys.groupBy("slot", "key").agg(F.count("*").alias("members"))
-        small = sizes.where(F.col("members") > 1)
-        if level + 1 < LEVELS:
-            large = sizes.where(F.col("members") > BUCKET).select("slot", "key")
-            rows = keys.join(large, ["slot", "key"]).select("slot", "fp")
-            small = small.where(F.col("members") <= BUCKET)
-        joined = keys.join(small.select("slot", "key"), ["slot", "key"])
-        left = joined.select("slot", "key", F.col("fp").alias("a"))
-        right = joined.select("slot", "key", F.col("fp").alias("b"))
-        close = (F.col("a") < F.col("b")) & (differing(F.col("a"), F.col("b")) <= max_bits)
-        found.append(left.join(right, ["slot", "key"]).where(close).select("a", "b"))
-        if level + 1 < LEVELS and rows.isEmpty():
+    Every such pair with a lane that differs in at most ``lane_bits`` is found; with one lane and equal limits
+    that is every pair. Others are found where they share a key all the same.
+    """
+    spark, blocks = prints.sparkSession, lane_bits + 2
+    near_bits = max_bits if lanes == 1 else max(lane_bits, 3 * max_bits // (2 * lanes))
+    level = [{"slot": 0, "mask": 0, "differ": []}]
+    rows = prints.select(F.lit(0).alias("slot"), "node", F.posexplode("lanes").alias("lane", "value"))
+    found = None
+    while True:
+        level = split_masks(level, blocks)
+        table = [(m["parent"], m["slot"], signed(m["mask"])) for m in level]
+        masks = F.broadcast(spark.createDataFrame(table, "slot int, next int, mask long"))
+        key = F.col("value").bitwiseAND(F.col("mask")).alias("key")
+        keys = rows.join(masks, "slot").select("lane", F.col("next").alias("slot"), key, "node", "value")
+        sizes = keys.groupBy("lane", "slot", "key").agg(F.count("*").alias("members")).where("members > 1")
+        last = min(m["mask"].bit_count() for m in level) >= SPLIT_UP_TO
+        sizes = store(sizes, "simhash-buckets")
+        joined = keys.join(sizes if last else sizes.where(F.col("members") <= BUCKET), ["lane", "slot", "key"])
+        left = joined.select("lane", "slot", "key", F.col("node").alias("a"), F.col("value").alias("a_value"))
+        right = joined.select("lane", "slot", "key", F.col("node").alias("b"), F.col("value").alias("b_value"))
+        pairs = left.join(right, ["lane", "slot", "key"]).where(made_here(level, near_bits)).select("a", "b")
+        found = pairs if found is None else found.union(pairs)
+        if last:
+            break
+        hot = keys.join(sizes.where(F.col("members") > BUCKET), ["lane", "slot", "key"])
+        rows = store(hot.select("slot", "node", "lane", "value"), "simhash-hot")
+        if rows.isEmpty():
             break
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    return pairs.distinct()
+    return found if lanes == 1 else verified(found.distinct(), prints, lanes, max_bits)
+
+
+def made_here(level: list[dict], near_bits: int) -> Column:
+    """Whether the pair's values are close and this key is the first they share in this lane."""
+    x = F.col("a_value").bitwiseXOR(F.col("b_value"))
+    must_differ = F.element_at(F.lit([[signed(d) for d in m["differ"]] or [-1] for m in level]), F.col("slot") + 1)
+    first = F.forall(must_differ, lambda block: (x.bitwiseAND(block) != 0) | (block == -1))
+    return (F.col("a") < F.col("b")) & (F.bit_count(x) <= near_bits) & first
+
+
+def verified(pairs: DataFrame, prints: DataFrame, lanes: int, max_bits: int) -> DataFrame:
+    """The pairs whose Hamming distance over all lanes is at most ``max_bits``."""
+    a = prints.select(F.col("node").alias("a"), F.col("lanes").alias("a_lanes"))
+    b = prints.select(F.col("node").alias("b"), F.col("lanes").alias("b_lanes"))
+    apart = [F.bit_count(F.col("a_lanes")[i].bitwiseXOR(F.col("b_lanes")[i])) for i in range(lanes)]
+    return pairs.join(a, "a").join(b, "b").where(reduce(lambda x, y: x + y, apart) <= max_bits).select("a", "b")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -163,11 +188,12 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots)
 
 
-def fingerprint_classes(marks: DataFrame, max_bits: int) -> DataFrame:
-    """(fp, root): the class of every distinct fingerprint; lone ones are their own root."""
-    prints = marks.select("fp").distinct()
-    linked = components(close_pairs(prints, max_bits))
-    return prints.join(linked, prints["fp"] == linked["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+def classes_of(marks: DataFrame, lane_bits: int, max_bits: int, lanes: int) -> DataFrame:
+    """Stored (lanes, root): the class of every distinct fingerprint."""
+    prints = store(marks.select("lanes").distinct().withColumn("node", F.monotonically_increasing_id()), "fingerprint-nodes")
+    linked = components(close_pairs(prints, lanes, lane_bits, max_bits)).withColumnRenamed("node", "linked")
+    rooted = prints.join(linked, F.col("node") == F.col("linked"), "left")
+    return store(rooted.select("lanes", F.coalesce("root", "node").alias("root")), "fingerprint-classes")
 
 
 def simhash_components(docs: DataFrame, id_col="doc_id", text_col="text", *, shingle=3, seed=42, max_bits=2) -> DataFrame:
@@ -177,22 +203,36 @@ def simhash_components(docs: DataFrame, id_col="doc_id", text_col="text", *, shi
     to each other and to any other fingerprint close to zero. An empty table gives no rows.
     """
     marks = store(fingerprints(docs, id_col, text_col, shingle=shingle, seed=seed), "fingerprints")
-    classes = store(fingerprint_classes(marks, max_bits), "fingerprint-classes")
-    least = marks.groupBy("fp").agg(F.min(ID).alias("least"))
-    named = (
-        least.join(classes, "fp").groupBy("root").agg(F.min("least").alias("component_id")).join(classes, "root").select("fp", "component_id")
-    )
-    return marks.join(named, "fp").select(
-        F.col(ID).alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    classes = classes_of(marks, max_bits, max_bits, 1)
+    least = marks.groupBy("lanes").agg(F.min(ID).alias("least")).join(classes, "lanes")
+    named = least.groupBy("root").agg(F.min("least").alias("component_id")).join(classes, "root")
+    named = store(named.select("lanes", "component_id"), "fingerprint-components")
+    return marks.join(named, "lanes").select(
+        F.col(ID).alias(id_col), F.lower(F.lpad(F.hex(F.col("lanes")[0]), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", *, shingle=3, seed=42, max_bits=2) -> DataFrame:
+#: Settings of ``drop_near_duplicates``: words of a shingle, lanes, bits within a lane, and the similarity kept apart.
+WORDS, LANES, LANE_BITS, SIMILARITY = 5, 6, 4, 0.8
+
+
+def bits_of(similarity: float, lanes: int) -> int:
+    """Expected distance over all lanes of two texts that share this part of their shingles.
+
+    A bit differs with the angle between the shingle vectors over pi; two sets of one size with Jaccard
+    similarity s have the cosine 2 s / (1 + s).
+    """
+    return int(64 * lanes * acos(2 * similarity / (1 + similarity)) / pi)
+
+
+def drop_near_duplicates(
+    docs: DataFrame, id_col="doc_id", text_col="text", *, shingle=WORDS, seed=42, lanes=LANES, lane_bits=LANE_BITS, similarity=SIMILARITY
+) -> DataFrame:
     """One row of each component stays, with all columns: smallest id, null ids last, then smallest text hash."""
-    marks = store(fingerprints(docs, id_col, text_col, shingle=shingle, seed=seed), "fingerprints")
-    classes = store(fingerprint_classes(marks, max_bits), "fingerprint-classes")
+    marks = store(fingerprints(docs, id_col, text_col, shingle=shingle, seed=seed, lanes=lanes), "fingerprints")
+    classes = classes_of(marks, lane_bits, bits_of(similarity, lanes), lanes)
     order = F.struct(F.col(ID).isNull().alias("none"), F.col(ID), F.col("_sha"))
-    best = marks.groupBy("fp", ID, "_sha").agg(F.count("*").alias("copies"))
-    best = best.groupBy("fp").agg(F.min_by(F.struct(ID, "_sha", "copies"), order).alias("row"), F.min(order).alias("place"))
-    kept = best.join(classes, "fp").groupBy("root").agg(F.min_by("row", "place").alias("row")).select("row.*")
+    best = marks.groupBy("lanes", ID, "_sha").agg(F.count("*").alias("copies"))
+    best = best.groupBy("lanes").agg(F.min_by(F.struct(ID, "_sha", "copies"), order).alias("row"), F.min(order).alias("place"))
+    kept = best.join(classes, "lanes").groupBy("root").agg(F.min_by("row", "place").alias("row")).select("row.*")
     return keep_rows(docs, id_col, text_col, kept)
