@@ -71,5 +71,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_verdicts": url_filter.verdict_sql(),
         "op3_exact_duplicates": EXACT_SQL,
+        "op7_secret_spans": secrets.spans_sql(),
         "op10_license_labels": licenses.labels_sql(),
     }

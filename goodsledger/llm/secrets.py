@@ -193,3 +193,41 @@ def mask_secrets(
             value = F.when(F.col("spans").isNull(), value).otherwise(F.length("masked").cast(field.dataType))
         out.append(value.alias(field.name))
     return rows.select(*out)
+
+
+def spans_sql(scope: int = SCOPE) -> str:
+    """The same as ``secret_spans`` over a table ``documents`` for the checking engine; links are sought among all pairs."""
+
+    def text_of(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    found = " union all ".join(
+        f"""select t, {n} as kind, i, length(gaps[i]) + length(ms[i]) as step, length(ms[i]) as size,
+        length(regexp_extract(ms[i], {text_of(k.pattern)}, {k.group})) >= {k.least} as counts
+        from (select t, ms, gaps, unnest(range(1, len(ms) + 1)) as i from
+              (select t, regexp_extract_all(t, {text_of(k.pattern)}) as ms, string_split_regex(t, {text_of(k.pattern)}) as gaps from texts))"""
+        for n, k in enumerate(KINDS)
+    )
+    roles = ", ".join(f"({n}, '{k.name}', '{k.role}', {str(k.weak).lower()})" for n, k in enumerate(KINDS))
+    needs = ", ".join(f"('{role}', '{need}')" for role, needed in NEEDS.items() for need in needed)
+    return f"""
+with texts as (select distinct coalesce(text, '') as t from documents),
+found as ({found}),
+kinds(kind, name, role, weak) as (values {roles}),
+needs(role, need) as (values {needs}),
+ends as (select *, sum(step) over (partition by t, kind order by i) as "end" from found),
+parts as (select t, kind, name, role, weak, "end" - size as start, "end" from ends join kinds using (kind) where counts),
+met as (select distinct w.t, w.kind, w.start, w."end", n.need from parts w join needs n using (role) join parts o
+        on o.t = w.t and o.role = n.need and (o.start - w."end" between 0 and {scope} or w.start - o."end" between 0 and {scope})
+        where w.weak),
+linked as (select t, kind, start, "end" from met join kinds using (kind)
+           group by t, kind, start, "end", role having count(*) = (select count(*) from needs x where x.role = kinds.role)),
+reported as (select t, kind, start, "end", name, kind < {len(BASE)} as base from
+             (select t, kind, start, "end" from parts where not weak union all select * from linked) join kinds using (kind)),
+by_text as (select t, {", ".join(f"count(*) filter (kind = {n}) as n_{k.name}" for n, k in enumerate(BASE))},
+            string_agg(name || ':' || start || ':' || "end", ',' order by start, kind) filter (base) as b,
+            string_agg(name || ':' || start || ':' || "end", ',' order by start, kind) as s from reported group by t)
+select doc_id, {", ".join(f"coalesce(n_{k.name}, 0) as n_{k.name}" for k in BASE)},
+       sha256(coalesce(b, '')) as base_sha256, coalesce(s, '') as spans
+from documents left join by_text on by_text.t = coalesce(text, '')
+"""
