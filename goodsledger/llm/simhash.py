@@ -2,11 +2,11 @@
 
 A fingerprint has one or more lanes of 64 bits, each a SimHash of its own. Two lanes that differ in at most k bits
 agree on two of any k + 2 blocks they are split into, so they share a key of two blocks. Distinct fingerprints
-are joined on these keys, lane by lane, and the pairs checked by their Hamming distance over all lanes. A lane
-makes a pair at one key only, that of its first two shared blocks. A key with more
-than ``BUCKET`` fingerprints is not joined but split again: the bits outside the key form k + 2 smaller blocks,
-of which a close pair again shares two. With k = 2 the third split fixes 56 bits, so that no bucket ever holds
-more than 256 fingerprints of one lane.
+are joined on these keys, lane by lane, and the pairs checked by their Hamming distance over all lanes. A pair
+is made at one key only, that of its first two shared blocks. A key with more than ``BUCKET`` values is not
+joined but split again: the bits outside the key form k + 2 smaller blocks, of which a close pair again shares
+two. With k = 2 the third split fixes 56 bits, so that no bucket ever holds more than 256 values. With several
+lanes, fingerprints that agree in a whole lane are linked to the smallest of them, which stands for all in that lane.
 
 Copies meet in the distinct fingerprints and are never paired. Components of the links are found by alternating
 large-star and small-star steps on the distinct fingerprints; every step is a written table.
@@ -27,8 +27,8 @@ from goodsledger.llm.common import ID, derive, intake, keep_rows, store
 
 #: Fingerprints of one key up to which they are compared as they are.
 BUCKET = 64
-#: A key that fixes so many bits is not split further.
-SPLIT_UP_TO = 52
+#: Times that a crowded key is split at most.
+LEVELS = 3
 
 
 def shingle_hashes(text: bytes, size: int, seed: int) -> np.ndarray:
@@ -84,21 +84,18 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def split_masks(parents: list[dict], blocks: int) -> list[dict]:
-    """The keys of the next level: two blocks of the bits that the parent leaves free.
+def split_masks(parents: list[tuple[int, int]], blocks: int) -> list[tuple[int, int, int, list[int]]]:
+    """The keys of the next level, two blocks of the bits that a parent (slot, mask) leaves free.
 
-    ``mask``: all bits fixed; ``differ``: blocks that a pair made at this key must not share, here and above.
+    (parent slot, slot, all bits fixed, blocks that a pair made at this key must not share).
     """
     out = []
-    for parent in parents:
-        free = [bit for bit in range(64) if not parent["mask"] >> bit & 1]
+    for slot, fixed in parents:
+        free = [bit for bit in range(64) if not fixed >> bit & 1]
         cuts = [len(free) * i // blocks for i in range(blocks + 1)]
         parts = [sum(1 << bit for bit in free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         for p, q in combinations(range(blocks), 2):
-            before = [parts[i] for i in range(q) if i != p]
-            out.append(
-                {"parent": parent["slot"], "slot": len(out), "mask": parent["mask"] | parts[p] | parts[q], "differ": parent["differ"] + before}
-            )
+            out.append((slot, len(out), fixed | parts[p] | parts[q], [parts[i] for i in range(q) if i != p]))
     return out
 
 
@@ -106,42 +103,45 @@ def close_pairs(prints: DataFrame, lanes: int, lane_bits: int, max_bits: int) ->
     """Pairs (a < b) of the nodes of the stored ``prints`` that differ in at most ``max_bits`` over all lanes.
 
     Every such pair with a lane that differs in at most ``lane_bits`` is found; with one lane and equal limits
-    that is every pair. Others are found where they share a key all the same.
+    that is every pair. Others are found where they share a key all the same. Nodes that agree in a lane are
+    linked to the smallest of them, and only that one is compared in this lane.
     """
     spark, blocks = prints.sparkSession, lane_bits + 2
     near_bits = max_bits if lanes == 1 else max(lane_bits, 3 * max_bits // (2 * lanes))
-    level = [{"slot": 0, "mask": 0, "differ": []}]
-    rows = prints.select(F.lit(0).alias("slot"), "node", F.posexplode("lanes").alias("lane", "value"))
-    found = None
-    while True:
-        level = split_masks(level, blocks)
-        table = [(m["parent"], m["slot"], signed(m["mask"])) for m in level]
-        masks = F.broadcast(spark.createDataFrame(table, "slot int, next int, mask long"))
+    values = prints.select("node", F.posexplode("lanes").alias("lane", "value"))
+    rows = store(values.groupBy("lane", "value").agg(F.min("node").alias("node")), "simhash-values").withColumn("slot", F.lit(0))
+    found, parents = [], [(0, 0)]
+    for level in range(1, LEVELS + 1):
+        table = split_masks(parents, blocks)
+        parents = [(slot, mask) for _, slot, mask, _ in table]
+        masks = spark.createDataFrame([(parent, slot, signed(mask)) for parent, slot, mask, _ in table], "slot int, next int, mask long")
         key = F.col("value").bitwiseAND(F.col("mask")).alias("key")
-        keys = rows.join(masks, "slot").select("lane", F.col("next").alias("slot"), key, "node", "value")
-        sizes = keys.groupBy("lane", "slot", "key").agg(F.count("*").alias("members")).where("members > 1")
-        last = min(m["mask"].bit_count() for m in level) >= SPLIT_UP_TO
-        sizes = store(sizes, "simhash-buckets")
-        joined = keys.join(sizes if last else sizes.where(F.col("members") <= BUCKET), ["lane", "slot", "key"])
+        keys = rows.join(F.broadcast(masks), "slot").select("lane", F.col("next").alias("slot"), key, "node", "value")
+        sizes = store(keys.groupBy("lane", "slot", "key").agg(F.count("*").alias("members")).where("members > 1"), "simhash-buckets")
+        joined = keys.join(sizes if level == LEVELS else sizes.where(F.col("members") <= BUCKET), ["lane", "slot", "key"])
         left = joined.select("lane", "slot", "key", F.col("node").alias("a"), F.col("value").alias("a_value"))
         right = joined.select("lane", "slot", "key", F.col("node").alias("b"), F.col("value").alias("b_value"))
-        pairs = left.join(right, ["lane", "slot", "key"]).where(made_here(level, near_bits)).select("a", "b")
-        found = pairs if found is None else found.union(pairs)
-        if last:
-            break
-        hot = keys.join(sizes.where(F.col("members") > BUCKET), ["lane", "slot", "key"])
-        rows = store(hot.select("slot", "node", "lane", "value"), "simhash-hot")
+        x = F.col("a_value").bitwiseXOR(F.col("b_value"))
+        close = (F.col("a") < F.col("b")) & (F.bit_count(x) <= near_bits)
+        if level == 1:
+            close &= first_shared(x, [differ for *_, differ in table])
+        found.append(left.join(right, ["lane", "slot", "key"]).where(close).select("a", "b"))
+        rows = store(
+            keys.join(sizes.where(F.col("members") > BUCKET), ["lane", "slot", "key"]).select("lane", "value", "node", "slot"), "simhash-crowded"
+        )
         if rows.isEmpty():
             break
-    return found if lanes == 1 else verified(found.distinct(), prints, lanes, max_bits)
+    pairs = reduce(DataFrame.union, found).distinct()
+    if lanes == 1:
+        return pairs
+    least = values.groupBy("lane", "value").agg(F.min("node").alias("a")).join(values.withColumnRenamed("node", "b"), ["lane", "value"])
+    return verified(pairs, prints, lanes, max_bits).union(least.where("a < b").select("a", "b")).distinct()
 
 
-def made_here(level: list[dict], near_bits: int) -> Column:
-    """Whether the pair's values are close and this key is the first they share in this lane."""
-    x = F.col("a_value").bitwiseXOR(F.col("b_value"))
-    must_differ = F.element_at(F.lit([[signed(d) for d in m["differ"]] or [-1] for m in level]), F.col("slot") + 1)
-    first = F.forall(must_differ, lambda block: (x.bitwiseAND(block) != 0) | (block == -1))
-    return (F.col("a") < F.col("b")) & (F.bit_count(x) <= near_bits) & first
+def first_shared(x: Column, differ: list[list[int]]) -> Column:
+    """Whether the slot's two blocks are the first that a pair with the differing bits ``x`` shares."""
+    blocks = F.element_at(F.lit([[signed(block) for block in blocks] or [-1] for blocks in differ]), F.col("slot") + 1)
+    return F.forall(blocks, lambda block: (x.bitwiseAND(block) != 0) | (block == -1))
 
 
 def verified(pairs: DataFrame, prints: DataFrame, lanes: int, max_bits: int) -> DataFrame:
