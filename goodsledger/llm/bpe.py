@@ -1,32 +1,26 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Documents are taken in blocks of bounded size. Within a block each pre-token becomes the number of its word, so
-positions are kept as lists of small numbers, and each distinct word of the block becomes one row. The word
-rows of all blocks meet by word, where each distinct word is encoded once; the ids go back to their block and
-number, and the block's positions turn into ids. Decoding looks every id up in the token-byte table, which is
-as large as the vocabulary whatever the corpus.
-
-Both sides of a block come from one function over the same table, so the input must be a stored table (or any
-plan that gives the same rows in the same order again). A block's name is a digest of its contents; if the
-sides differ, the names do not meet and the job stops.
+positions are kept as packed lists of small numbers, and each distinct word of the block becomes one row. Both are
+stored once, bucketed by block. The word rows of all blocks meet by word, where each distinct word is encoded
+once; the ids go back, packed by block, and join the block's positions where those lie. Decoding joins every id
+to the token-byte table, which is as large as the vocabulary whatever the corpus.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from goodsledger.llm import bpe_tables
-from goodsledger.llm.common import ID, byte_texts, id_type, in_arrow, intake
+from goodsledger.llm.common import ID, TEXT, id_type, in_arrow, intake, store_bucketed
 
 #: Bytes of text that a block holds; a longer document is a block of its own.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 24 << 20
 
 
 class Block:
@@ -37,11 +31,8 @@ class Block:
         self.keys: list = []
         self.found: list[np.ndarray] = []
         self.size = 0
-        self.check = xxhash.xxh3_64()
 
     def add(self, key, text: bytes, split) -> None:
-        self.check.update(text)
-        self.check.update(str(len(text)))
         self.size += len(text)
         numbers = self.numbers
         found = [numbers.setdefault(word, len(numbers)) for word in split.findall(text.decode())]
@@ -58,24 +49,26 @@ class Block:
         place[first[order]] = np.arange(len(words), dtype=np.uint32)
         return [words[i] for i in order], place
 
-    def name(self, task: int, n: int) -> int:
-        """Of the block's place and contents; 63 bits."""
-        self.check.update(f"{task} {n}")
-        return self.check.intdigest() >> 1
+    def positions(self, place: np.ndarray) -> list[bytes]:
+        """Per document the packed places of its words in order."""
+        data, ends = packed_numbers(place[np.concatenate(self.found)])
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, self.found)])]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def blocks(batches, block_bytes: int):
-    """(name, block) of one task, in the order of its rows."""
+    """(number, block) of one task."""
     task, n, split = TaskContext.get().partitionId(), 0, bpe_tables.splitter()
     block = Block()
     for batch in batches:
-        for key, text in zip(batch.column(ID).to_pylist(), byte_texts(batch), strict=True):
+        for key, value in zip(batch.column(ID), batch.column(TEXT).cast(pa.binary()), strict=True):
+            text = value.as_py()
             if block.keys and block.size + len(text) > block_bytes:
-                yield block.name(task, n), block
+                yield task << 32 | n, block
                 block, n = Block(), n + 1
-            block.add(key, text, split)
+            block.add(key.as_py(), text, split)
     if block.keys:
-        yield block.name(task, n), block
+        yield task << 32 | n, block
 
 
 def packed_numbers(numbers: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -103,34 +96,24 @@ def unpacked_numbers(data: bytes) -> np.ndarray:
     return numbers
 
 
-def word_rows(rows: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, number, word): each distinct word of each block, the commonest first."""
+def tokenized(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """Stored rows of two kinds: (block, number, word), the commonest word first, and (block, _id, positions)."""
+    id_arrow = to_arrow_type(rows.schema[ID].dataType)
 
     def run(batches):
-        for name, block in blocks(batches, block_bytes):
-            words, _ = block.ranked()
-            n = len(words)
-            columns = {"block": np.full(n, name), "number": np.arange(n, dtype=np.int32), "word": pa.array(words, pa.string())}
-            yield pa.RecordBatch.from_pydict(columns)
-
-    return in_arrow(rows, run, "block long, number int, word string")
+        for at, block in blocks(batches, block_bytes):
+            words, place = block.ranked()
+            yield batch_of(at, len(words), id_arrow, number=np.arange(len(words), dtype=np.int32), word=words)
+            yield batch_of(at, len(block.keys), id_arrow, key=block.keys, positions=block.positions(place))
 
+    schema = f"block long, number int, word string, {ID} {id_type(rows)}, positions binary"
+    return store_bucketed(in_arrow(rows, run, schema), "block", "words")
 
-def position_rows(rows: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, _id, positions): each document as the packed numbers of its words in order."""
-    id_arrow = to_arrow_type(rows.schema[ID].dataType)
 
-    def run(batches):
-        for name, block in blocks(batches, block_bytes):
-            _, place = block.ranked()
-            data, ends = packed_numbers(place[np.concatenate(block.found)])
-            last = np.cumsum([0, *map(len, block.found)])
-            cuts = np.concatenate([[0], ends])[last]
-            found = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-            columns = {"block": np.full(len(found), name), ID: pa.array(block.keys, id_arrow)}
-            yield pa.RecordBatch.from_pydict(columns | {"positions": pa.array(found, pa.binary())})
-
-    return in_arrow(rows, run, f"block long, {ID} {id_type(rows)}, positions binary")
+def batch_of(block: int, n: int, id_arrow, number=None, word=None, key=None, positions=None) -> pa.RecordBatch:
+    kinds = {"number": (number, pa.int32()), "word": (word, pa.string()), ID: (key, id_arrow), "positions": (positions, pa.binary())}
+    columns = {name: pa.nulls(n, kind) if values is None else pa.array(values, kind) for name, (values, kind) in kinds.items()}
+    return pa.RecordBatch.from_pydict({"block": pa.array(np.full(n, block, np.int64))} | columns)
 
 
 def width(ranks: bytes) -> str:
@@ -139,39 +122,52 @@ def width(ranks: bytes) -> str:
 
 
 def encoded_words(words: DataFrame, ranks, kind: str) -> DataFrame:
-    """(block, number, ids): the words of all blocks side by side, each distinct one encoded once."""
+    """(block, numbers, sizes, ids): words of all blocks side by side, each distinct one encoded once, packed by block.
+
+    A task packs the ids of its words, a partition of the shuffle by word.
+    """
 
     def run(batches):
         coder, last, codes = bpe_tables.encoding(ranks.value), None, b""
+        blocks, numbers, made = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         for batch in batches:
             found = batch.column("word").dictionary_encode()
-            made = []
+            known = []
             for word in found.dictionary.to_pylist():
                 if word != last:
                     last, codes = word, np.array(bpe_tables.encode_word(coder, word), dtype=kind).tobytes()
-                made.append(codes)
-            kept = {name: batch.column(name) for name in ("block", "number")}
-            yield pa.RecordBatch.from_pydict(kept | {"ids": pa.array(made, pa.binary()).take(found.indices)})
+                known.append(codes)
+            made += map(known.__getitem__, found.indices.to_pylist())
+            blocks.append(batch.column("block").to_numpy())
+            numbers.append(batch.column("number").to_numpy().astype(np.int64))
+        at, number = np.concatenate(blocks), np.concatenate(numbers)
+        order = np.lexsort((number, at))
+        for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+            if len(part):
+                ids = [made[i] for i in part]
+                steps = np.diff(number[part], prepend=0).astype(np.uint32)
+                sizes = np.fromiter(map(len, ids), np.uint32, len(ids)) // np.dtype(kind).itemsize
+                packed = {"numbers": packed_numbers(steps)[0], "sizes": packed_numbers(sizes)[0], "ids": b"".join(ids)}
+                yield pa.RecordBatch.from_pylist([{"block": int(at[part[0]])} | packed])
 
     together = words.repartition("word").sortWithinPartitions("word")
-    return in_arrow(together, run, "block long, number int, ids binary")
+    return in_arrow(together, run, "block long, numbers binary, sizes binary, ids binary")
 
 
 def reassemble(positions: pa.Table, words: pa.Table, kind: str) -> pa.Table:
     """Ids of the documents of one block."""
-    packed = positions["positions"].to_pylist()
-    if not packed or (any(packed) and not len(words)):
-        raise ValueError("the input gave other rows when read again; store it first")
-    order = pa.array(np.argsort(words["number"].to_numpy()))
-    ids = words["ids"].take(order).combine_chunks() if len(words) else pa.array([], pa.binary())
-    sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(kind).itemsize
-    flat = np.frombuffer(b"".join(ids.to_pylist()), dtype=kind)
-    starts = np.cumsum(sizes) - sizes
+    numbers = [np.cumsum(unpacked_numbers(n)) for n in words["numbers"].to_pylist()]
+    sizes = [unpacked_numbers(s) for s in words["sizes"].to_pylist()]
+    flat = np.frombuffer(b"".join(words["ids"].to_pylist()), dtype=kind)
+    place = np.concatenate([np.zeros(0, np.int64), *numbers])
+    each = np.concatenate([np.zeros(0, np.int64), *sizes])
+    size_of, start_of = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    size_of[place], start_of[place] = each, np.cumsum(each) - each
     out = []
-    for data in packed:
-        at = unpacked_numbers(data)
-        each = sizes[at]
-        shift = np.repeat(starts[at] - (np.cumsum(each) - each), each)
+    for value in positions["positions"]:
+        at = unpacked_numbers(value.as_py())
+        counts = size_of[at]
+        shift = np.repeat(start_of[at] - (np.cumsum(counts) - counts), counts)
         out.append(flat[shift + np.arange(len(shift))].astype("<u4").tobytes())
     return pa.table({ID: positions[ID], "ids": pa.array(out, pa.binary())})
 
@@ -184,8 +180,11 @@ def encode(docs: DataFrame, id_col="doc_id", text_col="text", *, ranks: str | No
     rows = intake(docs, id_col, text_col)
     table = bpe_tables.rank_file(ranks or bpe_tables.ranks_path())
     kind = width(table)
-    words = encoded_words(word_rows(rows, block_bytes), rows.sparkSession.sparkContext.broadcast(table), kind)
-    blocked = position_rows(rows, block_bytes).groupBy("block").cogroup(words.groupBy("block"))
+    found = tokenized(rows, block_bytes)
+    words = found.where(F.col("number").isNotNull()).select("block", "number", "word")
+    coded = encoded_words(words, rows.sparkSession.sparkContext.broadcast(table), kind)
+    positions = found.where(F.col("number").isNull()).select("block", ID, "positions")
+    blocked = positions.groupBy("block").cogroup(coded.groupBy("block"))
     return blocked.applyInArrow(lambda left, right: reassemble(left, right, kind), f"{ID} {id_type(rows)}, ids binary")
 
 

@@ -47,6 +47,17 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``store`` as a table bucketed by ``key``: later grouping by the key needs no shuffle of these rows."""
+    spark = df.sparkSession
+    name = f"goodsledger_{label}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
+    writer.bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def in_arrow(df: DataFrame, func, schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with the package shipped to the workers."""
     ship_package(df.sparkSession)
