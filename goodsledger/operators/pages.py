@@ -1,7 +1,7 @@
 """Pages of one document merged into one header and one run of items.
 
-Nothing is gathered per document beyond bounded parts: header fields are map-side combined minima by page, items
-stay rows, the joined text comes in parts of ``part_pages`` pages.
+Nothing is gathered per document: header fields are map-side combined minima by page, items and page texts stay
+rows in page order.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from goodsledger.functions.arrays import exploded
 from goodsledger.operators.extract import HEADER_COLUMNS
 
-PART_PAGES = 1000
 NOTE_MERGED = "Многостраничная накладная: объединено файлов/страниц: "
 
 
@@ -57,18 +56,13 @@ def merge_items(pages: DataFrame) -> DataFrame:
     )
 
 
-def merge_texts(pages: DataFrame, part_pages: int = PART_PAGES) -> DataFrame:
-    """Raw texts under page titles: ``(doc_id, part, raw_text)``, one part up to ``part_pages`` pages."""
+def merge_texts(pages: DataFrame) -> DataFrame:
+    """Raw texts under page titles, ``(doc_id, page, raw_text)``; in page order, joined by a blank line, the document's."""
     tagged = F.concat(
         F.lit("--- File "), F.col("page").cast("string"), F.lit(": "), F.col("file_name"), F.lit(" ---\n"),
         F.coalesce("text", F.lit("")),
     )
-    return (
-        pages.select("doc_id", "page", tagged.alias("body"))
-        .groupBy("doc_id", F.floor((F.col("page") - 1) / part_pages).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("page", "body"))).alias("all"))
-        .select("doc_id", "part", F.array_join(F.transform("all", lambda x: x["body"]), "\n\n").alias("raw_text"))
-    )
+    return pages.select("doc_id", "page", tagged.alias("raw_text"))
 
 
 def merge_notes(pages: DataFrame) -> DataFrame:

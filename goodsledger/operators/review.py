@@ -75,9 +75,12 @@ def document_meta_lines(documents: DataFrame) -> DataFrame:
     return parsed.select("receiving_id", (F.col("at") + 1).cast("long").alias("item_pos"), "meta")
 
 
-def with_meta(items: DataFrame, documents: DataFrame) -> DataFrame:
-    """Items with the metadata entry of the same position, null where there is none."""
-    return items.join(document_meta_lines(documents), ["receiving_id", "item_pos"], "left")
+def with_meta(items: DataFrame, meta_lines: DataFrame) -> DataFrame:
+    """Items with the metadata entry of the same position, null where there is none.
+
+    ``meta_lines`` come from ``document_meta_lines`` or ``stored_meta_lines``.
+    """
+    return items.join(meta_lines, ["receiving_id", "item_pos"], "left")
 
 
 # ---------------------------------------------------------------- intake
@@ -240,28 +243,32 @@ def create_reviews(
     return receivings, mapped_headers, mapped_lines, review_items(lines)
 
 
-def stored_meta(headers: DataFrame, lines: DataFrame, part_lines: int = 10_000) -> DataFrame:
-    """Metadata as stored JSON, ``(receiving_id, part, recognized_items_json)``.
+def stored_meta(headers: DataFrame, lines: DataFrame) -> DataFrame:
+    """Metadata as stored JSON, one row for the header (position 0) and one for each line.
 
-    One part for ordinary documents; a document with more than ``part_lines`` lines is stored in several parts,
-    so no task gathers an unbounded group.
+    ``(receiving_id, item_pos, recognized_items_json)``; each text has the shape ``parse_document_meta`` reads.
     """
     item_fields = [f.name for f in META_ITEM.fields if f.name in lines.columns]
     head_fields = [f.name for f in META_HEADER.fields if f.name in headers.columns]
-    packed = (
-        lines.groupBy("receiving_id", F.floor((F.col("item_pos") - 1) / part_lines).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("item_pos", F.struct(*item_fields).alias("line")))).alias("all"))
-        .select("receiving_id", "part", F.transform("all", lambda x: x["line"]).alias("items"))
-    )
-    joined = headers.join(packed, "receiving_id", "left")
-    return joined.select(
-        "receiving_id",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.to_json(
-            F.struct(F.struct(*head_fields).alias("header"), F.coalesce("items", F.array()).alias("items")),
-            {"ignoreNullFields": "false"},
-        ).alias("recognized_items_json"),
-    )
+    keep = {"ignoreNullFields": "false"}
+    head = F.to_json(F.struct(F.struct(*head_fields).alias("header"), F.array().alias("items")), keep)
+    line = F.to_json(F.struct(F.struct(F.lit(None).cast("string").alias("iiko_supplier_id")).alias("header"), F.array(F.struct(*item_fields)).alias("items")), keep)
+    return headers.select(
+        "receiving_id", F.lit(0).cast("long").alias("item_pos"), head.alias("recognized_items_json")
+    ).unionByName(lines.select("receiving_id", F.col("item_pos").cast("long").alias("item_pos"), line.alias("recognized_items_json")))
+
+
+def stored_headers(stored: DataFrame) -> DataFrame:
+    """``(receiving_id, header)`` of metadata stored by ``stored_meta``."""
+    heads = stored.where(F.col("item_pos") == 0)
+    return heads.select("receiving_id", parse_document_meta("recognized_items_json")["header"].alias("header"))
+
+
+def stored_meta_lines(stored: DataFrame) -> DataFrame:
+    """``(receiving_id, item_pos, meta)`` of metadata stored by ``stored_meta``; broken lines are left out."""
+    lines = stored.where(F.col("item_pos") > 0)
+    meta = F.get(parse_document_meta("recognized_items_json")["items"], 0)
+    return lines.select("receiving_id", "item_pos", meta.alias("meta")).where(F.col("meta").isNotNull())
 
 
 # ---------------------------------------------------------------- update

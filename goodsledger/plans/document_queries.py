@@ -546,8 +546,7 @@ def _merged_items(t: Inputs):
 
 @query("merged_page_texts", """
 with f as (select receiving_id, (item_pos - 1) // 3 + 1 as page, name from order_lines where (item_pos - 1) % 3 = 0)
-select receiving_id as doc_id, 0 as part, string_agg('--- File ' || page || ': f' || page || ' ---' || chr(10) || name, chr(10) || chr(10) order by page) as raw_text
-from f group by receiving_id""", needs=("order_lines",))
+select receiving_id as doc_id, page, '--- File ' || page || ': f' || page || ' ---' || chr(10) || name as raw_text from f""", needs=("order_lines",))
 def _merged_texts(t: Inputs):
     return paging.merge_texts(_pages(t))
 

@@ -216,58 +216,51 @@ def _gate(t: Inputs):
 # ---------------------------------------------------------------- payloads
 
 PAYLOAD_SQL = COMPARED_SQL + """,
-files as (select receiving_id, list(link order by id) as files
-          from (select receiving_id, id, coalesce(file_url, file_id) as link from receiving_documents) x
-          where link is not null group by receiving_id),
+file_links as (select receiving_id, id as pos, coalesce(file_url, file_id) as fragment from receiving_documents
+          where coalesce(file_url, file_id) is not null),
 newest as (select receiving_id, arg_max(struct_pack(s := supplier_legal_name, n := invoice_number, d := invoice_date), id) as d
-           from receiving_documents group by receiving_id)
+           from receiving_documents group by receiving_id),
+kept as (select * from items where status not in ('rejected', 'crossed_out'))
 """
 PAYLOAD_NEEDS = (*COMPARE_NEEDS, "receiving_documents")
 
 
-def _payloads(t: Inputs):
+def _payload(t: Inputs):
     receivings, items, _ = compared(t)
     return payloads.accounting_payload(receivings, items, t.receiving_documents)
 
 
-@query("accounting_payload", f"""with {PAYLOAD_SQL},
-lines as (select receiving_id, list(struct_pack(
-            "name" := coalesce(item_name_from_order, item_name_from_invoice, ''), "orderedQuantity" := ordered_quantity::double,
-            "receivedQuantity" := received_quantity::double, "unit" := unit, "orderedPrice" := ordered_price::double,
-            "invoicePrice" := invoice_price::double, "status" := status, "comment" := comment) order by item_pos) as items
-          from items where status not in ('rejected', 'crossed_out') group by receiving_id)
-select c.id as receiving_id, 0 as part, cast(to_json(struct_pack(
+@query("accounting_payload", f"""with {PAYLOAD_SQL}
+select c.id as receiving_id, 0 as section, 0 as pos, cast(to_json(struct_pack(
          "requestId" := request_id, "orderNumber" := order_number, "venue" := venue,
          "supplier" := struct_pack("displayName" := supplier, "legalName" := n.d.s),
-         "invoice" := struct_pack("number" := n.d.n, "date" := n.d.d, "files" := coalesce(f.files, [])),
-         "items" := coalesce(l.items, []), "comment" := comment)) as varchar) as payload_json
-from compared c left join newest n on n.receiving_id = c.id left join files f on f.receiving_id = c.id
-left join lines l on l.receiving_id = c.id""", needs=PAYLOAD_NEEDS, recursive=True)
+         "invoice" := struct_pack("number" := n.d.n, "date" := n.d.d), "comment" := comment)) as varchar) as fragment
+from compared c left join newest n on n.receiving_id = c.id
+union all select receiving_id, 1, pos, fragment from file_links where receiving_id in (select id from compared)
+union all select receiving_id, 2, item_pos, cast(to_json(struct_pack(
+            "name" := coalesce(item_name_from_order, item_name_from_invoice, ''), "orderedQuantity" := ordered_quantity::double,
+            "receivedQuantity" := received_quantity::double, "unit" := unit, "orderedPrice" := ordered_price::double,
+            "invoicePrice" := invoice_price::double, "status" := status, "comment" := comment)) as varchar)
+          from kept""", needs=PAYLOAD_NEEDS, recursive=True)
 def _accounting_payload(t: Inputs):
-    return _payloads(t).select("receiving_id", "part", "payload_json")
+    return payloads.fragments(_payload(t))
 
 
-POS_SQL = f"""with {PAYLOAD_SQL},
-lines as (select receiving_id, list(struct_pack(
+@query("pos_payload", f"""with {PAYLOAD_SQL}
+select c.id as receiving_id, 0 as section, 0 as pos, cast(to_json(struct_pack(
+         "externalNumber" := order_number, "requestId" := request_id, "organization" := struct_pack("name" := venue),
+         "supplier" := struct_pack("displayName" := supplier, "legalName" := n.d.s),
+         "invoice" := struct_pack("number" := n.d.n, "date" := n.d.d),
+         "comment" := comment, "source" := 'accounting_adapter')) as varchar) as fragment
+from compared c left join newest n on n.receiving_id = c.id
+union all select receiving_id, 1, pos, fragment from file_links where receiving_id in (select id from compared)
+union all select receiving_id, 2, item_pos, cast(to_json(struct_pack(
             "name" := coalesce(item_name_from_order, item_name_from_invoice, ''), "amount" := received_quantity::double,
             "unit" := unit, "price" := invoice_price::double,
             "sum" := round_even(received_quantity * invoice_price, 2)::double, "status" := status,
-            "comment" := comment) order by item_pos) as items
-          from items where status not in ('rejected', 'crossed_out') group by receiving_id),
-pos as (
-select c.id as receiving_id, c.status as receiving_status, request_id, order_number, cast(to_json(struct_pack(
-         "externalNumber" := order_number, "requestId" := request_id, "organization" := struct_pack("name" := venue),
-         "supplier" := struct_pack("displayName" := supplier, "legalName" := n.d.s),
-         "invoice" := struct_pack("number" := n.d.n, "date" := n.d.d, "files" := coalesce(f.files, [])),
-         "items" := coalesce(l.items, []), "comment" := comment, "source" := 'accounting_adapter')) as varchar) as payload_json
-from compared c left join newest n on n.receiving_id = c.id left join files f on f.receiving_id = c.id
-left join lines l on l.receiving_id = c.id)
-"""
-
-
-@query("pos_payload", POS_SQL + "select receiving_id, 0 as part, payload_json from pos", needs=PAYLOAD_NEEDS, recursive=True)
+            "comment" := comment)) as varchar) from kept""", needs=PAYLOAD_NEEDS, recursive=True)
 def _pos_payload(t: Inputs):
-    return payloads.pos_payload(_payloads(t)).select("receiving_id", "part", "payload_json")
+    return payloads.fragments(payloads.pos_payload(_payload(t)))
 
 
 def _confirmed(t: Inputs):
@@ -275,22 +268,22 @@ def _confirmed(t: Inputs):
     return lifecycle.confirm_receivings(receivings, confirmations(t)), items
 
 
-@query("accounting_exports", f"""with {COMPARED_SQL},
+@query("accounting_exports", f"""with {PAYLOAD_SQL},
 confirmed as (
   select *, case when id % 4 = 3 then status when id % 4 = 2 then 'control_required'
                  when id % 8 < 4 then 'confirmed_partial' else 'confirmed_full' end as final from compared)
-select id as receiving_id, request_id, order_number, 'iiko' as target_system, 'iiko_sent_mock' as status,
-       cast(null as varchar) as error_message,
-       (select count(*) from items i where i.receiving_id = c.id and i.status not in ('rejected', 'crossed_out')) as n_items
-from confirmed c where final in ('confirmed_full', 'confirmed_partial')""", needs=COMPARE_NEEDS, recursive=True)
+select c.id as receiving_id, request_id, order_number, 'iiko' as target_system, 'iiko_sent_mock' as status,
+       cast(null as varchar) as error_message, cast(to_json(struct_pack(
+         "externalNumber" := order_number, "requestId" := request_id, "organization" := struct_pack("name" := venue),
+         "supplier" := struct_pack("displayName" := supplier, "legalName" := n.d.s),
+         "invoice" := struct_pack("number" := n.d.n, "date" := n.d.d),
+         "comment" := case when c.id % 4 < 3 then 'проверил ' || venue else comment end, "source" := 'accounting_adapter')) as varchar) as payload_json
+from confirmed c left join newest n on n.receiving_id = c.id
+where final in ('confirmed_full', 'confirmed_partial')""", needs=PAYLOAD_NEEDS, recursive=True)
 def _exports(t: Inputs):
     receivings, items = _confirmed(t)
     shaped = payloads.pos_payload(payloads.accounting_payload(receivings, items, t.receiving_documents))
-    exports, _, _ = payloads.accounting_exports(receivings, shaped, dry_run=False)
-    sizes = shaped.select("receiving_id", "part", F.size("payload.items").alias("n_items"))
-    return exports.join(sizes, ["receiving_id", "part"]).select(
-        "receiving_id", "request_id", "order_number", "target_system", "status", "error_message", "n_items"
-    )
+    return payloads.accounting_exports(receivings, shaped, dry_run=False)[0]
 
 
 @query("sent_receivings", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from goodsledger.operators import catalog as catalogs
 from goodsledger.operators import payloads, register, review
+from goodsledger.operators.review import COMMENT_UPLOADED
 from goodsledger.plans.registry import Inputs, query
 from goodsledger.schemas import CATALOG, REGISTER_HEADERS, conform
 
@@ -76,14 +77,17 @@ amounts as (
 REVIEW_NEEDS = ("order_lines", "receivings")
 
 
+ITEM_COMMENT_SQL = """nullif(concat_ws('; ', 'НДС: ' || vat, 'vatPercent: ' || cast(vat_percent as varchar), 'vatSum: ' || cast(vat_sum as varchar),
+              'iiko_product_id: ' || iiko_product_id, 'productArticle: ' || product_article, comment,
+              case when abs(given_sum - expected) > 0.01 then 'Расхождение суммы: распознано ' || cast(given_sum as varchar)
+                   || ', рассчитано ' || cast(expected as varchar) end), '')"""
+
+
 @query("review_items", f"""with {REVIEW_SQL}
 select receiving_id, item_pos, name as item_name_from_invoice, quantity as received_quantity, unit,
        price as invoice_price,
        case when name <> '' and quantity > 0 then 'accepted' else 'manual_review' end as status,
-       nullif(concat_ws('; ', 'НДС: ' || vat, 'vatPercent: ' || cast(vat_percent as varchar), 'vatSum: ' || cast(vat_sum as varchar),
-              'iiko_product_id: ' || iiko_product_id, 'productArticle: ' || product_article, comment,
-              case when abs(given_sum - expected) > 0.01 then 'Расхождение суммы: распознано ' || cast(given_sum as varchar)
-                   || ', рассчитано ' || cast(expected as varchar) end), '') as comment
+       {ITEM_COMMENT_SQL} as comment
 from amounts""", needs=REVIEW_NEEDS)
 def _review_items(t: Inputs):
     return reviews(t)[3].select(
@@ -184,36 +188,55 @@ def _approval_gate(t: Inputs):
 # ---------------------------------------------------------------- stored metadata
 
 def _stored(t: Inputs):
-    """Documents whose metadata is stored JSON, one third of it as a bare list, some of it broken."""
+    """Metadata as stored now; the header row of every tenth receiving is broken."""
     _, headers, lines, _ = reviews(t)
-    stored = review.stored_meta(headers, lines).where("part = 0")
-    text = F.when(F.col("receiving_id") % 3 == 1, F.to_json(F.from_json(
-        F.get_json_object("recognized_items_json", "$.items"), "array<struct<line_number:bigint,name:string,sum:double>>"
-    ))).when(F.col("receiving_id") % 10 == 0, F.lit("{broken")).otherwise(F.col("recognized_items_json"))
-    return stored.select(
-        F.col("receiving_id").alias("id"), "receiving_id", text.alias("recognized_items_json")
+    broken = (F.col("item_pos") == 0) & (F.col("receiving_id") % 10 == 0)
+    return review.stored_meta(headers, lines).withColumn(
+        "recognized_items_json", F.when(broken, "{broken").otherwise(F.col("recognized_items_json"))
     )
 
 
+def _whole_documents(t: Inputs):
+    """Documents as they were stored before, one JSON each: a third of them bare lists, some broken."""
+    requests = review_requests(t)
+    listed = F.to_json(F.transform("items", lambda x: F.struct(x["name"].alias("name"), x["sum"].alias("sum"))))
+    wrapped = F.concat(F.lit('{"header":'), F.to_json(F.struct("iiko_supplier_id")), F.lit(',"items":'), listed, F.lit("}"))
+    text = F.when(F.col("receiving_id") % 3 == 1, listed).when(F.col("receiving_id") % 10 == 0, F.lit("{broken")).otherwise(wrapped)
+    return requests.select(F.col("receiving_id").alias("id"), "receiving_id", text.alias("recognized_items_json"))
+
+
 @query("document_meta", f"""with {REVIEW_SQL}
-select a.receiving_id, a.item_pos, a.name, a.line_sum as sum,
+select a.receiving_id, a.item_pos, a.name, a.given_sum as sum,
        case when a.receiving_id % 3 <> 1 then h.iiko_supplier_id end as iiko_supplier_id
 from amounts a join kept_heads h on h.receiving_id = a.receiving_id
 where a.receiving_id % 3 = 1 or a.receiving_id % 10 <> 0""", needs=REVIEW_NEEDS)
 def _document_meta(t: Inputs):
-    documents = _stored(t)
+    documents = _whole_documents(t)
     heads = review.document_headers(documents).select("receiving_id", "header.iiko_supplier_id")
     return review.document_meta_lines(documents).join(heads, "receiving_id").select(
         "receiving_id", "item_pos", "meta.name", "meta.sum", "iiko_supplier_id"
     )
 
 
+@query("stored_document_meta", f"""with {REVIEW_SQL}
+select a.receiving_id, a.item_pos, a.name, a.line_sum as sum,
+       case when a.receiving_id % 10 <> 0 then h.iiko_supplier_id end as iiko_supplier_id
+from amounts a join kept_heads h on h.receiving_id = a.receiving_id""", needs=REVIEW_NEEDS)
+def _stored_document_meta(t: Inputs):
+    stored = _stored(t)
+    heads = review.stored_headers(stored).select("receiving_id", "header.iiko_supplier_id")
+    return review.stored_meta_lines(stored).join(heads, "receiving_id").select(
+        "receiving_id", "item_pos", "meta.name", "meta.sum", "iiko_supplier_id"
+    )
+
+
 @query("item_meta_by_position", f"""with {REVIEW_SQL}
-select receiving_id, item_pos, case when receiving_id % 3 = 1 or receiving_id % 10 <> 0 then line_sum end as sum
-from amounts""", needs=REVIEW_NEEDS)
+select receiving_id, item_pos, line_sum as sum from amounts""", needs=REVIEW_NEEDS)
 def _item_meta(t: Inputs):
     items = reviews(t)[3]
-    return review.with_meta(items, _stored(t)).select("receiving_id", "item_pos", F.col("meta.sum").alias("sum"))
+    return review.with_meta(items, review.stored_meta_lines(_stored(t))).select(
+        "receiving_id", "item_pos", F.col("meta.sum").alias("sum")
+    )
 
 
 @query("merge_technical", f"""with {REVIEW_SQL},
@@ -403,21 +426,44 @@ def _preview(t: Inputs):
     return payloads.send_preview(receivings, items, documents, headers, lines, issues)
 
 
-@query("send_preview", f"""with {ISSUES_SQL},
-n as (select receiving_id, count(*) as n from issues group by receiving_id),
-s as (select receiving_id, count(*) as items, round_even(sum(cast(line_sum as decimal(24,6))), 2)::double as total
-      from amounts group by receiving_id)
-select k.receiving_id, k.venue as organization, coalesce(k.iiko_default_store_id, 'Основной склад') as warehouse,
-       k.iiko_supplier_id as supplier_id, k.invoice_number as number, s.total as total_sum, s.items as n_items,
-       coalesce(n.n, 0) as n_issues
-from kept_heads k join s on s.receiving_id = k.receiving_id left join n on n.receiving_id = k.receiving_id""", needs=REVIEW_NEEDS)
+PREVIEW_SQL = f"""{ISSUES_SQL},
+s as (select receiving_id, round_even(sum(cast(line_sum as decimal(24,6))), 2)::double as total from amounts group by receiving_id),
+preview as (
+select k.receiving_id, k.invoice_number, k.created_at, struct_pack(
+         "review_id" := k.receiving_id, "target_system" := 'iiko',
+         "target" := struct_pack("organization" := k.venue, "organizationId" := cast(null as varchar),
+                                 "warehouse" := coalesce(k.iiko_default_store_id, 'Основной склад'),
+                                 "defaultStoreId" := coalesce(k.iiko_default_store_id, 'Основной склад'), "venue" := k.venue),
+         "supplier" := struct_pack("displayName" := coalesce(k.supplier, ''), "legalName" := k.supplier, "iikoSupplierId" := k.iiko_supplier_id),
+         "invoice" := struct_pack("number" := k.invoice_number, "documentNumber" := k.invoice_number, "date" := k.invoice_date,
+                                  "incomingDate" := k.invoice_date, "dueDate" := cast(null as varchar), "totalSum" := s.total),
+         "statusBeforeSend" := 'ocr_processed', "source" := 'incoming_invoice_adapter') as head
+from kept_heads k join s on s.receiving_id = k.receiving_id)
+"""
+
+
+def total_apart(rows, name: str, path: str):
+    """The total as a column of its own: engines write large numbers in different ways."""
+    total = F.when(F.col(name).startswith("{"), F.get_json_object(name, path).cast("double"))
+    return rows.withColumn("total_sum", total).withColumn(name, F.regexp_replace(name, '"totalSum":[^,}]*', '"totalSum":0'))
+
+
+@query("send_preview", f"""with {PREVIEW_SQL}
+select receiving_id, 0 as section, 0 as pos, regexp_replace(cast(to_json(head) as varchar), '"totalSum":[^,}}]*', '"totalSum":0') as fragment,
+       head."invoice"."totalSum" as total_sum from preview
+union all select receiving_id, 1, receiving_id, 'file_' || receiving_id, null from kept_heads
+union all select a.receiving_id, 2, a.item_pos, cast(to_json(struct_pack(
+    "num" := a.item_pos, "name" := a.name, "iikoProductId" := a.iiko_product_id, "productArticle" := a.product_article,
+    "supplierProduct" := cast(null as varchar), "supplierProductArticle" := cast(null as varchar),
+    "amount" := a.quantity::double, "quantity" := a.quantity::double, "unit" := 'шт', "amountUnit" := 'шт',
+    "price" := a.price::double, "sum" := a.line_sum::double, "vatPercent" := a.percent::double, "vatSum" := a.vat_sum::double,
+    "store" := coalesce(h.iiko_default_store_id, 'Основной склад'), "status" := case when a.name <> '' and a.quantity > 0 then 'accepted' else 'manual_review' end,
+    "mappingStatus" := 'ready', "mappingError" := cast(null as varchar), "comment" := COMMENT)) as varchar), null
+  from amounts a join kept_heads h on h.receiving_id = a.receiving_id
+union all select receiving_id, 3, 0, message, null from issues""".replace("COMMENT", ITEM_COMMENT_SQL), needs=REVIEW_NEEDS)
 def _send_preview(t: Inputs):
-    p = F.col("preview")
-    return _preview(t).select(
-        "receiving_id", p["target"]["organization"].alias("organization"), p["target"]["warehouse"].alias("warehouse"),
-        p["supplier"]["iikoSupplierId"].alias("supplier_id"), p["invoice"]["number"].alias("number"),
-        p["invoice"]["totalSum"].alias("total_sum"), F.size(p["items"]).alias("n_items"), F.size(p["issues"]).alias("n_issues"),
-    )
+    rows = payloads.fragments(_preview(t)).withColumn("pos", F.when(F.col("section") == 3, 0).otherwise(F.col("pos")))
+    return total_apart(rows, "fragment", "$.invoice.totalSum")
 
 
 XML_ITEM_SQL = """
@@ -434,22 +480,49 @@ XML_ITEM_SQL = """
 """
 
 
-@query("invoice_xml", f"""with {REVIEW_SQL},
-body as (select a.receiving_id, string_agg({XML_ITEM_SQL}, chr(10) order by a.item_pos) as items
-         from amounts a join kept_heads h on h.receiving_id = a.receiving_id group by a.receiving_id)
-select k.receiving_id,
-  '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' || chr(10) || '<document>' || chr(10) || '  <items>' || chr(10)
-  || b.items || chr(10) || '  </items>' || chr(10) || '  <comment>отправлено после проверки в таблице</comment>' || chr(10)
-  || '  <documentNumber>' || coalesce(invoice_number, cast(k.receiving_id as varchar)) || '</documentNumber>' || chr(10)
+XML_REST_SQL = """
+  '  </items>' || chr(10) || '  <comment>отправлено после проверки в таблице</comment>' || chr(10)
+  || '  <documentNumber>' || coalesce(invoice_number, cast(receiving_id as varchar)) || '</documentNumber>' || chr(10)
   || case when invoice_date <> '' then '  <dateIncoming>07.03.2024</dateIncoming>' || chr(10) else '' end
   || coalesce('  <invoice>' || invoice_number || '</invoice>' || chr(10), '')
   || '  <defaultStore>' || coalesce(iiko_default_store_id, 'Основной склад') || '</defaultStore>' || chr(10)
   || coalesce('  <supplier>' || coalesce(iiko_supplier_id, supplier) || '</supplier>' || chr(10), '')
   || case when invoice_date <> '' then '  <incomingDate>2024-03-07</incomingDate>' || chr(10) else '' end
-  || '</document>' as xml
-from kept_heads k join body b on b.receiving_id = k.receiving_id""", needs=REVIEW_NEEDS)
+  || '</document>'
+"""
+
+
+@query("invoice_xml", f"""with {REVIEW_SQL}
+select receiving_id, 0 as section, 0 as pos,
+       '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' || chr(10) || '<document>' || chr(10) || '  <items>' as fragment from kept_heads
+union all select a.receiving_id, 1, a.item_pos, {XML_ITEM_SQL} from amounts a join kept_heads h on h.receiving_id = a.receiving_id
+union all select receiving_id, 2, 0, {XML_REST_SQL} from kept_heads""", needs=REVIEW_NEEDS)
 def _invoice_xml(t: Inputs):
-    return payloads.invoice_xml(_preview(t)).select("receiving_id", "xml")
+    return payloads.invoice_xml(_preview(t))
+
+
+@query("review_exports", f"""with {PREVIEW_SQL}
+select receiving_id, 'MVP4-' || coalesce(invoice_number, 'MANUAL-' || strftime(created_at, '%Y%m%d%H%M%S')) as request_id, 'iiko' as target_system,
+       case receiving_id % 4 when 0 then 'iiko_error' when 1 then 'sent_to_iiko' else 'iiko_sent_mock' end as status,
+       case when receiving_id % 4 = 0 then 'timeout' end as error_message,
+       head."invoice"."totalSum" as total_sum, regexp_replace(cast(to_json(struct_pack("preview" := head,
+         "userConfirmation" := struct_pack("approved" := true, "approvedBy" := 'user-' || receiving_id % 7,
+             "comment" := case when receiving_id % 5 = 0 then 'исправлено' end, "confirmedAt" := '2024-03-08 10:00:00'),
+         "result" := struct_pack("sent" := receiving_id % 4 = 1, "error" := case when receiving_id % 4 = 0 then 'timeout' end))) as varchar), '"totalSum":[^,}}]*', '"totalSum":0') as payload_json,
+       case when receiving_id % 4 = 0 then 'accounting_error' else 'sent_to_accounting' end as status_after,
+       case when receiving_id % 5 = 0 then 'исправлено' else '{COMMENT_UPLOADED}' end as comment_after
+from preview""", needs=REVIEW_NEEDS)
+def _review_exports(t: Inputs):
+    receivings = reviews(t)[0]
+    key = F.col("id").alias("receiving_id")
+    outcomes = receivings.select(key, (F.col("id") % 4 == 1).alias("sent"), F.when(F.col("id") % 4 == 0, "timeout").alias("error"))
+    confirmations = receivings.select(
+        key, F.lit(True).alias("approved"), F.concat(F.lit("user-"), F.col("id") % 7).alias("approved_by"),
+        F.when(F.col("id") % 5 == 0, "исправлено").alias("comment"), F.lit("2024-03-08 10:00:00").alias("confirmed_at"),
+    )
+    exports, after = payloads.review_exports(receivings, _preview(t), False, outcomes, confirmations)
+    after = after.select(F.col("id").alias("receiving_id"), F.col("status").alias("status_after"), F.col("comment").alias("comment_after"))
+    return total_apart(exports.drop("order_number").join(after, "receiving_id"), "payload_json", "$.preview.invoice.totalSum")
 
 
 @query("document_totals", f"""with {REVIEW_SQL}

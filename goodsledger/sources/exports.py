@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from goodsledger.operators.history import _iso
-from goodsledger.operators.payloads import PART_LINES
 
 # Column titles of the three files.
 RECEIVING_TITLES = (
@@ -34,16 +33,12 @@ def export_tables(
     ordered = order_lines.groupBy(F.col("receiving_id").alias("id")).agg(F.count(F.lit(1)).alias("n_ordered"))
     counts = items.groupBy(F.col("receiving_id").alias("id")).agg(status("matched"), status("missing"), status("extra"))
     link = F.coalesce(F.nullif("file_url", F.lit("")), F.nullif("file_id", F.lit("")), F.lit(""))
-    per = documents.groupBy("receiving_id").agg(F.ceil(F.count(F.lit(1)) / PART_LINES).alias("parts"))
-    linked = documents.select("receiving_id", "id", link.alias("link")).join(per, "receiving_id")
-    # one list per receiving; only receivings with more than PART_LINES documents get several, joined as text
+    # the cell with all links of a receiving is one cell of the file, whatever its size
+    linked = documents.select("receiving_id", "id", link.alias("link"))
     links = (
-        linked.groupBy("receiving_id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+        linked.groupBy("receiving_id")
         .agg(F.array_sort(F.collect_list(F.struct("id", "link"))).alias("all"))
-        .select(
-            F.col("receiving_id").alias("id"), "part",
-            F.to_json(F.transform("all", lambda x: x["link"])).alias("links"),
-        )
+        .select(F.col("receiving_id").alias("id"), F.to_json(F.transform("all", lambda x: x["link"])).alias("links"))
     )
     zero = F.lit(0)
     head = (
