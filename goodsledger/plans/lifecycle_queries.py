@@ -10,6 +10,7 @@ from goodsledger.plans.reconciliation import (
     COMPARE_NEEDS,
     COMPARED_SQL,
     MATCH_NEEDS,
+    MATCH_SQL,
     compared,
     matched_items,
     norm_sql,
@@ -73,9 +74,9 @@ def _patched(t: Inputs):
 
 # ---------------------------------------------------------------- corrections
 
-CORRECTED_SQL = COMPARED_SQL + f""",
-asked as (select c.*, {norm_sql('c.item_query')} as q from corrections c),
-named as (select i.receiving_id, i.item_pos, {norm_sql('i.item_name_from_order')} as a,
+LOCATED_SQL = f""",
+asked as materialized (select c.*, {norm_sql('c.item_query')} as q from corrections c),
+named as materialized (select i.receiving_id, i.item_pos, {norm_sql('i.item_name_from_order')} as a,
                  {norm_sql('i.item_name_from_invoice')} as b from items i),
 scored as (
   select c.receiving_id, c.seq, n.item_pos, contains(n.a, c.q) or contains(n.b, c.q) as direct,
@@ -90,7 +91,9 @@ best as (
 located as (
   select c.*, coalesce(i.item_pos, b.item_pos) as item_pos from corrections c
   left join items i on i.receiving_id = c.receiving_id and i.item_pos = c.item_id
-  left join best b on b.receiving_id = c.receiving_id and b.seq = c.seq),
+  left join best b on b.receiving_id = c.receiving_id and b.seq = c.seq)
+"""
+CORRECTED_SQL = COMPARED_SQL + LOCATED_SQL + """,
 effects as (
   select receiving_id, item_pos, seq,
          case when action = 'mark_received' or (action = 'set_quantity' and quantity is not null)
@@ -127,8 +130,13 @@ def corrected(t: Inputs):
     return lifecycle.apply_corrections(receivings, items.select(*_ITEM), t.corrections)
 
 
-@query("locate_corrections", f"with {CORRECTED_SQL} select receiving_id, seq, item_pos from located",
-       needs=CORRECTED_NEEDS, recursive=True)
+# Only receivings with corrections are matched on the checking side.
+_CORRECTED_ONLY = MATCH_SQL.replace("from order_lines),", "from order_lines where receiving_id in (select receiving_id from corrections)),", 1)
+LOCATE_SQL = _CORRECTED_ONLY.replace("items as (", "items as materialized (", 1) + LOCATED_SQL
+
+
+@query("locate_corrections", f"with {LOCATE_SQL} select receiving_id, seq, item_pos from located",
+       needs=(*MATCH_NEEDS, "corrections"), recursive=True)
 def _locate(t: Inputs):
     return lifecycle.locate_corrections(t.corrections, matched_items(t)).select("receiving_id", "seq", "item_pos")
 

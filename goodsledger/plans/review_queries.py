@@ -8,6 +8,7 @@ from goodsledger.operators import catalog as catalogs
 from goodsledger.operators import payloads, register, review
 from goodsledger.operators.review import COMMENT_UPLOADED
 from goodsledger.plans.registry import Inputs, query
+from goodsledger.sources.catalogs import stated_percent
 from goodsledger.schemas import CATALOG, REGISTER_HEADERS, conform
 
 # Review lines: ordered lines as recognized from documents, some with ids, VAT, stated sums or gaps.
@@ -297,7 +298,7 @@ def catalog(t: Inputs):
     parts = t.part.select(
         F.lit("product").alias("kind"), F.col("p_partkey").alias("entity_pos"),
         F.concat(F.lit("P"), F.col("p_partkey")).alias("id"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("name"),
-        F.concat(F.lit("num "), F.col("p_partkey")).alias("num"), F.concat(F.lit("T"), F.col("p_size") % 4).alias("taxCategory"),
+        F.concat(F.lit("num "), F.col("p_partkey")).alias("num"), F.concat(F.lit("T"), F.col("p_size") % 7).alias("taxCategory"),
     )
     suppliers = t.supplier.select(
         F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("entity_pos"),
@@ -307,10 +308,11 @@ def catalog(t: Inputs):
         F.lit("store").alias("kind"), F.col("c_custkey").alias("entity_pos"),
         F.concat(F.lit("C"), F.col("c_custkey")).alias("id"), F.col("c_name").alias("name"),
     )
-    taxes = t.region.where("r_regionkey < 3").select(
+    none = F.lit(None).cast("double")
+    taxes = t.region.select(
         F.lit("tax").alias("kind"), F.col("r_regionkey").cast("long").alias("entity_pos"),
         F.concat(F.lit("T"), F.col("r_regionkey")).alias("id"), F.col("r_name").alias("name"),
-        (F.col("r_regionkey") * 10.0).alias("vatPercent"),
+        stated_percent(F.col("r_regionkey") * 10.0, none, none).alias("vatPercent"),
     )
     return (
         conform(parts, CATALOG).unionByName(conform(suppliers, CATALOG))
@@ -320,7 +322,7 @@ def catalog(t: Inputs):
 
 @query("catalog_counts", """
 select 'product' as kind, count(*) as n from part union all select 'supplier', count(*) from supplier
-union all select 'store', count(*) from customer union all select 'tax', count(*) from region where r_regionkey < 3""")
+union all select 'store', count(*) from customer union all select 'tax', count(*) from region""")
 def _catalog_counts(t: Inputs):
     return catalogs.catalog_counts(catalog(t))
 
@@ -354,7 +356,7 @@ def _match_suppliers(t: Inputs):
 
 @query("tax_lookup", """
 with first_part as (select lower(p_name || ' ' || p_type) as name, min(p_partkey) as k from part group by 1)
-select o.receiving_id, o.item_pos, case when p.p_size % 4 < 3 then (p.p_size % 4) * 10.0 end as tax_percent
+select o.receiving_id, o.item_pos, case when p.p_size % 7 between 1 and 4 then (p.p_size % 7) * 10.0 end as tax_percent
 from order_lines o join first_part f on f.name = o.name join part p on p.p_partkey = f.k""", needs=("order_lines",))
 def _tax_lookup(t: Inputs):
     cat = catalog(t)
@@ -368,7 +370,7 @@ first_part as (select lower(p_name || ' ' || p_type) as name, min(p_partkey) as
 lines as (
   select o.receiving_id, o.item_pos, 'P' || cast(f.k as varchar) as iiko_product_id,
          'num ' || cast(f.k as varchar) as product_article, f.name as iiko_product_name,
-         case when p.p_size % 4 < 3 then (p.p_size % 4) * 10.0 end as vat_percent,
+         case when p.p_size % 7 between 1 and 4 then (p.p_size % 7) * 10.0 end as vat_percent,
          o.quantity * o.price as total, o.quantity, o.price, r.venue, r.supplier, c.c_custkey
   from order_lines o join first_part f on f.name = o.name join part p on p.p_partkey = f.k
   join receivings r on r.id = o.receiving_id join customer c on c.c_name = r.venue)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from goodsledger.functions.arrays import exploded
@@ -17,13 +17,16 @@ _STRING_KEYS = (
 _ENTITY = ", ".join(f"{k} string" for k in _STRING_KEYS)
 
 
+def stated_percent(vat: Column, percent: Column, tax: Column) -> Column:
+    """The first percent that is stated. A zero under one of the first two keys counts as not stated."""
+    return F.coalesce(F.nullif(vat, F.lit(0.0)), F.nullif(percent, F.lit(0.0)), tax)
+
+
 def _entities(raw: DataFrame, kind: str, named: Column | None = None) -> DataFrame:
     """Normalized catalog rows of one kind; ``raw`` holds the known keys and ``entity_pos``."""
     fallback = F.coalesce(*[F.nullif(k, F.lit("")) for k in NAME_KEYS])
     name = F.when(named, F.col("name")).otherwise(fallback) if named is not None else F.coalesce("name", fallback)
-    number = F.coalesce(
-        *[F.nullif(F.col(k), F.lit("")).try_cast("double") for k in ("vatPercent", "percent", "taxPercent")]
-    )
+    number = stated_percent(*[F.nullif(F.col(k), F.lit("")).try_cast("double") for k in ("vatPercent", "percent", "taxPercent")])
     return conform(
         raw.withColumns(
             {
@@ -38,29 +41,48 @@ def _entities(raw: DataFrame, kind: str, named: Column | None = None) -> DataFra
 
 
 
+#: Positions of one file; files follow each other in order of their paths.
+FILE_SPAN = 1 << 40
+
+
 def read_catalog(spark: SparkSession, path: str, kind: str, fmt: str = "json", row_tag: str = "item") -> DataFrame:
-    """Catalog of one kind: a JSON array, an object with ``items``, or XML elements ``row_tag``.
+    """Catalog of one kind from any number of files: a JSON array, an object with ``items``, or XML elements ``row_tag``.
 
-    JSON reading order is kept in ``entity_pos``; XML entities need an id, a name or a code.
+    ``entity_pos`` is unique: the file's place among the paths, then the entity's place in the file. XML entities
+    need an id, a name or a code.
     """
     if fmt == "xml":
-        raw = (
-            spark.read.format("xml").option("rowTag", row_tag).schema(_ENTITY).load(path)
-            .withColumn("entity_pos", F.monotonically_increasing_id())
+        raw = spark.read.format("xml").option("rowTag", row_tag).schema(_ENTITY).load(path)
+        placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_nth"))
+        within = Window.partitionBy("_file").orderBy("_nth")
+        placed = _numbered(placed, raw.inputFiles()).withColumn(
+            "entity_pos", F.col("_place") * FILE_SPAN + F.row_number().over(within).cast("long") - 1
         )
         usable = F.coalesce(*[F.nullif(k, F.lit("")) for k in ("id", "name", "code")])
-        return _entities(raw.where(usable.isNotNull()), kind)
-    texts = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
-    return parse_catalog(texts, kind)
+        return _entities(placed.where(usable.isNotNull()), kind)
+    raw = spark.read.text(path, wholetext=True)
+    texts = raw.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_file"))
+    return parse_catalog(_numbered(texts, raw.inputFiles()), kind)
+
+
+def _numbered(rows: DataFrame, files: list[str]) -> DataFrame:
+    """``_place``: the row's file among all files of the source, in order of their paths."""
+    places = rows.sparkSession.createDataFrame([(f, n) for n, f in enumerate(sorted(files))], "_file string, _place long")
+    return rows.join(places, "_file")
 
 
 def parse_catalog(texts: DataFrame, kind: str) -> DataFrame:
-    """Catalog rows of JSON bodies (column ``text``): an array of entities, or an object with ``items``."""
+    """Catalog rows of JSON bodies (column ``text``): an array of entities, or an object with ``items``.
+
+    Several bodies need a column ``_place``, a number of their own, so that positions stay unique.
+    """
+    place = F.col("_place") if "_place" in texts.columns else F.lit(0).cast("long")
     body = F.trim(F.col("text"))
     listed = F.from_json(F.when(body.startswith("["), body), f"array<struct<{_fields()}>>")
     wrapped = F.from_json(F.when(body.startswith("{"), body), f"items array<struct<{_fields()}>>")["items"]
-    rows = exploded(texts, F.coalesce(listed, wrapped), "at", "e").where(F.col("e").isNotNull())
-    return _entities(rows.select(F.col("at").cast("long").alias("entity_pos"), "e.*"), kind)
+    rows = exploded(texts.withColumn("_place", place), F.coalesce(listed, wrapped), "at", "e", "_place")
+    rows = rows.where(F.col("e").isNotNull())
+    return _entities(rows.select((F.col("_place") * FILE_SPAN + F.col("at")).alias("entity_pos"), "e.*"), kind)
 
 
 def _fields() -> str:
