@@ -6,6 +6,8 @@ proposals, so whole blocks of lines can propose at once:
 
 * lines with the same normalized name form a class; scores are computed once per pair of classes, and only for
   pairs that share a token that can matter or contain one another (found through indexes, never all pairs);
+* classes with the same scored options (told by their number and two sums of hashes over them) propose as one, so
+  lines that are equally similar to the same invoice lines settle together, however many names they have;
 * per round the j-th free order line of a class proposes to the j-th best invoice line that its class may
   still get; an invoice line keeps the lowest position and releases the other.
 
@@ -116,6 +118,19 @@ def class_scores(orders: DataFrame, invoices: DataFrame) -> DataFrame:
     return pairs.withColumn("score", score).where(F.col("score") >= REPLACEMENT_THRESHOLD)
 
 
+def option_classes(scores: DataFrame) -> DataFrame:
+    """``(receiving_id, o_norm, kind)``: names with the same options have the same kind.
+
+    The kind is made of the number of options and two independent sums of hashes, 128 bits in all, combined on
+    the map side; no list of options is gathered.
+    """
+    def total(salt: str) -> Column:
+        return F.sum(F.xxhash64(F.lit(salt), "i_norm", "score").cast("decimal(20,0)"))
+
+    summed = scores.groupBy("receiving_id", "o_norm").agg(F.count(F.lit(1)).alias("n"), total("a").alias("a"), total("b").alias("b"))
+    return summed.select("receiving_id", "o_norm", F.concat_ws(":", "n", "a", "b").alias("kind"))
+
+
 def _ranked(rows: DataFrame, keys: list[str], order: list[Column], position: str, span: int) -> DataFrame:
     """Rank from 1 inside ``keys`` by ``order`` then ``position``, without sorting a whole key in one task.
 
@@ -145,14 +160,18 @@ def match_crowded(order_lines: DataFrame, invoice_lines: DataFrame, span: int =
     scores = class_scores(orders, invoices).checkpoint()
     o_items = orders.select("receiving_id", F.col("norm").alias("o_norm"), F.col("item_pos").alias("o_pos"))
     i_items = invoices.select("receiving_id", F.col("norm").alias("i_norm"), F.col("item_pos").alias("i_pos"))
-    able = o_items.join(scores.select("receiving_id", "o_norm").distinct(), ["receiving_id", "o_norm"], "left_semi")
+    kinds = option_classes(scores)
+    able = o_items.join(kinds, ["receiving_id", "o_norm"])
+    class_options = (
+        scores.join(kinds, ["receiving_id", "o_norm"]).select("receiving_id", "kind", "i_norm", "score").distinct().checkpoint()
+    )
     held = spark.createDataFrame([], "receiving_id long, i_pos long, o_pos long")
-    cls = ["receiving_id", "o_norm"]
+    cls = ["receiving_id", "kind"]
     while True:
         free = able.join(held, ["receiving_id", "o_pos"], "left_anti")
         fronts = free.groupBy(*cls).agg(F.min("o_pos").alias("front"), F.count(F.lit(1)).alias("waiting"))
         options = (
-            fronts.join(scores, cls)
+            fronts.join(class_options, cls)
             .join(i_items, ["receiving_id", "i_norm"])
             .join(held.withColumnRenamed("o_pos", "h_pos"), ["receiving_id", "i_pos"], "left")
             .where(F.col("h_pos").isNull() | (F.col("h_pos") > F.col("front")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from goodsledger.operators import catalog as catalogs
-from goodsledger.operators import payloads, register, review
+from goodsledger.operators import payloads, register, review, sync
 from goodsledger.operators.review import COMMENT_UPLOADED
 from goodsledger.plans.registry import Inputs, query
 from goodsledger.sources.catalogs import stated_percent
@@ -527,6 +527,29 @@ def _review_exports(t: Inputs):
     return total_apart(exports.drop("order_number").join(after, "receiving_id"), "payload_json", "$.preview.invoice.totalSum")
 
 
+@query("sync_and_send", f"""with {ISSUES_SQL},
+n as (select receiving_id, count(*) as n from issues group by receiving_id),
+judged as (
+select k.receiving_id, k.supplier, k.receiving_id % 3 = 0 as unapproved, n.n > 0 and k.receiving_id % 2 = 0 as warned
+from kept_heads k left join n on n.receiving_id = k.receiving_id)
+select receiving_id, coalesce(supplier, '') as supplier,
+       case when unapproved then 'Перед отправкой пользователь должен подтвердить проверку накладной'
+            when warned then 'Накладная требует проверки' end as error_message,
+       case when unapproved or coalesce(warned, false) then null else 'iiko_sent_mock' end as export_status,
+       case when unapproved or coalesce(warned, false) then 'ocr_processed' else 'sent_to_accounting' end as status_after
+from judged""", needs=REVIEW_NEEDS)
+def _sync_and_send(t: Inputs):
+    receivings, headers, lines, _ = reviews(t)
+    approvals = receivings.select(
+        F.col("id").alias("receiving_id"), (F.col("id") % 3 != 0).alias("approved"), (F.col("id") % 2 != 0).alias("allow_with_warnings")
+    )
+    exports, after, blocked, _ = sync.sync_and_send(receivings, headers, lines, review_documents(t), review_requests(t), approvals)
+    after = after.select(F.col("id").alias("receiving_id"), "supplier", F.col("status").alias("status_after"))
+    said = blocked.select("receiving_id", "error_message")
+    logged = exports.select("receiving_id", F.col("status").alias("export_status"))
+    return after.join(said, "receiving_id", "left").join(logged, "receiving_id", "left")
+
+
 @query("document_totals", f"""with {REVIEW_SQL}
 select receiving_id, round_even(sum(cast(line_sum as decimal(24,6)) + coalesce(cast(vat_sum as decimal(24,6)), 0)), 2)::double as total_sum
 from amounts group by receiving_id""", needs=REVIEW_NEEDS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +69,10 @@ def read_catalog(spark: SparkSession, path: str, kind: str, fmt: str = "json", r
 
 def _numbered(rows: DataFrame, files: list[str]) -> DataFrame:
     """``_place``: the row's file among all files of the source, in order of their paths."""
-    places = rows.sparkSession.createDataFrame([(f, n) for n, f in enumerate(sorted(files))], "_file string, _place long")
-    return rows.join(places, "_file")
+    scheme = re.compile("^([a-z0-9]+:)/+")  # the two ways to name a file differ in the slashes behind the scheme
+    named = [(scheme.sub(r"\1/", f), n) for n, f in enumerate(sorted(files))]
+    places = rows.sparkSession.createDataFrame(named, "_file string, _place long")
+    return rows.withColumn("_file", F.regexp_replace("_file", scheme.pattern, "$1/")).join(places, "_file")
 
 
 def parse_catalog(texts: DataFrame, kind: str) -> DataFrame:

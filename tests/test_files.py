@@ -2,6 +2,7 @@
 
 import json
 
+from goodsledger.operators.catalog import match_names
 from goodsledger.sources.catalogs import read_catalog
 from goodsledger.sources.registers import (
     read_files,
@@ -54,6 +55,25 @@ def test_catalog_reader(spark, tmp_path):
     assert [(r.id, r.name) for r in xml] == [("9", "Склад")]
 
 
+def test_catalog_of_several_files(spark, tmp_path):
+    folder = tmp_path / "several"
+    folder.mkdir()
+    for name, rows in (("b.json", [{"id": "3", "name": "молоко"}, {"id": "4", "name": "соль"}]), ("a.json", [{"id": "1", "name": "чай"}, {"id": "2", "name": "хлеб"}])):
+        (folder / name).write_text(json.dumps(rows, ensure_ascii=False), encoding="utf-8")
+    rows = read_catalog(spark, str(folder), "product").orderBy("entity_pos").collect()
+    assert [r.id for r in rows] == ["1", "2", "3", "4"]
+    assert len({r.entity_pos for r in rows}) == 4
+    named = match_names(spark.createDataFrame([("молоко",), ("хлеб",)], "name string"), read_catalog(spark, str(folder), "product"), "product")
+    assert {(r.name, r.entity_name) for r in named.collect()} == {("молоко", "молоко"), ("хлеб", "хлеб")}
+
+
+def test_zero_percent_counts_as_stated_only_under_the_last_key(spark, tmp_path):
+    taxes = [{"id": "1", "vatPercent": 0, "percent": 10}, {"id": "2", "vatPercent": 0}, {"id": "3", "taxPercent": 0}, {"id": "4", "percent": 5}]
+    (tmp_path / "tax.json").write_text(json.dumps(taxes), encoding="utf-8")
+    rows = read_catalog(spark, str(tmp_path / "tax.json"), "tax").orderBy("entity_pos").collect()
+    assert [r.vatPercent for r in rows] == [10.0, None, 0.0, 5.0]
+
+
 def test_intake_stream_takes_every_file_once(spark, tmp_path):
     source, target, mark = tmp_path / "in", tmp_path / "out", tmp_path / "mark"
     source.mkdir()
