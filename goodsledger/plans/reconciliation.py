@@ -8,6 +8,7 @@ from goodsledger.functions.similarity import product_similarity
 from goodsledger.functions.text import normalize_product_name
 from goodsledger.operators import analytics, lifecycle, matching
 from goodsledger.plans.registry import Inputs, query
+from goodsledger.schemas import RECEIVING_STATUSES
 
 # ---------------------------------------------------------------- shared SQL fragments
 
@@ -243,3 +244,51 @@ select counter, n from tall where n > 0""", needs=COMPARE_NEEDS, recursive=True)
 def _totals(t: Inputs):
     receivings, items, _ = compared(t)
     return analytics.discrepancy_totals(receivings, items)
+
+
+# Receivings in every status, and items of every status, mostly matched; most suppliers have one receiving.
+CLASSED_HEADS = """
+select o.o_orderkey as id,
+       case when o.o_orderkey % 4 = 0 then 'big ' || cast(o.o_orderkey % 100 as varchar(20))
+            else 'small ' || cast(o.o_orderkey as varchar(20)) end as supplier,
+       {statuses} as status,
+       case when o.o_orderkey % 29 = 0 then 'Поставщик в накладной отличается от поставщика в заявке: X' end as comment
+from {{orders}} o
+"""
+CLASSED_ITEMS = """
+select receiving_id, item_pos,
+       case (part_key + item_pos) % 23 when 0 then 'missing' when 1 then 'extra' when 2 then 'quantity_mismatch'
+            when 3 then 'price_mismatch' when 4 then 'crossed_out' when 5 then 'rejected' when 6 then 'manual_review'
+            when 7 then 'replacement_candidate' when 8 then 'accepted' when 9 then 'extra_accepted' else 'matched' end as status
+from {order_lines}
+"""
+_CASES = " ".join(f"when {n} then '{status}'" for n, status in enumerate(RECEIVING_STATUSES))
+CLASSED_HEADS = CLASSED_HEADS.format(statuses=f"case o.o_orderkey % {len(RECEIVING_STATUSES)} {_CASES} end")
+CLASSED_SQL = f"""
+compared as ({CLASSED_HEADS.format(orders='orders')}),
+items as ({CLASSED_ITEMS.format(order_lines='order_lines')})
+"""
+
+
+def classed(t: Inputs):
+    return t.spark.sql(CLASSED_HEADS, orders=t.orders), t.spark.sql(CLASSED_ITEMS, order_lines=t.order_lines)
+
+
+@query("supplier_control_classes", f"""with {CLASSED_SQL}{STATS_SQL.removeprefix(COMPARED_SQL)}
+select *, case when risk_score >= 5 or supplier_mismatch > 0 then 'control_required'
+               when risk_score >= 2 then 'watch' else 'ok' end as control_status
+from stats""", needs=("order_lines",))
+def _supplier_control_classes(t: Inputs):
+    return analytics.supplier_statistics(*classed(t))
+
+
+@query("discrepancy_totals_classes", f"""with {CLASSED_SQL}, tall as (
+select 'receivings' as counter, count(*) as n from compared
+union all select 'control_required', count(*) from compared where status = 'control_required'
+union all select 'supplier_mismatch', count(*) from compared where comment like '%Поставщик в накладной отличается%'
+union all select i.status, count(*) from items i join compared c on c.id = i.receiving_id group by i.status
+union all select 'problem_items', count(*) from items i join compared c on c.id = i.receiving_id
+          where i.status in {PROBLEMS})
+select counter, n from tall where n > 0""", needs=("order_lines",))
+def _totals_classes(t: Inputs):
+    return analytics.discrepancy_totals(*classed(t))
