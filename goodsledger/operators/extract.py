@@ -1,6 +1,7 @@
 """Recognized document texts to headers and item rows, for a whole table of documents.
 
-Row-local from end to end: no shuffle, no Python. Input ``(…, text)``; every other column passes through.
+Parsing is row-local and without Python; ``spread`` deals the documents out before it. Input ``(…, text)``; every
+other column passes through.
 """
 
 from __future__ import annotations
@@ -27,7 +28,11 @@ PARSER_NOTES = (
 )
 # Marks of documents left to a person.
 PARSED_BY_RULES = "deterministic_parser"
-MANUAL_REVIEW = "manual_review"
+MANUAL_REVIEW = "manual_review_empty_sheet"
+MANUAL_NOTES = (
+    "Встроенный regex parser не нашел полезные поля накладной.",
+    "Создана пустая Google Таблица для ручной проверки и заполнения накладной.",
+)
 
 HEADER_COLUMNS = (
     "supplier", "supplier_legal_name", "invoice_number", "invoice_date", "document_form", "supplier_inn",
@@ -158,12 +163,21 @@ def item_rows(parsed: DataFrame, *keys: str) -> DataFrame:
 
 
 def route_useful(parsed: DataFrame) -> DataFrame:
-    """Mark documents with any item or header value as parsed; all others go to manual review, emptied."""
+    """Mark documents with any item or header value as parsed; the others become empty records for a person.
+
+    An empty record has no header values and no items, its own two notes, and the text as it was.
+    """
     useful = F.size("items") > 0
     for name in HEADER_COLUMNS:
-        if name == "supplier_legal_name":
-            continue
-        useful = useful | F.col(name).isNotNull()
-    return parsed.withColumn(
-        "parser_provider", F.when(useful, PARSED_BY_RULES).otherwise(MANUAL_REVIEW)
-    )
+        if name != "supplier_legal_name":
+            useful = useful | (F.coalesce(F.col(name).cast("string"), F.lit("")) != "")
+    marked = parsed.withColumn("_useful", useful)
+    emptied = {name: F.when(F.col("_useful"), F.col(name)) for name in HEADER_COLUMNS}
+    return marked.withColumns(
+        emptied
+        | {
+            "items": F.when(F.col("_useful"), F.col("items")).otherwise(F.slice("items", 1, 0)),
+            "parser_notes": F.when(F.col("_useful"), F.col("parser_notes")).otherwise(F.array(*[F.lit(n) for n in MANUAL_NOTES])),
+            "parser_provider": F.when(F.col("_useful"), PARSED_BY_RULES).otherwise(MANUAL_REVIEW),
+        }
+    ).drop("_useful")

@@ -8,7 +8,7 @@ Two physical plans give the same rows:
 * receivings of ordinary size: both sides are gathered per receiving (the size was checked before) and
   folded inside the row. One shuffle per side on the receiving id, no pair rows ever leave a task;
 * oversized receivings: the same assignment computed as deferred acceptance over distributed tables,
-  keyed and salted by name so that one receiving spreads over the whole cluster (``crowded.py``).
+  keyed by receiving and name, token or text piece, so that one receiving spreads over the cluster (``crowded.py``).
 """
 
 from __future__ import annotations

@@ -153,4 +153,5 @@ def test_explicit_header_fields(parsed):
 
 def test_texts_without_data_go_to_manual_review(parsed):
     assert parsed["prose"]["items"] == [] and parsed["prose"].invoice_number is None
+    assert parsed["prose"].parser_provider == "manual_review_empty_sheet" and len(parsed["prose"].parser_notes) == 2
     assert parsed["inline"].parser_provider == "deterministic_parser"
