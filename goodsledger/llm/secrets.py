@@ -13,6 +13,7 @@ Spans depend on the text alone, so they are found once per distinct text (SHA-25
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -179,9 +180,14 @@ def mask_secrets(
 
     Rows without spans, null texts among them, are unchanged.
     """
-    marks = store(scanned(intake(docs, id_col, text_col)).drop(ID), "secret-scan")
+    marks = store(scanned(intake(docs, id_col, text_col)).drop(ID).where(F.size("found") > 0), "secret-scan")
     hit = spans_by_text(marks, scope)
-    rows = packed_rows(docs, id_col, text_col).withColumn("key", F.sha2(TEXT, 256)).join(hit, "key", "left")
+    rows = packed_rows(docs, id_col, text_col)
+    any_match = reduce(lambda a, b: a | b, [F.col(TEXT).rlike(kind.pattern) for kind in KINDS])
+    # rows without any match stay where they are: their texts are not shuffled
+    clean = rows.where(~any_match).withColumn("spans", F.lit(None).cast(hit.schema["spans"].dataType))
+    matched = rows.where(any_match).withColumn("key", F.sha2(TEXT, 256)).join(hit, "key", "left")
+    rows = clean.unionByName(matched.drop("key"))
     changed = F.when(F.col("spans").isNull(), F.col("row")[text_col]).otherwise(masked(F.col(TEXT), F.col("spans"), mask))
     rows = rows.withColumn("masked", changed)
     out = []

@@ -6,7 +6,9 @@ are joined on these keys, lane by lane, and the pairs checked by their Hamming d
 is made at one key only, that of its first two shared blocks. A key with more than ``BUCKET`` values is not
 joined but split again: the bits outside the key form k + 2 smaller blocks, of which a close pair again shares
 two. With k = 2 the third split fixes 56 bits, so that no bucket ever holds more than 256 values. With several
-lanes, fingerprints that agree in a whole lane are linked to the smallest of them, which stands for all in that lane.
+lanes, fingerprints that agree in a whole lane are linked to the smallest of them, which stands for all in that lane;
+and after the links within k bits, the smallest fingerprint of each class stands for it in a second search that
+takes pairs further apart wherever they share a key. So a large group of near copies is never paired in full.
 
 Copies meet in the distinct fingerprints and are never paired. Components of the links are found by alternating
 large-star and small-star steps on the distinct fingerprints; every step is a written table.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from goodsledger.llm.common import ID, derive, intake, keep_rows, store
 
 #: Fingerprints of one key up to which they are compared as they are.
-BUCKET = 64
+BUCKET = 32
 #: Times that a crowded key is split at most.
 LEVELS = 3
 
@@ -99,15 +101,14 @@ def split_masks(parents: list[tuple[int, int]], blocks: int) -> list[tuple[int,
     return out
 
 
-def close_pairs(prints: DataFrame, lanes: int, lane_bits: int, max_bits: int) -> DataFrame:
+def close_pairs(prints: DataFrame, lanes: int, lane_bits: int, near_bits: int, max_bits: int) -> DataFrame:
     """Pairs (a < b) of the nodes of the stored ``prints`` that differ in at most ``max_bits`` over all lanes.
 
     Every such pair with a lane that differs in at most ``lane_bits`` is found; with one lane and equal limits
-    that is every pair. Others are found where they share a key all the same. Nodes that agree in a lane are
-    linked to the smallest of them, and only that one is compared in this lane.
+    that is every pair. Pairs with a lane of at most ``near_bits`` are found where they share a key all the same.
+    Nodes that agree in a lane are linked to the smallest of them, and only that one is compared in this lane.
     """
     spark, blocks = prints.sparkSession, lane_bits + 2
-    near_bits = max_bits if lanes == 1 else max(lane_bits, 3 * max_bits // (2 * lanes))
     values = prints.select("node", F.posexplode("lanes").alias("lane", "value"))
     rows = store(values.groupBy("lane", "value").agg(F.min("node").alias("node")), "simhash-values").withColumn("slot", F.lit(0))
     found, parents = [], [(0, 0)]
@@ -115,27 +116,28 @@ def close_pairs(prints: DataFrame, lanes: int, lane_bits: int, max_bits: int) ->
         table = split_masks(parents, blocks)
         parents = [(slot, mask) for _, slot, mask, _ in table]
         masks = spark.createDataFrame([(parent, slot, signed(mask)) for parent, slot, mask, _ in table], "slot int, next int, mask long")
-        key = F.col("value").bitwiseAND(F.col("mask")).alias("key")
-        keys = rows.join(F.broadcast(masks), "slot").select("lane", F.col("next").alias("slot"), key, "node", "value")
-        sizes = store(keys.groupBy("lane", "slot", "key").agg(F.count("*").alias("members")).where("members > 1"), "simhash-buckets")
-        joined = keys.join(sizes if level == LEVELS else sizes.where(F.col("members") <= BUCKET), ["lane", "slot", "key"])
-        left = joined.select("lane", "slot", "key", F.col("node").alias("a"), F.col("value").alias("a_value"))
-        right = joined.select("lane", "slot", "key", F.col("node").alias("b"), F.col("value").alias("b_value"))
+        # one long names lane, blocks and bits; the distance check below tells apart what it might confuse
+        key = F.xxhash64("lane", "next", F.col("value").bitwiseAND(F.col("mask"))).alias("key")
+        keys = rows.join(F.broadcast(masks), "slot").select(key, F.col("next").alias("slot"), "lane", "node", "value")
+        sizes = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        shared = store(keys.join(sizes, "key"), "simhash-keys")
+        small = shared if level == LEVELS else shared.where(F.col("members") <= BUCKET)
+        left = small.select("key", "slot", F.col("node").alias("a"), F.col("value").alias("a_value"))
+        right = small.select("key", F.col("node").alias("b"), F.col("value").alias("b_value"))
         x = F.col("a_value").bitwiseXOR(F.col("b_value"))
         close = (F.col("a") < F.col("b")) & (F.bit_count(x) <= near_bits)
         if level == 1:
             close &= first_shared(x, [differ for *_, differ in table])
-        found.append(left.join(right, ["lane", "slot", "key"]).where(close).select("a", "b"))
-        rows = store(
-            keys.join(sizes.where(F.col("members") > BUCKET), ["lane", "slot", "key"]).select("lane", "value", "node", "slot"), "simhash-crowded"
-        )
+        found.append(left.join(right, "key").where(close).select("a", "b"))
+        rows = shared.where(F.col("members") > BUCKET).select("lane", "value", "node", "slot")
         if rows.isEmpty():
             break
     pairs = reduce(DataFrame.union, found).distinct()
     if lanes == 1:
         return pairs
-    least = values.groupBy("lane", "value").agg(F.min("node").alias("a")).join(values.withColumnRenamed("node", "b"), ["lane", "value"])
-    return verified(pairs, prints, lanes, max_bits).union(least.where("a < b").select("a", "b")).distinct()
+    least = values.groupBy("lane", "value").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    equal = least.join(values.withColumnRenamed("node", "b"), ["lane", "value"]).where("a < b").select("a", "b")
+    return verified(pairs, prints, lanes, max_bits).union(equal).distinct()
 
 
 def first_shared(x: Column, differ: list[list[int]]) -> Column:
@@ -191,7 +193,14 @@ def components(pairs: DataFrame) -> DataFrame:
 def classes_of(marks: DataFrame, lane_bits: int, max_bits: int, lanes: int) -> DataFrame:
     """Stored (lanes, root): the class of every distinct fingerprint."""
     prints = store(marks.select("lanes").distinct().withColumn("node", F.monotonically_increasing_id()), "fingerprint-nodes")
-    linked = components(close_pairs(prints, lanes, lane_bits, max_bits)).withColumnRenamed("node", "linked")
+    pairs = store(close_pairs(prints, lanes, lane_bits, lane_bits, max_bits), "simhash-pairs")
+    linked = components(pairs)
+    if lanes > 1:
+        members = linked.where("node <> root").select("node")
+        standing = store(prints.join(members, "node", "left_anti"), "fingerprint-roots")
+        further = close_pairs(standing, lanes, lane_bits, max(lane_bits, 3 * max_bits // (2 * lanes)), max_bits)
+        linked = components(pairs.union(further))
+    linked = linked.withColumnRenamed("node", "linked")
     rooted = prints.join(linked, F.col("node") == F.col("linked"), "left")
     return store(rooted.select("lanes", F.coalesce("root", "node").alias("root")), "fingerprint-classes")
 
@@ -213,7 +222,7 @@ def simhash_components(docs: DataFrame, id_col="doc_id", text_col="text", *, shi
 
 
 #: Settings of ``drop_near_duplicates``: words of a shingle, lanes, bits within a lane, and the similarity kept apart.
-WORDS, LANES, LANE_BITS, SIMILARITY = 5, 6, 4, 0.8
+WORDS, LANES, LANE_BITS, SIMILARITY = 5, 4, 4, 0.8
 
 
 def bits_of(similarity: float, lanes: int) -> int:

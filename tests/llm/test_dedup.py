@@ -118,7 +118,7 @@ def test_crowded_keys_are_split_and_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET", 4)
     values = dense_prints(5, 120)
     prints = store(spark.createDataFrame([(n, [v]) for n, v in enumerate(signed(values))], "node long, lanes array<long>"), "test")
-    got = [(r["a"], r["b"]) for r in simhash.close_pairs(prints, 1, 2, 2).collect()]
+    got = [(r["a"], r["b"]) for r in simhash.close_pairs(prints, 1, 2, 2, 2).collect()]
     want = {(i, j) for i in range(120) for j in range(i + 1, 120) if (values[i] ^ values[j]).bit_count() <= 2}
     assert len(got) == len(set(got))
     assert set(got) == want
@@ -130,7 +130,7 @@ def test_lanes_find_every_pair_with_a_close_lane(spark):
     rows = [(n, signed([v, values[-n]])) for n, v in enumerate(values)]
     lanes = [np.array(r[1], dtype=np.int64).view(np.uint64).tolist() for r in rows]
     prints = store(spark.createDataFrame(rows, "node long, lanes array<long>"), "test")
-    got = {(r["a"], r["b"]) for r in simhash.close_pairs(prints, 2, 4, 24).collect()}
+    got = {(r["a"], r["b"]) for r in simhash.close_pairs(prints, 2, 4, 4, 24).collect()}
     apart = {(i, j): [(x ^ y).bit_count() for x, y in zip(lanes[i], lanes[j], strict=True)] for i in range(80) for j in range(i + 1, 80)}
     close = {pair for pair, bits in apart.items() if sum(bits) <= 24}
     assert got <= close
