@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from goodsledger.functions.numbers import vat_included
 from goodsledger.functions.text import normalize_catalog_text
+from goodsledger.session import ship_package
 
 # Searched fields by kind, thresholds, reasons.
 SEARCH_FIELDS = {
@@ -128,6 +129,7 @@ def best_texts(names: DataFrame, texts: DataFrame, name_block: int = NAME_BLOCK,
     def spread(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
+    ship_package(names.sparkSession)
     left = open_names.select("q", place("q", name_blocks).alias("nb"), spread(text_blocks).alias("tb"))
     right = texts.select("*", place("text", text_blocks).alias("tb"), spread(name_blocks).alias("nb"))
     fuzzy = (

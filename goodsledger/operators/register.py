@@ -12,6 +12,7 @@ from goodsledger.functions.text import display_value
 from goodsledger.operators.lifecycle import latest_documents
 from goodsledger.operators.payloads import document_totals
 from goodsledger.schemas import REGISTER_HEADERS
+from goodsledger.session import ensure_checkpoint_dir
 
 # The register column behind every header value and item value that is filled in.
 HEADER_CELLS = {
@@ -176,14 +177,20 @@ def next_document_id(register: DataFrame, legacy_column: str = "Корректи
     return register.agg((F.coalesce(F.max(largest), F.lit(0)) + 1).alias("next_id"))
 
 
-def number_documents(new: DataFrame, existing: DataFrame, span: int = 1_000_000) -> DataFrame:
+def number_documents(new: DataFrame, existing: DataFrame) -> DataFrame:
     """New register rows with document ids above the existing ones, on each document's first row.
 
-    Ids follow the order of ``receiving_id``. Documents are ranked inside ranges of ``span`` ids and shifted by the
-    counts of the ranges before; only the table of ranges (one row per million ids) is ordered as a whole.
+    Ids follow the order of ``receiving_id``. Documents are dealt into ranges of like size, however sparse their
+    ids, ranked inside their range and shifted by the counts of the ranges before. Only the table of ranges, a row for
+    each partition, is ordered as a whole. The ranges are sampled, so they are fixed by a checkpoint.
     """
-    documents = new.groupBy("receiving_id").agg(F.min("row_pos").alias("_first")).withColumn(
-        "_range", F.floor(F.col("receiving_id") / span)
+    ensure_checkpoint_dir(new.sparkSession)
+    documents = (
+        new.groupBy("receiving_id")
+        .agg(F.min("row_pos").alias("_first"))
+        .repartitionByRange("receiving_id")
+        .withColumn("_range", F.spark_partition_id())
+        .checkpoint()
     )
     ranked = documents.withColumn(
         "_rank", F.row_number().over(Window.partitionBy("_range").orderBy("receiving_id"))
@@ -219,8 +226,12 @@ def merge_register(existing: DataFrame, new: DataFrame) -> DataFrame:
     return numbered.unionByName(kept, allowMissingColumns=True)
 
 
-def write_register(register: DataFrame, path: str) -> None:
-    """CSV files of the 39 columns, one folder per document; the file order is the row order."""
-    register.repartition("receiving_id").sortWithinPartitions("receiving_id", "row_pos").select(
-        "receiving_id", *REGISTER_HEADERS
-    ).write.mode("overwrite").partitionBy("receiving_id").option("header", True).option("emptyValue", "").csv(path)
+def write_register(register: DataFrame, path: str, folders: int = 256) -> None:
+    """CSV files of the receiving id and the 39 columns, in ``folders`` folders by a hash of the receiving id.
+
+    The rows of a document stand together in one file, in row order.
+    """
+    rows = register.withColumn("folder", F.pmod(F.xxhash64("receiving_id"), F.lit(folders)))
+    rows.repartition("folder").sortWithinPartitions("folder", "receiving_id", "row_pos").select(
+        "folder", "receiving_id", *[F.col(f"`{title}`") for title in REGISTER_HEADERS]
+    ).write.mode("overwrite").partitionBy("folder").option("header", True).option("emptyValue", "").csv(path)

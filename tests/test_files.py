@@ -3,6 +3,8 @@
 import json
 
 from goodsledger.operators.catalog import match_names
+from goodsledger.operators.register import number_documents, write_register
+from goodsledger.schemas import REGISTER_HEADERS
 from goodsledger.sources.catalogs import read_catalog
 from goodsledger.sources.registers import (
     read_files,
@@ -85,3 +87,25 @@ def test_intake_stream_takes_every_file_once(spark, tmp_path):
     items = spark.read.parquet(str(target / "items"))
     assert sorted(r.name for r in items.collect()) == ["Мука", "Сок, 1 л", "Чай"]
     assert spark.read.parquet(str(target / "headers")).count() == 2
+
+
+def test_documents_are_numbered_in_order_however_sparse_their_ids(spark):
+    ids = [5, 7, 10**9, 10**12, 3 * 10**15, 4 * 10**15]
+    blank = {h: "" for h in REGISTER_HEADERS}
+    new = spark.createDataFrame([{**blank, "receiving_id": i, "row_pos": p} for i in ids for p in (1, 2)])
+    old = spark.createDataFrame([{**blank, "receiving_id": 1, "row_pos": 1, "ID документа": "41", "Корректировка": "нет"}])
+    rows = number_documents(new, old).orderBy("receiving_id", "row_pos").collect()
+    assert [(r.document_id, r["ID документа"]) for r in rows] == [
+        (42 + n, str(42 + n) if p == 1 else "") for n in range(len(ids)) for p in (1, 2)
+    ]
+
+
+def test_register_files_keep_documents_together(spark, tmp_path):
+    blank = {h: "" for h in REGISTER_HEADERS}
+    rows = spark.createDataFrame([{**blank, "receiving_id": i, "row_pos": p, REGISTER_HEADERS[0]: f"{i}-{p}"} for i in range(20) for p in (2, 1)])
+    write_register(rows, str(tmp_path / "register"), folders=4)
+    files = sorted((tmp_path / "register").glob("folder=*/*.csv"))
+    seen = [[line.split(",")[0] for line in f.read_text(encoding="utf-8").splitlines()[1:]] for f in files]
+    assert len({f.parent for f in files}) <= 4
+    assert sorted(i for ids in seen for i in set(ids)) == sorted(str(i) for i in range(20))
+    assert all(ids[k : k + 2] == [ids[k]] * 2 for ids in seen for k in range(0, len(ids), 2))
