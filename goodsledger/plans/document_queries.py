@@ -54,7 +54,7 @@ with x as (select doc_id, list_transform(regexp_extract_all(translate(text, 'Xx'
              lambda s: try_cast(replace(translate(s, chr(160) || ''' %', ''), ',', '.') as double)) as n from documents),
 y as (select doc_id, list_filter(n, lambda v: v is not null) as n from x)
 select doc_id, len(n) as n_numbers, list_min(n) as least, list_max(n) as greatest, n[1] as first_number,
-       list_sum(list_transform(n, lambda v: cast(floor(v) as decimal(38,0)))) as whole_total,
+       cast(list_sum(list_transform(n, lambda v: cast(floor(v) as decimal(38,0)))) as double) as whole_total,
        cast(list_sum(list_transform(n, lambda v: cast(floor((v - floor(v)) * 10000 + 0.5) as bigint))) as bigint) as fraction_total from y""")
 def _document_numbers(t: Inputs):
     """Whole parts and ten-thousandths are summed apart: both sums are exact, whatever the size of a number."""
@@ -65,7 +65,7 @@ def _document_numbers(t: Inputs):
     return numbers.select(
         "doc_id", F.size("n").alias("n_numbers"), F.array_min("n").alias("least"), F.array_max("n").alias("greatest"),
         F.get("n", F.lit(0)).alias("first_number"),
-        F.when(given, F.aggregate(whole, F.lit(0).cast("decimal(38,0)"), lambda a, v: (a + v).cast("decimal(38,0)"))).alias("whole_total"),
+        F.when(given, F.aggregate(whole, F.lit(0).cast("decimal(38,0)"), lambda a, v: (a + v).cast("decimal(38,0)")).cast("double")).alias("whole_total"),
         F.when(given, F.aggregate(part, F.lit(0).cast("long"), lambda a, v: a + v)).alias("fraction_total"),
     )
 

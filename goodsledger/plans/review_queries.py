@@ -348,7 +348,7 @@ def _match_invoice(t: Inputs):
 
 @query("match_suppliers")
 def _match_suppliers(t: Inputs):
-    names = t.invoice_headers.select(F.col("supplier_legal_name").alias("name")).where("name is not null")
+    names = t.invoice_headers.select(F.coalesce("supplier_legal_name", F.lit("")).alias("name"))
     return catalogs.match_names(names, catalog(t), "supplier").select(
         "name", "value", "entity_name", F.round("confidence", 9).alias("confidence"), "status"
     )
@@ -405,12 +405,15 @@ def _fill_items(t: Inputs):
 
 
 @query("fill_headers_from_catalogs", """
-select r.id as receiving_id, 'S' || cast(s.s_suppkey as varchar) as iiko_supplier_id, s.s_name as iiko_supplier_name,
-       'C' || cast(c.c_custkey as varchar) as iiko_default_store_id, 'ready' as iiko_mapping_status, '' as iiko_mapping_error
-from receivings r join supplier s on s.s_name = r.supplier join customer c on c.c_name = r.venue""", needs=("receivings",))
+select r.id as receiving_id, 'S' || cast(s.s_suppkey as varchar) as iiko_supplier_id, coalesce(s.s_name, (select arg_min(s_name, s_suppkey) from supplier)) as iiko_supplier_name,
+       'C' || cast(c.c_custkey as varchar) as iiko_default_store_id,
+       case when s.s_suppkey is null then 'needs_review' else 'ready' end as iiko_mapping_status,
+       case when s.s_suppkey is null then 'поставщик iiko не найден' else '' end as iiko_mapping_error
+from receivings r left join supplier s on s.s_name = r.supplier join customer c on c.c_name = r.venue""", needs=("receivings",))
 def _fill_headers(t: Inputs):
-    heads = t.receivings.where("supplier <> 'Supplier#none'").select(
-        F.col("id").alias("receiving_id"), "supplier", "venue",
+    unknown = F.when(F.col("supplier") == "Supplier#none", "нет такого").otherwise(F.col("supplier"))
+    heads = t.receivings.select(
+        F.col("id").alias("receiving_id"), unknown.alias("supplier"), "venue",
         *[F.lit(None).cast("string").alias(c) for c in ("iiko_supplier_id", "iiko_default_store_id", "iiko_organization")],
     )
     return catalogs.fill_headers(heads, catalog(t)).select(
