@@ -14,7 +14,7 @@ from goodsledger.sources.registers import (
     register_to_header,
     register_to_items,
 )
-from goodsledger.streaming.intake import intake_stream
+from goodsledger.streaming.intake import intake_issues, intake_stream
 
 REGISTER = (
     "﻿Реестр\r\r\n\r\r\nНакладные\r\r\n"
@@ -87,6 +87,14 @@ def test_intake_stream_takes_every_file_once(spark, tmp_path):
     items = spark.read.parquet(str(target / "items"))
     assert sorted(r.name for r in items.collect()) == ["Мука", "Сок, 1 л", "Чай"]
     assert spark.read.parquet(str(target / "headers")).count() == 2
+    issues = spark.read.parquet(str(target / "issues")).collect()
+    assert len({(r.file, r.message) for r in issues}) == len(issues) > 0
+    assert any("сумм" in r.message.lower() or "iiko" in r.message.lower() for r in issues)
+    # a batch that is repeated after a failure replaces its own output
+    folders = {n: str(target / n / "batch=0") for n in ("headers", "items", "issues")}
+    again = intake_issues(spark.read.parquet(folders["headers"]), spark.read.parquet(folders["items"]))
+    again.write.mode("overwrite").parquet(folders["issues"])
+    assert spark.read.parquet(str(target / "issues")).count() == len(issues)
 
 
 def test_documents_are_numbered_in_order_however_sparse_their_ids(spark):
