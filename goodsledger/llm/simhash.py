@@ -86,18 +86,18 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def split_masks(parents: list[tuple[int, int]], blocks: int) -> list[tuple[int, int, int, list[int]]]:
-    """The keys of the next level, two blocks of the bits that a parent (slot, mask) leaves free.
+def split_masks(parents: list[tuple[int, int, list[int]]], blocks: int) -> list[tuple[int, int, int, list[int]]]:
+    """The keys of the next level, two blocks of the bits that a parent (slot, mask, differ) leaves free.
 
-    (parent slot, slot, all bits fixed, blocks that a pair made at this key must not share).
+    (parent slot, slot, all bits fixed, blocks that a pair made at this key must not share, here and above).
     """
     out = []
-    for slot, fixed in parents:
+    for slot, fixed, above in parents:
         free = [bit for bit in range(64) if not fixed >> bit & 1]
         cuts = [len(free) * i // blocks for i in range(blocks + 1)]
         parts = [sum(1 << bit for bit in free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         for p, q in combinations(range(blocks), 2):
-            out.append((slot, len(out), fixed | parts[p] | parts[q], [parts[i] for i in range(q) if i != p]))
+            out.append((slot, len(out), fixed | parts[p] | parts[q], above + [parts[i] for i in range(q) if i != p]))
     return out
 
 
@@ -111,23 +111,30 @@ def close_pairs(prints: DataFrame, lanes: int, lane_bits: int, near_bits: int, m
     spark, blocks = prints.sparkSession, lane_bits + 2
     values = prints.select("node", F.posexplode("lanes").alias("lane", "value"))
     rows = store(values.groupBy("lane", "value").agg(F.min("node").alias("node")), "simhash-values").withColumn("slot", F.lit(0))
-    found, parents = [], [(0, 0)]
+    found, parents = [], [(0, 0, [])]
     for level in range(1, LEVELS + 1):
         table = split_masks(parents, blocks)
-        parents = [(slot, mask) for _, slot, mask, _ in table]
-        masks = spark.createDataFrame([(parent, slot, signed(mask)) for parent, slot, mask, _ in table], "slot int, next int, mask long")
+        parents = [key[1:] for key in table]
+        masks = spark.createDataFrame(
+            [(parent, slot, signed(mask), list(map(signed, differ))) for parent, slot, mask, differ in table],
+            "slot int, next int, mask long, differ array<long>",
+        )
+        # below the first level few rows are left, and carry the blocks that their pairs must not share
+        carried = [] if level == 1 else ["differ"]
         # one long names lane, blocks and bits; the distance check below tells apart what it might confuse
         key = F.xxhash64("lane", "next", F.col("value").bitwiseAND(F.col("mask"))).alias("key")
-        keys = rows.join(F.broadcast(masks), "slot").select(key, F.col("next").alias("slot"), "lane", "node", "value")
+        keys = rows.join(F.broadcast(masks), "slot").select(key, F.col("next").alias("slot"), "lane", "node", "value", *carried)
         sizes = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
         shared = store(keys.join(sizes, "key"), "simhash-keys")
         small = shared if level == LEVELS else shared.where(F.col("members") <= BUCKET)
-        left = small.select("key", "slot", F.col("node").alias("a"), F.col("value").alias("a_value"))
+        left = small.select("key", "slot", F.col("node").alias("a"), F.col("value").alias("a_value"), *carried)
         right = small.select("key", F.col("node").alias("b"), F.col("value").alias("b_value"))
         x = F.col("a_value").bitwiseXOR(F.col("b_value"))
         close = (F.col("a") < F.col("b")) & (F.bit_count(x) <= near_bits)
+        differ = F.col("differ")
         if level == 1:
-            close &= first_shared(x, [differ for *_, differ in table])
+            differ = F.element_at(F.lit([list(map(signed, d)) or [-1] for *_, d in table]), F.col("slot") + 1)
+        close &= F.forall(differ, lambda block: (x.bitwiseAND(block) != 0) | (block == -1))
         found.append(left.join(right, "key").where(close).select("a", "b"))
         rows = shared.where(F.col("members") > BUCKET).select("lane", "value", "node", "slot")
         if rows.isEmpty():
@@ -140,12 +147,6 @@ def close_pairs(prints: DataFrame, lanes: int, lane_bits: int, near_bits: int, m
     return verified(pairs, prints, lanes, max_bits).union(equal).distinct()
 
 
-def first_shared(x: Column, differ: list[list[int]]) -> Column:
-    """Whether the slot's two blocks are the first that a pair with the differing bits ``x`` shares."""
-    blocks = F.element_at(F.lit([[signed(block) for block in blocks] or [-1] for blocks in differ]), F.col("slot") + 1)
-    return F.forall(blocks, lambda block: (x.bitwiseAND(block) != 0) | (block == -1))
-
-
 def verified(pairs: DataFrame, prints: DataFrame, lanes: int, max_bits: int) -> DataFrame:
     """The pairs whose Hamming distance over all lanes is at most ``max_bits``."""
     a = prints.select(F.col("node").alias("a"), F.col("lanes").alias("a_lanes"))
@@ -222,7 +223,7 @@ def simhash_components(docs: DataFrame, id_col="doc_id", text_col="text", *, shi
 
 
 #: Settings of ``drop_near_duplicates``: words of a shingle, lanes, bits within a lane, and the similarity kept apart.
-WORDS, LANES, LANE_BITS, SIMILARITY = 5, 4, 4, 0.8
+WORDS, LANES, LANE_BITS, SIMILARITY = 5, 8, 3, 0.8
 
 
 def bits_of(similarity: float, lanes: int) -> int:
