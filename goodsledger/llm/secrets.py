@@ -25,7 +25,10 @@ SCOPE = 240
 
 @dataclass(frozen=True)
 class Kind:
-    """``pattern`` without look-around; ``least``: length of the match, or of ``group``, from which it counts."""
+    """``pattern`` without look-around; ``least``: length of the match, or of ``group``, from which it counts.
+
+    ``marks``: any match holds one of these texts, which are faster to look for than the pattern.
+    """
 
     name: str
     pattern: str
@@ -33,6 +36,12 @@ class Kind:
     least: int = 0
     group: int = 0
     weak: bool = False
+    marks: tuple[str, ...] = ()
+
+    def possible(self, text: Column) -> Column:
+        """Whether the text has a match."""
+        found = text.rlike(self.pattern)
+        return reduce(lambda a, b: a | b, [text.contains(mark) for mark in self.marks]) & found if self.marks else found
 
 
 def either_case(words: str) -> str:
@@ -43,16 +52,16 @@ def either_case(words: str) -> str:
 GIVES = r"""["']?\x20*[:=]\x20*["']?"""
 # Fixed patterns of the base kinds, in order of report.
 BASE = (
-    Kind("assign", f"({either_case('password|passwd|secret|token|api_?key')}){GIVES}([A-Za-z0-9+/_.=-]+)", "secret", 6, 2),
-    Kind("access", "AKIA[A-Z0-9]+", "access", 20),
+    Kind("assign", f"({either_case('password|passwd|secret|token|api_?key')}){GIVES}([A-Za-z0-9+/_.=-]+)", "secret", 6, 2, marks=(":", "=")),
+    Kind("access", "AKIA[A-Z0-9]+", "access", 20, marks=("AKIA",)),
     Kind("hex", "[0-9a-f]{24,}", "secret"),  # the same runs as of one and more, without the many short ones
 )
 WEAK = (
     Kind("weak_access", f"({either_case('access_?key_?id|client_?id|user_?name|user|login|account')}){GIVES}([A-Za-z0-9@._-]+)",
-         "access", 3, 2, True),
+         "access", 3, 2, True, (":", "=")),
     Kind("weak_secret", f"({either_case('pass|pwd|access_?key|private_?key|credential|auth')}){GIVES}([A-Za-z0-9+/_.=-]+)",
-         "secret", 6, 2, True),
-    Kind("weak_endpoint", r"[a-z][a-z0-9+]*://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+", "endpoint", 10, 0, True),
+         "secret", 6, 2, True, (":", "=")),
+    Kind("weak_endpoint", r"[a-z][a-z0-9+]*://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+", "endpoint", 10, 0, True, ("://",)),
 )
 KINDS = (*BASE, *WEAK)
 #: Other roles that must all stand in the scope of a weak part.
@@ -77,7 +86,7 @@ def matches(text: Column, number: int, kind: Kind) -> Column:
             (F.length(value(m)) >= kind.least).alias("counts"),
         ),
     )
-    return F.when(text.rlike(kind.pattern), each).otherwise(F.array().cast(NOTHING))
+    return F.when(kind.possible(text), each).otherwise(F.array().cast(NOTHING))
 
 
 def scanned(rows: DataFrame) -> DataFrame:
@@ -183,7 +192,7 @@ def mask_secrets(
     marks = store(scanned(intake(docs, id_col, text_col)).drop(ID).where(F.size("found") > 0), "secret-scan")
     hit = spans_by_text(marks, scope)
     rows = packed_rows(docs, id_col, text_col)
-    any_match = reduce(lambda a, b: a | b, [F.col(TEXT).rlike(kind.pattern) for kind in KINDS])
+    any_match = reduce(lambda a, b: a | b, [kind.possible(F.col(TEXT)) for kind in KINDS])
     # rows without any match stay where they are: their texts are not shuffled
     clean = rows.where(~any_match).withColumn("spans", F.lit(None).cast(hit.schema["spans"].dataType))
     matched = rows.where(any_match).withColumn("key", F.sha2(TEXT, 256)).join(hit, "key", "left")
