@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from math import acos, pi
+from math import acos, pi, sqrt
 
 import numpy as np
 import xxhash
@@ -227,12 +227,13 @@ WORDS, LANES, LANE_BITS, SIMILARITY = 5, 8, 3, 0.8
 
 
 def bits_of(similarity: float, lanes: int) -> int:
-    """Expected distance over all lanes of two texts that share this part of their shingles.
+    """Distance over all lanes up to which two texts count as this similar: the expected one and one deviation.
 
     A bit differs with the angle between the shingle vectors over pi; two sets of one size with Jaccard
-    similarity s have the cosine 2 s / (1 + s).
+    similarity s have the cosine 2 s / (1 + s). The deviation is that of as many independent bits.
     """
-    return int(64 * lanes * acos(2 * similarity / (1 + similarity)) / pi)
+    bits, apart = 64 * lanes, acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * apart + sqrt(bits * apart * (1 - apart)))
 
 
 def drop_near_duplicates(
