@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from goodsledger.llm.common import ID, derive, intake, keep_rows, store
 
 #: Fingerprints of one key up to which they are compared as they are.
-BUCKET = 32
+BUCKET = 256
 #: Times that a crowded key is split at most.
 LEVELS = 3
 
