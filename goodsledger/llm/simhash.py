@@ -5,10 +5,14 @@ agree on two of any k + 2 blocks they are split into, so they share a key of two
 are joined on these keys, lane by lane, and the pairs checked by their Hamming distance over all lanes. A pair
 is made at one key only, that of its first two shared blocks. A key with more than ``BUCKET`` values is not
 joined but split again: the bits outside the key form k + 2 smaller blocks, of which a close pair again shares
-two. With k = 2 the third split fixes 56 bits, so that no bucket ever holds more than 256 values. With several
-lanes, fingerprints that agree in a whole lane are linked to the smallest of them, which stands for all in that lane;
-and after the links within k bits, the smallest fingerprint of each class stands for it in a second search that
-takes pairs further apart wherever they share a key. So a large group of near copies is never paired in full.
+two. With k = 2 the third split fixes 56 bits, so that no bucket ever holds more than 256 values.
+
+``drop_near_duplicates`` links texts by the Jaccard similarity of their shingles, as an exact set-similarity join.
+Elements are put in one global order, rarest first by hashed counters over all texts. Two similar sets share one of
+the first elements of both (prefix filter), and the first one they share leaves enough behind it on both sides
+(length and positional filter). The pairs found are verified on the whole sets. At each element the two outermost
+texts are compared with all others first; then every pair that these links leave in different classes. So a large
+group of near copies is not paired in full, and no link between two classes is left out, however many texts share it.
 
 Copies meet in the distinct fingerprints and are never paired. Components of the links are found by alternating
 large-star and small-star steps on the distinct fingerprints; every step is a written table.
@@ -17,15 +21,17 @@ large-star and small-star steps on the distinct fingerprints; every step is a wr
 from __future__ import annotations
 
 from functools import reduce
+from hashlib import sha256
 from itertools import combinations
-from math import acos, pi, sqrt
+from math import ceil
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from goodsledger.llm.common import ID, derive, intake, keep_rows, store
+from goodsledger.llm.common import ID, byte_texts, derive, in_arrow, intake, keep_rows, store
 
 #: Fingerprints of one key up to which they are compared as they are.
 BUCKET = 256
@@ -191,16 +197,10 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(roots)
 
 
-def classes_of(marks: DataFrame, lane_bits: int, max_bits: int, lanes: int) -> DataFrame:
-    """Stored (lanes, root): the class of every distinct fingerprint."""
+def classes_of(marks: DataFrame, max_bits: int) -> DataFrame:
+    """Stored (lanes, root): the class of every distinct fingerprint of one lane."""
     prints = store(marks.select("lanes").distinct().withColumn("node", F.monotonically_increasing_id()), "fingerprint-nodes")
-    pairs = store(close_pairs(prints, lanes, lane_bits, lane_bits, max_bits), "simhash-pairs")
-    linked = components(pairs)
-    if lanes > 1:
-        members = linked.where("node <> root").select("node")
-        standing = store(prints.join(members, "node", "left_anti"), "fingerprint-roots")
-        further = close_pairs(standing, lanes, lane_bits, max(lane_bits, 3 * max_bits // (2 * lanes)), max_bits)
-        linked = components(pairs.union(further))
+    linked = components(store(close_pairs(prints, 1, max_bits, max_bits, max_bits), "simhash-pairs"))
     linked = linked.withColumnRenamed("node", "linked")
     rooted = prints.join(linked, F.col("node") == F.col("linked"), "left")
     return store(rooted.select("lanes", F.coalesce("root", "node").alias("root")), "fingerprint-classes")
@@ -213,7 +213,7 @@ def simhash_components(docs: DataFrame, id_col="doc_id", text_col="text", *, shi
     to each other and to any other fingerprint close to zero. An empty table gives no rows.
     """
     marks = store(fingerprints(docs, id_col, text_col, shingle=shingle, seed=seed), "fingerprints")
-    classes = classes_of(marks, max_bits, max_bits, 1)
+    classes = classes_of(marks, max_bits)
     least = marks.groupBy("lanes").agg(F.min(ID).alias("least")).join(classes, "lanes")
     named = least.groupBy("root").agg(F.min("least").alias("component_id")).join(classes, "root")
     named = store(named.select("lanes", "component_id"), "fingerprint-components")
@@ -222,28 +222,161 @@ def simhash_components(docs: DataFrame, id_col="doc_id", text_col="text", *, shi
     )
 
 
-#: Settings of ``drop_near_duplicates``: words of a shingle, lanes, bits within a lane, and the similarity kept apart.
-WORDS, LANES, LANE_BITS, SIMILARITY = 5, 8, 3, 0.8
+#: Settings of ``drop_near_duplicates``: words of a shingle, and the similarity from which texts are linked.
+WORDS, SIMILARITY = 5, 0.8
+#: Counters of shingles by the first bits of their hash; they only order the shingles.
+COUNTER_BITS = 18
+#: Texts to be compared up to which their hashes are sent to every task instead of being shuffled.
+SENT = 50_000
+#: Taken off bounds that are products of fractions, so that rounding never loses a pair.
+ROUNDING = 1e-9
+COUNTED, DISTINCT = 1, 2
+
+
+def shingle_sets(text: bytes, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles, counted and distinct. The n-th repeat of a shingle is an element of its own."""
+    hashes = np.sort(shingle_hashes(text, size, seed))
+    first = np.ones(len(hashes), dtype=bool)
+    first[1:] = hashes[1:] != hashes[:-1]
+    distinct = hashes[first]
+    if len(distinct) == len(hashes):
+        return hashes, distinct
+    starts = np.flatnonzero(first)
+    repeat = np.arange(len(hashes)) - np.repeat(starts, np.diff(np.append(starts, len(hashes))))
+    x = hashes + np.uint64(0x9E3779B97F4A7C15) * repeat.astype(np.uint64)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return np.sort(np.where(first, hashes, x ^ x >> np.uint64(31))), distinct
 
 
-def bits_of(similarity: float, lanes: int) -> int:
-    """Distance over all lanes up to which two texts count as this similar: the expected one and one deviation.
+def counters(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def shingle_counts(rows: DataFrame, shingle: int, seed: int) -> np.ndarray:
+    """Elements of all texts by counter. ``1 << COUNTER_BITS`` sums reach the driver."""
+
+    def run(batches):
+        total = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for text in byte_texts(batch):
+                np.add.at(total, counters(shingle_sets(text, shingle, seed)[0]), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"counter": used, "n": total[used]})
+
+    parts = in_arrow(rows.select("_text"), run, "counter long, n long")
+    total = np.zeros(1 << COUNTER_BITS, np.int64)
+    summed = parts.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    total[summed["counter"].to_numpy()] = summed["n"].to_numpy()
+    return total
 
-    A bit differs with the angle between the shingle vectors over pi; two sets of one size with Jaccard
-    similarity s have the cosine 2 s / (1 + s). The deviation is that of as many independent bits.
-    """
-    bits, apart = 64 * lanes, acos(2 * similarity / (1 + similarity)) / pi
-    return int(bits * apart + sqrt(bits * apart * (1 - apart)))
+
+def rare_first(found: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first elements in the order of all texts: two sets this similar share one of them."""
+    order = np.lexsort((found, counts[counters(found)]))
+    return found[order[: len(found) - ceil(similarity * len(found) - ROUNDING) + 1]].view(np.int64)
+
+
+def shingle_marks(rows: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
+    """(_id, _sha, digest, sizes and first elements of both sets); no second set where nothing is repeated."""
+    sent = rows.sparkSession.sparkContext.broadcast(shingle_counts(rows, shingle, seed))
+
+    def build(texts: list[bytes]) -> dict:
+        out = {name: [] for name in ("digest", "counted_size", "counted_keys", "distinct_size", "distinct_keys")}
+        for text in texts:
+            counted, distinct = shingle_sets(text, shingle, seed)
+            out["digest"].append(sha256(counted.tobytes()).hexdigest())
+            distinct = distinct[: len(distinct) if len(distinct) < len(counted) else 0]
+            for name, found in (("counted", counted), ("distinct", distinct)):
+                out[f"{name}_size"].append(len(found))
+                out[f"{name}_keys"].append(rare_first(found, sent.value, similarity))
+        return out
+
+    fields = "digest string, counted_size int, counted_keys array<long>, distinct_size int, distinct_keys array<long>"
+    return derive(rows, build, fields)
+
+
+def candidates(left: DataFrame, right: DataFrame, apart, similarity: float) -> DataFrame:
+    """Distinct pairs (a < b) of rows at one key that may be this similar by their sizes and places."""
+    left = left.select("key", *[F.col(c).alias(f"a_{c}") for c in left.columns if c != "key"])
+    right = right.select("key", *[F.col(c).alias(f"b_{c}") for c in right.columns if c != "key"])
+    sizes = F.least("a_size", "b_size") >= similarity * F.greatest("a_size", "b_size") - ROUNDING
+    # at the first element they share, all that is shared lies from there on
+    ahead = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+    places = ahead >= similarity / (1 + similarity) * (F.col("a_size") + F.col("b_size")) - ROUNDING
+    forms = F.col("a_form").bitwiseAND(F.col("b_form")) != 0
+    pairs = left.join(right, "key").where(apart & forms & sizes & places)
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
+def similar(pairs: DataFrame, prints: DataFrame, rows: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
+    """Stored: those of the stored ``pairs`` whose shingle sets, distinct or counted, are this similar."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = store(prints.select("node", "_sha").join(nodes, "node"), "compared")
+    if wanted.count() <= SENT:
+        wanted = F.broadcast(wanted)
+    texts = rows.select("_sha", "_text").join(wanted, "_sha").groupBy("node").agg(F.first("_text").alias("_text"))
+
+    def build(found: list[bytes]) -> dict:
+        sets = [shingle_sets(text, shingle, seed) for text in found]
+        return {"counted": [c.view(np.int64) for c, _ in sets], "distinct": [d.view(np.int64) for _, d in sets]}
+
+    sets = store(derive(texts, build, "counted array<long>, distinct array<long>"), "shingle-sets")
+    a, b = ([F.col(c).alias(f"{side}_{c}" if c != "node" else side) for c in sets.columns] for side in "ab")
+
+    def alike(name: str):
+        both = F.size(F.array_intersect(f"a_{name}", f"b_{name}"))
+        return both / (F.size(f"a_{name}") + F.size(f"b_{name}") - both) >= similarity
+
+    found = pairs.join(sets.select(a), "a").join(sets.select(b), "b").where(alike("distinct") | alike("counted"))
+    return store(found.select("a", "b"), "similar")
+
+
+def similar_classes(marks: DataFrame, rows: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
+    """Stored (digest, root): the class of every distinct counted set under the links of this similarity or more."""
+    columns = ("_sha", "counted_size", "counted_keys", "distinct_size", "distinct_keys")
+    first = F.min_by(F.struct(*columns), "_sha").alias("first")
+    prints = marks.groupBy("digest").agg(first).select("digest", "first.*")
+    prints = store(prints.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
+
+    alone = F.when(F.col("distinct_size") == 0, COUNTED | DISTINCT).otherwise(COUNTED)
+    kinds = (("counted", alone), ("distinct", F.lit(DISTINCT)))
+    keys = reduce(DataFrame.union, [
+        prints.select("node", form.alias("form"), F.col(f"{name}_size").alias("size"), F.posexplode(f"{name}_keys").alias("place", "key"))
+        for name, form in kinds
+    ])
+    ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    shared = store(keys.join(ends, "key"), "shingle-keys")
+
+    # first two nodes of each key against all others; then all pairs that these links leave in different classes
+    hubs = shared.where("node = low or node = high")
+    pairs = store(candidates(hubs, shared, F.col("a_node") != F.col("b_node"), similarity), "shingle-pairs")
+    links = similar(pairs, prints, rows, shingle, seed, similarity)
+    linked = components(links)
+    rooted = shared.drop("low", "high").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = store(rooted, "shingle-roots")
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    open_keys = store(rooted.join(several.select("key"), "key"), "shingle-open")
+    apart = (F.col("a_root") != F.col("b_root")) & (F.col("a_node") < F.col("b_node"))
+    further = candidates(open_keys, open_keys, apart, similarity).join(pairs, ["a", "b"], "left_anti")
+    links = links.union(similar(store(further, "shingle-pairs"), prints, rows, shingle, seed, similarity))
+    classes = prints.select("digest", "node").join(components(links), "node", "left")
+    return store(classes.select("digest", F.coalesce("root", "node").alias("root")), "shingle-classes")
 
 
 def drop_near_duplicates(
-    docs: DataFrame, id_col="doc_id", text_col="text", *, shingle=WORDS, seed=42, lanes=LANES, lane_bits=LANE_BITS, similarity=SIMILARITY
+    docs: DataFrame, id_col="doc_id", text_col="text", *, shingle=WORDS, seed=42, similarity=SIMILARITY
 ) -> DataFrame:
-    """One row of each component stays, with all columns: smallest id, null ids last, then smallest text hash."""
-    marks = store(fingerprints(docs, id_col, text_col, shingle=shingle, seed=seed, lanes=lanes), "fingerprints")
-    classes = classes_of(marks, lane_bits, bits_of(similarity, lanes), lanes)
+    """One row of each component stays, with all columns: smallest id, null ids last, then smallest text hash.
+
+    Texts are linked where the Jaccard similarity of their shingles, distinct or counted with their repeats, is
+    ``similarity`` or more. Every such pair is linked or lies in one component all the same.
+    """
+    rows = intake(docs, id_col, text_col).withColumn("_sha", F.sha2("_text", 256))
+    marks = store(shingle_marks(rows, shingle, seed, similarity), "shingles")
+    classes = similar_classes(marks, rows, shingle, seed, similarity)
     order = F.struct(F.col(ID).isNull().alias("none"), F.col(ID), F.col("_sha"))
-    best = marks.groupBy("lanes", ID, "_sha").agg(F.count("*").alias("copies"))
-    best = best.groupBy("lanes").agg(F.min_by(F.struct(ID, "_sha", "copies"), order).alias("row"), F.min(order).alias("place"))
-    kept = best.join(classes, "lanes").groupBy("root").agg(F.min_by("row", "place").alias("row")).select("row.*")
+    best = marks.groupBy("digest", ID, "_sha").agg(F.count("*").alias("copies"))
+    best = best.groupBy("digest").agg(F.min_by(F.struct(ID, "_sha", "copies"), order).alias("row"), F.min(order).alias("place"))
+    kept = best.join(classes, "digest").groupBy("root").agg(F.min_by("row", "place").alias("row")).select("row.*")
     return keep_rows(docs, id_col, text_col, kept)
