@@ -63,3 +63,17 @@ def test_planted_pairs_from_0_80_to_0_90(spark):
     close = [jaccard(a, b) for a, b in zip(texts[::2], texts[1::2], strict=True)]
     assert sum(0.8 <= s < 0.85 for s in close) >= 20 and min(close) < 0.8
     assert kept(spark, texts) == kept_by_brute_force(texts)
+
+
+def test_repeated_boilerplate_links_nothing(spark):
+    rnd = random.Random(12)
+    line = " ".join(words(rnd, 20))
+    texts = [" ".join([line] * 20 + words(rnd, 484)) for _ in range(30)]
+    assert kept(spark, texts) == set(range(30))
+
+
+def test_equal_ends_and_lengths_are_no_copies(spark):
+    rnd = random.Random(13)
+    base = words(rnd, 500)
+    texts = [" ".join(base)] + [" ".join(changed(rnd, base, n)) for n in (14, 18, 22, 26) for _ in range(4)]  # 0.75 and less
+    assert kept(spark, texts) == kept_by_brute_force(texts) == set(range(17))
