@@ -5,6 +5,8 @@ from collections import Counter
 from functools import cache
 from itertools import combinations
 
+import pytest
+
 from goodsledger.llm import simhash
 
 
@@ -77,3 +79,18 @@ def test_equal_ends_and_lengths_are_no_copies(spark):
     base = words(rnd, 500)
     texts = [" ".join(base)] + [" ".join(changed(rnd, base, n)) for n in (14, 18, 22, 26) for _ in range(4)]  # 0.75 and less
     assert kept(spark, texts) == kept_by_brute_force(texts) == set(range(17))
+
+
+@pytest.mark.parametrize("bystanders", [0, 300])
+def test_crowded_passages_decide_no_link(spark, bystanders):
+    """The same pairs are linked alone and beside many texts that share most of their words."""
+    rnd = random.Random(14)
+    passage = words(rnd, 300)
+    texts = []
+    for n in (2, 3, 4, 5, 6, 7, 8) * 2:
+        base = passage + words(rnd, 120)
+        texts += [" ".join(base), " ".join(changed(rnd, base, n))]
+    texts += [" ".join(passage + words(rnd, 120)) for _ in range(bystanders)]
+    got = kept(spark, texts)
+    assert got == kept_by_brute_force(texts)
+    assert len(got) == 14 + bystanders
