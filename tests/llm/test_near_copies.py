@@ -94,3 +94,22 @@ def test_crowded_passages_decide_no_link(spark, bystanders):
     got = kept(spark, texts)
     assert got == kept_by_brute_force(texts)
     assert len(got) == 14 + bystanders
+
+
+def test_chains_are_followed_to_the_end(spark):
+    """Each revision is close to the one before only; all are one component."""
+    rnd = random.Random(15)
+    texts = []
+    for _ in range(6):
+        text, free = words(rnd, 500), list(range(5, 490, 6))
+        rnd.shuffle(free)
+        for _ in range(12):
+            texts.append(" ".join(text))
+            text = list(text)
+            for _ in range(6):
+                text[free.pop()] = f"c{rnd.getrandbits(40)}"
+    assert jaccard(texts[0], texts[1]) >= 0.85 and jaccard(texts[0], texts[3]) < 0.8
+    rnd.shuffle(texts)
+    got = kept(spark, texts)
+    assert got == kept_by_brute_force(texts)
+    assert len(got) == 6
