@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from goodsledger.llm import bpe, exact_dedup, licenses, packing, quality_model, quality_rules, secrets, simhash, toxicity, url_filter
+from goodsledger.llm import bpe, exact_dedup, languages, licenses, packing, quality_model, quality_rules, secrets, simhash
+from goodsledger.llm import toxicity, url_filter, vector_codes, whitening
 from goodsledger.llm.common import read
 
 
@@ -50,6 +51,18 @@ def op10_license_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(read(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+def op12_whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_predictions(read(spark, sf_dir, "documents"))
+
+
 EXACT_SQL = """
 with hashed as (select doc_id, sha256(coalesce(text, '')) as text_sha256, coalesce(text, '') as body from documents),
      kept as (select body, max(doc_id) as keep_id, count(*) as group_size from hashed group by body)
@@ -60,6 +73,7 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from h
 QUERIES = (
     op1_pack_documents, op2_url_verdicts, op3_exact_duplicates, op4_quality_rules, op5_toxicity,
     op6_simhash_components, op7_secret_spans, op8_byte_bpe, op9_quality_scores, op10_license_labels,
+    op11_vector_codes, op12_whitened_embeddings, op13_languages,
 )
 
 
@@ -73,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_duplicates": EXACT_SQL,
         "op7_secret_spans": secrets.spans_sql(),
         "op10_license_labels": licenses.labels_sql(),
+        "op11_vector_codes": vector_codes.codes_sql(),
     }
