@@ -138,18 +138,25 @@ def mixture(likelihood, times, starts, active) -> tuple[np.ndarray, np.ndarray]:
     document = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(times))))
     size = np.add.reduceat(times, starts)[:, None]
     shares = active / active.sum(1, keepdims=True)
+    moving = np.ones(len(starts), dtype=bool)
     for _ in range(ROUNDS):
         joint = likelihood * shares[document]
         joint *= (times / np.maximum(joint.sum(1), 1e-300))[:, None]
         fresh = np.add.reduceat(joint, starts) / size
-        still = np.abs(fresh - shares).max() < STILL
-        shares = fresh
-        if still:
+        change = np.abs(fresh - shares).max(1)
+        shares[moving] = fresh[moving]
+        moving &= change >= STILL
+        if not moving.any():
             break
     inner = np.log(np.maximum((likelihood * shares[document]).sum(1), 1e-300))
     return shares, np.add.reduceat(times * inner, starts)
 
 
+def largest(shares: np.ndarray) -> np.ndarray:
+    """The language with the largest share of each row; shares equal to nine places go to the first in order."""
+    return np.round(shares, 9).argmax(1)
+
+
 def language_sets(likelihood, times, starts) -> np.ndarray:
     """Shares of the selected languages per document.
 
@@ -161,7 +168,7 @@ def language_sets(likelihood, times, starts) -> np.ndarray:
     active = np.ones((len(starts), likelihood.shape[1]))
     shares, _ = mixture(likelihood, times, starts, active)
     large = shares * size[:, None] >= 0.5
-    large[np.arange(len(starts)), shares.argmax(1)] = True
+    large[np.arange(len(starts)), largest(shares)] = True
     active = large.astype(float)
     shares, fit = mixture(likelihood, times, starts, active)
     lengths = np.diff(np.append(starts, len(times)))
@@ -170,7 +177,8 @@ def language_sets(likelihood, times, starts) -> np.ndarray:
         rows = np.concatenate([np.arange(starts[d], starts[d] + lengths[d]) for d in todo])
         inner = np.concatenate([[0], np.cumsum(lengths[todo])[:-1]])
         fewer = active[todo].copy()
-        fewer[np.arange(len(todo)), np.where(fewer > 0, shares[todo], np.inf).argmin(1)] = 0
+        least = largest(np.where(fewer > 0, -shares[todo], -np.inf)[:, ::-1])
+        fewer[np.arange(len(todo)), fewer.shape[1] - 1 - least] = 0
         tried, tried_fit = mixture(likelihood[rows], times[rows], inner, fewer)
         better = tried_fit + charge[todo] >= fit[todo]
         won = todo[better]
@@ -210,7 +218,7 @@ def language_predictions(docs: DataFrame, id_col="doc_id", text_col="text", lang
     def build(texts):
         langs, model = sent.value
         found = [shares for group in text_groups(texts) for shares in shares_of(group, model)]
-        best = [None if s is None else int(s.argmax()) for s in found]
+        best = [None if s is None else int(largest(s[None])[0]) for s in found]
         return {
             "lang_pred": [UNKNOWN if b is None else langs[b] for b in best],
             "score": [0.0 if b is None else min(float(s[b]), 1.0) for b, s in zip(best, found, strict=True)],
