@@ -6,18 +6,17 @@ order) and the entity's fields.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from goodsledger.functions.numbers import vat_included
 from goodsledger.functions.text import normalize_catalog_text
-from goodsledger.session import ship_package
+from goodsledger.session import ensure_checkpoint_dir, ship_package
 
 # Searched fields by kind, thresholds, reasons.
 SEARCH_FIELDS = {
@@ -42,9 +41,13 @@ REASON_SINGLE_STORE = "выбран единственный склад iiko"
 REASON_UNIT_FALLBACK = "единицы iiko недоступны; оставлена OCR-единица"
 ERROR_NO_STORE = "не определен склад/defaultStore для позиции"
 
-# Block sizes of the fuzzy pass: one task holds one block of names and one of catalog texts.
-NAME_BLOCK = 4000
-TEXT_BLOCK = 4000
+# Running numbers of a repeated character that the catalog's character counts tell apart.
+COUNTED_REPEATS = 8
+# Lengths that share a join key, and texts of one frequent character that share a task.
+LENGTH_SPAN = 8
+POSTING_SPAN = 20_000
+# Texts per piece among which a name finds its first score.
+SEEDS = 8
 # Copies of a lookup table row, so that rows of one very frequent name spread over several tasks.
 LOOKUP_SALTS = 8
 
@@ -65,84 +68,213 @@ def catalog_texts(catalog: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def _best_of_block(names: list[str], texts: pd.DataFrame) -> Iterator[tuple[str, float, int, int]]:
-    """Best text per name; exact, candidates are skipped only when an upper bound is below the best so far."""
-    words = texts["text"].tolist()
-    place = list(zip(texts["entity_pos"].tolist(), texts["field_pos"].tolist()))
-    alphabet = {ch: k for k, ch in enumerate(sorted({ch for w in words for ch in w}))}
-    counts = np.zeros((len(words), len(alphabet)), dtype=np.int32)
-    for row, word in enumerate(words):
-        for ch in word:
-            counts[row, alphabet[ch]] += 1
-    sizes = counts.sum(axis=1)
-    for name in names:
-        own = np.zeros(len(alphabet), dtype=np.int32)
-        for ch in name:
-            if ch in alphabet:
-                own[alphabet[ch]] += 1
-        # matching blocks cannot hold more characters than the texts share
-        shared = np.minimum(counts, own).sum(axis=1)
-        bound = 2.0 * shared / (sizes + len(name))
-        best: tuple[float, tuple[int, int]] | None = None
-        # one text can only contain the other when it has all of its characters
-        for row in np.flatnonzero(shared == np.minimum(sizes, len(name))):
-            word = words[row]
-            if name in word or word in name:
-                bound[row] = -1.0
-                short, long = sorted((len(name), len(word)))
-                score = 1.0 if name == word else max(0.75, short / long)
-                if best is None or (-score, place[row]) < (-best[0], best[1]):
-                    best = (score, place[row])
-        for row in np.argsort(-bound, kind="stable"):
-            if bound[row] <= 0 or (best is not None and bound[row] < best[0] - 1e-9):
-                break
-            score = SequenceMatcher(None, name, words[row]).ratio()
-            if score > 0 and (best is None or (-score, place[row]) < (-best[0], best[1])):
-                best = (score, place[row])
-        if best is not None:
-            yield name, best[0], best[1][0], best[1][1]
-
-
-def _block_match(names: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
-    rows = _best_of_block(names["q"].tolist(), texts) if len(texts) else ()
-    return pd.DataFrame(rows, columns=["q", "score", "entity_pos", "field_pos"])
-
-
-def best_texts(names: DataFrame, texts: DataFrame, name_block: int = NAME_BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
+def _occurrences(text: str) -> Column:
+    """Every character of a text with its running number among equal ones: ``(c, i)``."""
+    letters = F.split(F.col(text), "")
+    return F.flatten(
+        F.transform(
+            F.array_distinct(F.filter(letters, lambda c: c != "")),
+            lambda c: F.transform(
+                F.sequence(F.lit(1), F.size(F.filter(letters, lambda other: other == c))),
+                lambda i: F.struct(c.alias("c"), i.alias("i")),
+            ),
+        )
+    )
+
+
+def _token(occurrence: Column) -> Column:
+    return F.concat(occurrence["c"], F.least(occurrence["i"], F.lit(COUNTED_REPEATS)).cast("string"))
+
+
+def _token_counts(texts: DataFrame) -> DataFrame:
+    """One map of how many texts hold each character (at least i times); its size is bounded by the alphabet."""
+    counted = texts.select(F.explode(_occurrences("text")).alias("t")).groupBy(_token(F.col("t")).alias("token")).count()
+    return counted.agg(F.map_from_entries(F.collect_list(F.struct("token", "count"))).alias("counts"))
+
+
+def _postings(rows: DataFrame, text: str, counts: DataFrame) -> DataFrame:
+    """One row per character occurrence, rarest in the catalog first: ``at`` (from 0), ``token``, ``salts``."""
+    held = F.transform(
+        _occurrences(text),
+        lambda t: F.struct(F.coalesce(F.try_element_at("counts", _token(t)), F.lit(0)).alias("f"), t["c"].alias("c"), t["i"].alias("i")),
+    )
+    placed = rows.withColumn("counts", counts.scalar()).withColumn("held", F.array_sort(held)).drop("counts")
+    return placed.select(*rows.columns, F.posexplode("held").alias("at", "t")).select(
+        *rows.columns, "at", F.concat("t.c", F.col("t.i").cast("string")).alias("token"),
+        (1 + F.floor(F.col("t.f") / POSTING_SPAN)).cast("int").alias("salts"),
+    )
+
+
+def _similarity(name: str, text: str) -> float:
+    if name == text:
+        return 1.0
+    if name in text or text in name:
+        short, long = sorted((len(name), len(text)))
+        return max(0.75, short / long)
+    return SequenceMatcher(None, name, text).ratio()
+
+
+def _best_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Best text of each name among the candidate pairs of a batch.
+
+    The characters two texts share are counted as the common bits of two masks; candidates are measured in falling
+    order of that bound, down to the best score found, or to the name's level.
+    """
+    for batch in batches:
+        names, texts = batch.column("q").to_pylist(), batch.column("text").to_pylist()
+        bits: dict[tuple[str, int], int] = {}
+        masks: dict[str, int] = {}
+        for text in {*names, *texts}:
+            seen: dict[str, int] = {}
+            mask = 0
+            for ch in text:
+                seen[ch] = seen.get(ch, 0) + 1
+                mask |= 1 << bits.setdefault((ch, seen[ch]), len(bits))
+            masks[text] = mask
+        options: dict[str, set[tuple[float, int, int, str]]] = {}
+        levels = batch.column("level").to_pylist()
+        places = zip(batch.column("entity_pos").to_pylist(), batch.column("field_pos").to_pylist(), strict=True)
+        for name, text, level, place in zip(names, texts, levels, places, strict=True):
+            bound = 2 * (masks[name] & masks[text]).bit_count() / (len(name) + len(text))
+            if bound >= level - 1e-9:
+                options.setdefault(name, set()).add((-bound, *place, text))
+        best: list[tuple[str, float, int, int]] = []
+        for name, found in options.items():
+            top = (0.0, 0, 0)
+            for bound, entity, field, text in sorted(found):
+                if bound > top[0] + 1e-9:
+                    break
+                score = -_similarity(name, text)
+                if score < 0:
+                    top = min(top, (score, entity, field))
+            if top[0] < 0:
+                best.append((name, *top))
+        columns = list(zip(*best, strict=True)) or [[]] * 4
+        kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(BEST))
+
+
+BEST = ("q", "neg", "entity_pos", "field_pos")
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    ship_package(pairs.sparkSession)
+    rows = pairs.select("q", "text", "level", F.col("entity_pos").cast("long"), F.col("field_pos").cast("long"))
+    return rows.mapInArrow(_best_of_pairs, "q string, neg double, entity_pos long, field_pos long")
+
+
+def _leaders(*found: DataFrame) -> DataFrame:
+    """Best of several results per name: highest score, then first place. Combined on the map side."""
+    rows = reduce(DataFrame.unionByName, found)
+    best = rows.groupBy("q").agg(F.min(F.struct(*BEST[1:])).alias("best"))
+    return best.select("q", "best.*")
+
+
+def _pieces(text: str, widths: tuple[int, ...]) -> Column:
+    def cut(width: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - width + 1, F.lit(0))), lambda s: s > 0)
+        return F.transform(starts, lambda s: F.substring(F.col(text), s, F.lit(width)))
+
+    return F.array_distinct(F.concat(*map(cut, widths)))
+
+
+def _contained(inner: DataFrame, inner_text: str, outer: DataFrame, outer_text: str) -> DataFrame:
+    """Pairs in which one text lies inside the other, scored.
+
+    The inner text asks for its rarest piece of up to three characters, the outer one offers all of its pieces,
+    spread over ``LOOKUP_SALTS`` parts.
+    """
+    offered = outer.withColumn("piece", F.explode(_pieces(outer_text, (1, 2, 3))))
+    frequency = offered.groupBy("piece").agg(F.count(F.lit(1)).alias("f"))
+    own = F.when(F.length(inner_text) >= 3, _pieces(inner_text, (3,))).otherwise(F.array(inner_text))
+    asked = (
+        inner.withColumn("piece", F.explode(own))
+        .join(frequency, "piece", "left")
+        .groupBy(*inner.columns)
+        .agg(F.min(F.struct(F.coalesce("f", F.lit(0)), "piece")).alias("rarest"))
+        .select(*inner.columns, F.col("rarest.piece").alias("piece"), F.explode(F.sequence(F.lit(0), F.lit(LOOKUP_SALTS - 1))).alias("salt"))
+    )
+    offered = offered.withColumn("salt", F.pmod(F.xxhash64(outer_text), F.lit(LOOKUP_SALTS)).cast("int"))
+    pairs = asked.join(offered, ["piece", "salt"]).where(F.col(outer_text).contains(F.col(inner_text)))
+    score = F.greatest(F.lit(0.75), F.length(inner_text) / F.length(outer_text))
+    return pairs.select("q", (-score).alias("neg"), F.col("entity_pos").cast("long"), F.col("field_pos").cast("long"))
+
+
+def _seeds(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """A first good text for most names: those that share three characters, at most ``SEEDS`` texts of each piece.
+
+    Only a start for the bounds of ``_search``, which misses nothing whatever is found here.
+    """
+    order = Window.partitionBy("piece").orderBy(F.xxhash64("text"), "text")
+    index = (
+        texts.withColumn("piece", F.explode(_pieces("text", (3,)))).withColumn("n", F.row_number().over(order))
+        .where(F.col("n") <= SEEDS).drop("n")
+    )
+    asked = names.select("q", F.lit(0.0).alias("level"), F.explode(_pieces("q", (3,))).alias("piece"))
+    return _scored(asked.join(index, "piece"))
+
+
+def _search(names: DataFrame, texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Best text among all that can reach a name's ``level``: ``names(q, level)``.
+
+    Texts of lengths n and m score at most twice their shared characters over n + m. To reach the level they share
+    at least ``need`` characters, so one of the n - need + 1 rarest of one text is among the m - need + 1 rarest
+    of the other: the join key is that character (with its running number) and a range of lengths. A frequent
+    character's texts are spread over ``salts`` parts.
+    """
+    n, m, level = F.length("q"), F.length("text"), F.col("level")
+    width = F.lit(LENGTH_SPAN)
+
+    def need(other: Column) -> Column:
+        return F.greatest(F.ceil(level * (n + other) / 2 - 1e-9), F.lit(1))
+
+    shortest = F.greatest(F.ceil(level * n / (2 - level) - 1e-9), F.lit(1))
+    longest = F.when(level > 0, F.floor(n * (2 - level) / level + 1e-9))
+    longest_text = texts.agg(F.coalesce(F.max(F.length("text")), F.lit(0)).cast("long").alias("longest")).scalar()
+    asked = names.withColumn("most", longest_text).withColumn("most", F.least("most", longest))
+    asked = _postings(asked.where(F.col("most") >= shortest), "q", counts).where(F.col("at") <= n - need(shortest))
+    spans = F.sequence(F.floor(shortest / width), F.floor(F.col("most") / width))
+    asked = asked.select("q", "level", "token", F.col("at").alias("q_at"), F.explode(spans).alias("span"), "salts")
+    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    offered = _postings(texts, "text", counts).select(
+        *texts.columns, "token", F.col("at").alias("text_at"), F.floor(m / width).alias("span"),
+        F.pmod(F.xxhash64("text"), F.col("salts")).cast("int").alias("salt"),
+    )
+    # few bytes make many pairs here: keep the number of tasks that the session names
+    keys, tasks = ["token", "span", "salt"], int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = asked.repartition(tasks, *keys).join(offered.repartition(tasks, *keys), keys)
+    fits = (need(m) <= F.least(n, m)) & (F.col("q_at") <= n - need(m)) & (F.col("text_at") <= m - need(m))
+    return _scored(pairs.where(fits))
+
+
+def best_texts(names: DataFrame, texts: DataFrame) -> DataFrame:
     """Best catalog text per distinct normalized name ``q``: ``(q, score, entity_pos, field_pos)``.
 
-    Equal texts are found by an equi-join. Only the remaining names meet the catalog text by text, in a
-    two-sided block join: names and texts are cut into blocks of bounded size and every pair of blocks is
-    one task's work; nothing is broadcast and no pair row is emitted.
+    Equal texts are found by an equi-join. For the other names the best text that contains the name or lies in it,
+    and the best among a few that share pieces, give a score to beat; an index of character occurrences then yields
+    every text that can reach it (``_search``). Names that stay below ``REVIEW_SCORE`` are searched once more, down
+    to their own best score. Pairs are scored where they are joined and combined per name before any shuffle.
     """
+    ensure_checkpoint_dir(names.sparkSession)
+    names, texts = names.checkpoint(), texts.checkpoint()
     equal = names.join(texts.withColumnRenamed("text", "q"), "q").select(
         "q", F.lit(1.0).alias("score"), F.col("entity_pos").cast("long").alias("entity_pos"),
         F.col("field_pos").cast("long").alias("field_pos"),
     )
-    open_names = names.join(texts.select(F.col("text").alias("q")), "q", "left_anti")
-    name_blocks = max(1, math.ceil(open_names.count() / name_block))
-    text_blocks = max(1, math.ceil(texts.count() / text_block))
-
-    def place(key: str, count: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
-
-    def spread(count: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    ship_package(names.sparkSession)
-    left = open_names.select("q", place("q", name_blocks).alias("nb"), spread(text_blocks).alias("tb"))
-    right = texts.select("*", place("text", text_blocks).alias("tb"), spread(name_blocks).alias("nb"))
-    fuzzy = (
-        left.groupBy("nb", "tb")
-        .cogroup(right.groupBy("nb", "tb"))
-        .applyInPandas(
-            lambda n, t: _block_match(n, t), schema="q string, score double, entity_pos long, field_pos long"
-        )
-        .groupBy("q")
-        .agg(F.min(F.struct((-F.col("score")).alias("neg"), "entity_pos", "field_pos")).alias("best"))
-        .select("q", (-F.col("best.neg")).alias("score"), "best.entity_pos", "best.field_pos")
+    open_names = names.join(texts.select(F.col("text").alias("q")), "q", "left_anti").checkpoint()
+    if open_names.isEmpty():
+        return equal
+    counts = _token_counts(texts)
+    score = F.coalesce(-F.col("neg"), F.lit(0.0))
+    found = (
+        _contained(open_names, "q", texts, "text"), _contained(texts, "text", open_names, "q"), _seeds(open_names, texts)
     )
-    return equal.unionByName(fuzzy)
+    first = open_names.join(_leaders(*found), "q", "left").checkpoint()
+    likely = _search(first.select("q", F.greatest(score, F.lit(REVIEW_SCORE)).alias("level")), texts, counts)
+    second = open_names.join(_leaders(first.dropna(), likely), "q", "left").checkpoint()
+    left = second.where(score < REVIEW_SCORE).select("q", score.alias("level"))
+    last = _leaders(second.dropna(), _search(left, texts, counts))
+    return equal.unionByName(last.select("q", (-F.col("neg")).alias("score"), "entity_pos", "field_pos"))
 
 
 def match_names(names: DataFrame, catalog: DataFrame, kind: str) -> DataFrame:
@@ -194,10 +326,9 @@ def match_stores(names: DataFrame, catalog: DataFrame) -> DataFrame:
     """Store matches; a blank name falls back to the only store when the catalog has exactly one."""
     matched = match_names(names, catalog, "store")
     single = catalog.where(F.col("kind") == "store").agg(
-        F.count(F.lit(1)).alias("n"), F.first("id").alias("only_id"), F.first("name").alias("only_name")
+        F.struct(F.count(F.lit(1)).alias("n"), F.first("id").alias("only_id"), F.first("name").alias("only_name")).alias("single")
     )
-    # one row, carried by a scalar join on a constant key
-    joined = matched.withColumn("_one", F.lit(1)).join(single.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+    joined = matched.withColumn("single", single.scalar()).select(*matched.columns, "single.*")
     alone = (F.coalesce("name", F.lit("")) == "") & (F.col("n") == 1)
     return joined.withColumns(
         {
@@ -213,8 +344,8 @@ def match_stores(names: DataFrame, catalog: DataFrame) -> DataFrame:
 def match_units(names: DataFrame, catalog: DataFrame) -> DataFrame:
     """Unit matches; without a unit catalog the recognized unit is kept with low confidence."""
     matched = match_names(names, catalog, "unit")
-    units = catalog.where(F.col("kind") == "unit").agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
-    joined = matched.withColumn("_one", F.lit(1)).join(units, "_one", "left").drop("_one")
+    units = catalog.where(F.col("kind") == "unit").agg(F.count(F.lit(1)).alias("n"))
+    joined = matched.withColumn("n", units.scalar())
     kept = (F.coalesce("name", F.lit("")) != "") & (F.col("n") == 0)
     return joined.withColumns(
         {

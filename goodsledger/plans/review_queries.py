@@ -339,18 +339,94 @@ def _match_ordered(t: Inputs):
     )
 
 
-@query("match_invoice_products")
+def _ratio_sql(name: str, pairs: str) -> str:
+    """``name(q, e, score)``: the ratio of matching blocks of every row of ``pairs(q, e)``.
+
+    ``name_parts`` holds stretches of both texts still to be compared. Of each, the longest common block (the first
+    in q, then in e) is counted, and what lies before and after it is compared in turn.
+    """
+    return f"""
+{name}_parts as (
+  select q, e, 0 as a0, length(q)::int as a1, 0 as b0, length(e)::int as b1, 0 as size from {pairs}
+  union all
+  select q, e, case when side = 0 then a0 else i + n end, case when side = 0 then i else a1 end,
+         case when side = 0 then b0 else j + n end, case when side = 0 then j else b1 end, case when side = 0 then n else 0 end
+  from (
+    select q, e, a0, a1, b0, b1, max(n)::int as n, arg_max(i, (n, -i, -j))::int as i, arg_max(j, (n, -i, -j))::int as j
+    from (
+      select q, e, a0, a1, b0, b1, min(i) as i, min(j) as j, count(*) as n
+      from (
+        select *, i - row_number() over (partition by q, e, a0, b0, a1, b1, i - j order by i) as run
+        from (select q, e, a0, a1, b0, b1, i, unnest(range(b0, b1)) as j
+              from (select q, e, a0, a1, b0, b1, unnest(range(a0, a1)) as i from {name}_parts))
+        where q[i + 1] = e[j + 1])
+      group by q, e, a0, a1, b0, b1, i - j, run)
+    group by q, e, a0, a1, b0, b1), (select unnest([0, 1]) as side)),
+{name} as (select q, e, 2.0 * sum(size) / (length(q) + length(e)) as score from {name}_parts group by q, e)"""
+
+
+def _catalog_norm(x: str) -> str:
+    return f"trim(regexp_replace(replace(lower({x}), 'ё', 'е'), '[^a-zа-я0-9]+', ' ', 'g'))"
+
+
+def best_match_sql(names: str, fields: str, reason: str) -> str:
+    """Best of all catalog texts per name: ``names`` gives ``name``, ``fields`` gives ``pos, field, text, value, entity_name``.
+
+    Every pair is bounded by its shared characters; the ratio is worked out for the five pairs of a name with the
+    highest bounds, then for all pairs whose bound reaches the best score so found.
+    """
+    return f"""
+names as (select distinct name from ({names})),
+fields as ({fields}),
+texts as (
+  select e, min((pos, field)) as place, arg_min(value, (pos, field)) as value, arg_min(entity_name, (pos, field)) as entity_name
+  from (select *, {_catalog_norm('text')} as e from fields) where e <> '' group by e),
+asked as (select distinct {_catalog_norm('name')} as q from names),
+q_letters as (select q, c, count(*) as n from (select q, unnest(string_split(q, '')) as c from asked) where c <> '' group by q, c),
+e_letters as (select e, c, count(*) as n from (select e, unnest(string_split(e, '')) as c from texts) where c <> '' group by e, c),
+bounds as materialized (
+  select q, e, 2.0 * sum(least(a.n, b.n)) / (length(q) + length(e)) as bound
+  from q_letters a join e_letters b using (c) group by q, e),
+inner_ as (
+  select q, e, case when q = e then 1.0 else greatest(0.75, least(length(q), length(e))::double / greatest(length(q), length(e))) end as score
+  from bounds where contains(q, e) or contains(e, q)),
+open_ as (select * from bounds anti join inner_ using (q, e)),
+few as (select q, e from open_ qualify row_number() over (partition by q order by bound desc, e) <= 5),
+{_ratio_sql('begun', 'few')},
+levels as (select q, max(score) as level from (from begun union all from inner_) group by q),
+rest as (select q, e from open_ join levels using (q) where bound >= level - 1e-9),
+{_ratio_sql('measured', 'rest')},
+best as (
+  select q, arg_min(e, (-score, place)) as e, max(score) as score
+  from (from measured union all from inner_) join texts using (e) where score > 0 group by q)
+select n.name, case when b.score >= 0.55 then t.value end as value, t.entity_name, coalesce(round(b.score, 9), 0.0) as confidence,
+       case when b.score >= 0.72 then 'ready' else 'needs_review' end as status,
+       case when b.score >= 0.72 then 'сопоставлено автоматически'
+            when b.score >= 0.55 then 'низкая уверенность автоматического сопоставления' else '{reason}' end as reason
+from names n left join best b on b.q = {_catalog_norm('n.name')} left join texts t on t.e = b.e"""
+
+
+PRODUCT_FIELDS = """
+select p_partkey as pos, unnest([0, 1]) as field, unnest([p_name || ' ' || p_type, 'num ' || p_partkey]) as text,
+       'P' || p_partkey as value, lower(p_name || ' ' || p_type) as entity_name from part"""
+SUPPLIER_FIELDS = "select s_suppkey as pos, 0 as field, s_name as text, 'S' || s_suppkey as value, s_name as entity_name from supplier"
+SUPPLIER_NAMES = "select coalesce(supplier_legal_name, '') as name from invoice_headers"
+
+
+@query("match_invoice_products", f"with {best_match_sql('select name from invoice_lines', PRODUCT_FIELDS, 'товар iiko не найден')}",
+       needs=("invoice_lines",), recursive=True)
 def _match_invoice(t: Inputs):
     return catalogs.match_names(t.invoice_lines.select("name"), catalog(t), "product").select(
         "name", "value", "entity_name", F.round("confidence", 9).alias("confidence"), "status", "reason"
     )
 
 
-@query("match_suppliers")
+@query("match_suppliers", f"with {best_match_sql(SUPPLIER_NAMES, SUPPLIER_FIELDS, 'поставщик iiko не найден')}",
+       needs=("invoice_headers",), recursive=True)
 def _match_suppliers(t: Inputs):
     names = t.invoice_headers.select(F.coalesce("supplier_legal_name", F.lit("")).alias("name"))
     return catalogs.match_names(names, catalog(t), "supplier").select(
-        "name", "value", "entity_name", F.round("confidence", 9).alias("confidence"), "status"
+        "name", "value", "entity_name", F.round("confidence", 9).alias("confidence"), "status", "reason"
     )
 
 

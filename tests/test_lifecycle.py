@@ -97,7 +97,7 @@ def test_catalog_match_equals_full_scan(spark):
         want[name] = (f"P{best}" if top >= 0.55 else None, round(top, 9))
     texts = catalogs.catalog_texts(cat, "product")
     q = spark.createDataFrame([(norm(n),) for n in names if norm(n)], "q string").distinct()
-    blocked = {r.q: round(r.score, 9) for r in catalogs.best_texts(q, texts, name_block=7, text_block=11).collect()}
+    blocked = {r.q: round(r.score, 9) for r in catalogs.best_texts(q, texts).collect()}
     got = {r.name: (r.value, round(r.confidence, 9)) for r in catalogs.match_names(spark.createDataFrame([(n,) for n in names], "name string"), cat, "product").collect()}
     assert got == want
     assert all(blocked.get(norm(n), 0.0) == want[n][1] for n in names)
