@@ -5,7 +5,7 @@ which every invoice line prefers the lowest order position. It is reached by def
 proposals, so whole blocks of lines can propose at once:
 
 * lines with the same normalized name form a class; scores are computed once per pair of classes, and only for
-  pairs that share a token that can matter or contain one another (found through indexes, never all pairs);
+  pairs that share a token that can matter or contain one another (``candidates.py``, never all pairs);
 * classes with the same scored options (told by their number and two sums of hashes over them) propose as one, so
   lines that are equally similar to the same invoice lines settle together, however many names they have;
 * per round the j-th free order line of a class proposes to the j-th best invoice line that its class may
@@ -16,12 +16,10 @@ All joins are keyed by receiving and name, token, text piece or position, so one
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from goodsledger.functions.similarity import token_similarity
+from goodsledger.operators.candidates import similar_names
 from goodsledger.operators.matching import REPLACEMENT_THRESHOLD, _prepared, classify
 from goodsledger.session import ensure_checkpoint_dir
 
@@ -30,92 +28,11 @@ RANK_SPAN = 100_000
 _LINE = ("item_pos", "name", "quantity", "unit", "price", "crossed_out", "comment")
 
 
-def _needed_overlap(own: Column, other: Column) -> Column:
-    """Shared tokens a pair of these sizes needs to reach the threshold."""
-    share = REPLACEMENT_THRESHOLD / (1 + REPLACEMENT_THRESHOLD)
-    return F.ceil((own + other) * share - 1e-9)
-
-
-def _token_pairs(orders: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Class pairs sharing a token among those that must contain one of the shared ones (rare tokens first)."""
-    def tokens(classes: DataFrame) -> DataFrame:
-        return classes.select("receiving_id", "norm", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-
-    both = tokens(orders).unionByName(tokens(invoices))
-    frequency = both.groupBy("receiving_id", "token").agg(F.count(F.lit(1)).alias("f"))
-
-    def prefixed(classes: DataFrame, sizes: DataFrame, own: str, other: str) -> DataFrame:
-        """Tokens in rarity order, kept per size of the other side while they lie in the needed prefix."""
-        ranked = (
-            tokens(classes).join(frequency, ["receiving_id", "token"])
-            .groupBy("receiving_id", "norm", "n")
-            .agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("all"))
-            .select("receiving_id", "norm", "n", F.posexplode("all").alias("at", "t"))
-        )
-        keyed = ranked.join(sizes.withColumnRenamed("n", "m"), "receiving_id")
-        need = _needed_overlap(F.col("n"), F.col("m"))
-        inside = (F.col("at") < F.col("n") - need + 1) & (need <= F.least("n", "m"))
-        return keyed.where(inside).select(
-            "receiving_id", F.col("norm").alias(own + "_norm"), F.col("t.token").alias("token"),
-            F.col("n").alias(own + "_n"), F.col("m").alias(other + "_n"),
-        )
-
-    def sizes(classes: DataFrame) -> DataFrame:
-        return classes.select("receiving_id", F.size("tokens").alias("n")).distinct()
-
-    left = prefixed(orders, sizes(invoices), "o", "i")
-    right = prefixed(invoices, sizes(orders), "i", "o")
-    return left.join(right, ["receiving_id", "token", "o_n", "i_n"]).select("receiving_id", "o_norm", "i_norm")
-
-
-def _contained_pairs(short: DataFrame, long: DataFrame, short_name: str, long_name: str) -> DataFrame:
-    """Class pairs where one text lies inside the other, through pieces of up to three characters.
-
-    The inner text brings its rarest piece, the outer one all of its pieces.
-    """
-    def pieces(text: str, width: int) -> Column:
-        last = F.greatest(F.length(text) - width + 1, F.lit(0))
-        starts = F.filter(F.sequence(F.lit(0), last), lambda s: s > 0)
-        return F.transform(starts, lambda s: F.substring(F.col(text), s, F.lit(width)))
-
-    outer = long.select(
-        "receiving_id", F.col("norm").alias(long_name),
-        F.explode(F.array_distinct(F.concat(*[pieces("norm", w) for w in (1, 2, 3)]))).alias("piece"),
-    )
-    frequency = outer.groupBy("receiving_id", "piece").agg(F.count(F.lit(1)).alias("f"))
-    own = F.when(F.length("norm") >= 3, F.array_distinct(pieces("norm", 3))).otherwise(F.array("norm"))
-    inner = (
-        short.where(F.col("norm") != "")
-        .select("receiving_id", F.col("norm").alias(short_name), F.explode(own).alias("piece"))
-        .join(frequency, ["receiving_id", "piece"], "left")
-        .groupBy("receiving_id", short_name)
-        .agg(F.min(F.struct(F.coalesce("f", F.lit(0)), "piece")).alias("best"))
-        .select("receiving_id", short_name, F.col("best.piece").alias("piece"))
-    )
-    return (
-        inner.join(outer, ["receiving_id", "piece"])
-        .where(F.col(long_name).contains(F.col(short_name)))
-        .select("receiving_id", F.col("o_norm"), F.col("i_norm"))
-    )
-
-
 def class_scores(orders: DataFrame, invoices: DataFrame) -> DataFrame:
     """``(receiving_id, o_norm, i_norm, score)`` of every class pair that reaches the threshold."""
-    o = orders.select("receiving_id", "norm", "tokens").dropDuplicates(["receiving_id", "norm"])
-    i = invoices.select("receiving_id", "norm", "tokens").dropDuplicates(["receiving_id", "norm"])
-    pairs = reduce(
-        DataFrame.unionByName,
-        [
-            _token_pairs(o, i),
-            _contained_pairs(o, i, "o_norm", "i_norm"),
-            _contained_pairs(i, o, "i_norm", "o_norm"),
-        ],
-    ).distinct()
-    score = token_similarity(
-        F.col("o_norm"), F.col("i_norm"),
-        F.array_distinct(F.split("o_norm", " ")), F.array_distinct(F.split("i_norm", " ")),
-    )
-    return pairs.withColumn("score", score).where(F.col("score") >= REPLACEMENT_THRESHOLD)
+    sides = [side.select("receiving_id", "norm").distinct() for side in (orders, invoices)]
+    pairs = similar_names(*sides, REPLACEMENT_THRESHOLD).distinct()
+    return pairs.select("receiving_id", F.col("left").alias("o_norm"), F.col("right").alias("i_norm"), "score")
 
 
 def option_classes(scores: DataFrame) -> DataFrame:

@@ -6,12 +6,15 @@ roll-ups are map-side combined, so a receiving with very many lines costs one sm
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from goodsledger.functions.arrays import exploded
 from goodsledger.functions.similarity import normalized_similarity
 from goodsledger.functions.text import as_col, normalize_product_name
+from goodsledger.operators.candidates import containing, similar_names
 from goodsledger.operators.matching import FOLD_LIMIT, REPLACEMENT_THRESHOLD, match_lines
 from goodsledger.schemas import CONFIRMED_STATUSES
 
@@ -187,13 +190,67 @@ def compare_summary(items: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- corrections
 
-def locate_corrections(corrections: DataFrame, items: DataFrame) -> DataFrame:
+#: Texts times names of a receiving from which on the names are found through indexes.
+INDEXED_PAIRS = 20_000
+
+
+def _best_items(probes: DataFrame, items: DataFrame, indexed_pairs: int) -> DataFrame:
+    """``(receiving_id, query_norm, item_pos)`` of the item each text means, where one fits.
+
+    A receiving with few texts and names compares them as they are. Where they are many, containment is found by the
+    text's rarest piece and similarity by rare tokens (``candidates.py``); both ways give the same rows. Names are
+    classes of equal texts with their first and last position, and a maximum per text is formed on the map side.
+    """
+    told = F.explode(F.array(normalize_product_name("item_name_from_order"), normalize_product_name("item_name_from_invoice")))
+    asked = probes.select("receiving_id").distinct()
+    names = (
+        items.join(asked, "receiving_id", "left_semi").select("receiving_id", "item_pos", told.alias("norm"))
+        .groupBy("receiving_id", "norm").agg(F.min("item_pos").alias("first_pos"), F.max("item_pos").alias("last_pos"))
+    )
+    probes = probes.withColumn("again", normalize_product_name("query_norm"))
+    names = names.withColumn("again", normalize_product_name("norm"))
+
+    def size(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("receiving_id").agg(F.count(F.lit(1)).alias(name))
+
+    crowded = size(probes, "texts").join(size(names, "names"), "receiving_id").where(
+        F.col("texts") * F.col("names") > indexed_pairs
+    ).select("receiving_id")
+
+    def rank(direct: Column, score: Column) -> Column:
+        place = F.when(direct, F.col("last_pos")).otherwise(-F.col("first_pos"))
+        return F.struct(direct.alias("direct"), F.when(direct, F.lit(1.0)).otherwise(score).alias("score"), place.alias("place"))
+
+    few = probes.join(crowded, "receiving_id", "left_anti").withColumnRenamed("again", "query_again")
+    paired = few.join(names, "receiving_id")
+    score = normalized_similarity(F.col("query_again"), F.col("again"))
+    compared = paired.select("receiving_id", "query_norm", rank(F.col("norm").contains(F.col("query_norm")), score).alias("rank"))
+
+    texts, many = (side.join(crowded, "receiving_id", "left_semi") for side in (probes, names))
+    first_last = many.drop("again").withColumnRenamed("norm", "right")
+    direct = containing(texts.select("receiving_id", F.col("query_norm").alias("norm")), many.select("receiving_id", "norm"))
+    direct = direct.join(first_last, ["receiving_id", "right"]).select("receiving_id", F.col("left").alias("query_norm"), rank(F.lit(True), F.lit(1.0)).alias("rank"))
+    # an empty text lies in every name
+    last = many.groupBy("receiving_id").agg(F.max("last_pos").alias("last_pos"), F.min("first_pos").alias("first_pos"))
+    empty = texts.where(F.col("query_norm") == "").join(last, "receiving_id").select("receiving_id", "query_norm", rank(F.lit(True), F.lit(1.0)).alias("rank"))
+    sides = [side.select("receiving_id", F.col("again").alias("norm")).distinct() for side in (texts, many)]
+    places = many.groupBy("receiving_id", F.col("again").alias("right")).agg(F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"))
+    close = similar_names(*sides, REPLACEMENT_THRESHOLD)
+    ranked = close.join(places, ["receiving_id", "right"]).select("receiving_id", F.col("left").alias("again"), rank(F.lit(False), F.col("score")).alias("rank"))
+    similar = texts.join(ranked, ["receiving_id", "again"]).select("receiving_id", "query_norm", "rank")
+
+    found = reduce(DataFrame.unionByName, [compared, direct, empty, similar])
+    best = found.groupBy("receiving_id", "query_norm").agg(F.max("rank").alias("best")).where(F.col("best.score") >= REPLACEMENT_THRESHOLD)
+    return best.select("receiving_id", "query_norm", F.abs("best.place").alias("item_pos"))
+
+
+def locate_corrections(corrections: DataFrame, items: DataFrame, indexed_pairs: int = INDEXED_PAIRS) -> DataFrame:
     """The item every correction refers to: ``(receiving_id, seq, …, item_pos)``, null where none fits.
 
     By id when one is given (no fallback to the text). By text otherwise: names containing the text beat
     scores and the last of them wins; else the best similarity wins, the first on ties, from 0.25 up.
-    ``item_id`` refers to ``item_pos`` of the receiving. Candidates are reduced by a map-side
-    combined ``max_by``: no candidate list is gathered, whatever the size of a receiving.
+    ``item_id`` refers to ``item_pos`` of the receiving. No candidate list is gathered, whatever the size of a
+    receiving (``_best_items``).
     """
     keyed = corrections.withColumn("query_norm", normalize_product_name("item_query"))
     by_id = (
@@ -205,34 +262,8 @@ def locate_corrections(corrections: DataFrame, items: DataFrame) -> DataFrame:
         )
         .drop("query_norm")
     )
-
     by_text = keyed.where(F.col("item_id").isNull() & (F.coalesce("item_query", F.lit("")) != ""))
-    # One probe per distinct (receiving, text), scored against the distinct names of the receiving.
-    probes = by_text.select("receiving_id", "query_norm").distinct()
-    names = items.groupBy(
-        "receiving_id",
-        normalize_product_name("item_name_from_order").alias("order_norm"),
-        normalize_product_name("item_name_from_invoice").alias("invoice_norm"),
-    ).agg(F.min("item_pos").alias("first_pos"), F.max("item_pos").alias("last_pos"))
-    scored = probes.join(names, "receiving_id")
-    query = F.col("query_norm")
-    direct = F.col("order_norm").contains(query) | F.col("invoice_norm").contains(query)
-    again = normalize_product_name(query)
-    score = F.greatest(
-        normalized_similarity(again, normalize_product_name("order_norm")),
-        normalized_similarity(again, normalize_product_name("invoice_norm")),
-    )
-    rank = F.struct(
-        direct.alias("direct"),
-        F.when(direct, F.lit(1.0)).otherwise(score).alias("score"),
-        F.when(direct, F.col("last_pos")).otherwise(-F.col("first_pos")).alias("place"),
-    )
-    best = (
-        scored.groupBy("receiving_id", "query_norm")
-        .agg(F.max(rank).alias("best"))
-        .where(F.col("best.score") >= REPLACEMENT_THRESHOLD)
-        .select("receiving_id", "query_norm", F.abs("best.place").alias("item_pos"))
-    )
+    best = _best_items(by_text.select("receiving_id", "query_norm").distinct(), items, indexed_pairs)
     found = by_text.join(best, ["receiving_id", "query_norm"], "left").drop("query_norm")
     nowhere = keyed.where(
         F.col("item_id").isNull() & (F.coalesce("item_query", F.lit("")) == "")

@@ -88,10 +88,14 @@ best as (
     select *, row_number() over (partition by receiving_id, seq order by direct desc,
               case when direct then 0 else -score end, case when direct then -item_pos else item_pos end) as rn
     from scored) x where rn = 1 and (direct or score >= 0.25)),
-located as (
-  select c.*, coalesce(i.item_pos, b.item_pos) as item_pos from corrections c
-  left join items i on i.receiving_id = c.receiving_id and i.item_pos = c.item_id
-  left join best b on b.receiving_id = c.receiving_id and b.seq = c.seq)
+found as (
+  select receiving_id, seq, max(item_pos) as item_pos from (
+    select receiving_id, seq, item_pos from best
+    union all select c.receiving_id, c.seq, i.item_pos from corrections c
+    join items i on i.receiving_id = c.receiving_id and i.item_pos = c.item_id
+    union all select receiving_id, seq, null from corrections)
+  group by receiving_id, seq),
+located as (select c.*, f.item_pos from corrections c join found f on f.receiving_id = c.receiving_id and f.seq = c.seq)
 """
 CORRECTED_SQL = COMPARED_SQL + LOCATED_SQL + """,
 effects as (
@@ -135,7 +139,7 @@ _CORRECTED_ONLY = MATCH_SQL.replace("from order_lines),", "from order_lines wher
 LOCATE_SQL = _CORRECTED_ONLY.replace("items as (", "items as materialized (", 1) + LOCATED_SQL
 
 
-@query("locate_corrections", f"with {LOCATE_SQL} select receiving_id, seq, item_pos from located",
+@query("locate_corrections", f"with {LOCATE_SQL} select receiving_id, seq, item_pos from found",
        needs=(*MATCH_NEEDS, "corrections"), recursive=True)
 def _locate(t: Inputs):
     return lifecycle.locate_corrections(t.corrections, matched_items(t)).select("receiving_id", "seq", "item_pos")

@@ -59,6 +59,56 @@ def test_corrections_fold_equals_sequential_loop(spark):
     assert got == state
 
 
+def plain_lookup(query, items):
+    """Position of the item a text means: the last containing name, else the first of the best from 0.25 up."""
+
+    def norm(x):
+        return " ".join("".join(c if c.isalnum() or c in "%.,-" else " " for c in (x or "").lower()).split())
+
+    def sim(a, b):
+        if not a or not b:
+            return 0.0
+        if a in b or b in a:
+            return 1.0
+        s, t = set(a.split()), set(b.split())
+        return len(s & t) / len(s | t)
+
+    q = norm(query)
+    direct = [pos for pos, a, b in items if q in norm(a) or q in norm(b)]
+    if direct:
+        return max(direct)
+    score, place = max((max(sim(q, norm(a)), sim(q, norm(b))), -pos) for pos, a, b in items)
+    return -place if score >= 0.25 else None
+
+
+def test_corrections_find_items_by_text(spark):
+    rng = random.Random(9)
+    words = ["milk", "rye", "bread", "salt", "x1", "a", "ab", "red", "12", "blue"]
+    text = lambda most: " ".join(rng.choices(words, k=rng.randint(0, most)))
+    groups = {g: [(p, rng.choice([None, text(4)]), text(3)) for p in range(1, rng.randint(2, 30))] for g in range(12)}
+    asked = [(g, s, rng.choice(["?!", "zz", "mil", "alt", *(text(4) for _ in range(6))])) for g in groups for s in range(25)]
+    items = spark.createDataFrame([(g, *row) for g, rows in groups.items() for row in rows], "receiving_id long, item_pos long, item_name_from_order string, item_name_from_invoice string")
+    corrections = spark.createDataFrame([(g, s, None, q) for g, s, q in asked], "receiving_id long, seq long, item_id long, item_query string")
+    want = {(g, s): plain_lookup(q, groups[g]) if q else None for g, s, q in asked}
+    for pairs in (-1, 300, 10**9):
+        got = {(r.receiving_id, r.seq): r.item_pos for r in lifecycle.locate_corrections(corrections, items, indexed_pairs=pairs).collect()}
+        assert got == want, pairs
+
+
+def test_a_large_receiving_needs_no_pair_table(spark):
+    """20,000 lines and 2,000 texts of one receiving: 40 million pairs, of which the indexes join few."""
+    items = spark.range(20_000).selectExpr(
+        "1L as receiving_id", "id + 1 as item_pos", "concat('milk bread ', id, ' g', id % 977) as item_name_from_order",
+        "cast(null as string) as item_name_from_invoice",
+    )
+    corrections = spark.range(2_000).selectExpr("1L as receiving_id", "id as seq", "cast(null as long) as item_id", "concat('bread ', id * 10) as item_query")
+    got = lifecycle.locate_corrections(corrections, items).selectExpr("seq", "item_pos").collect()
+    assert len(got) == 2_000
+    names = [f"milk bread {i} g{i % 977}" for i in range(20_000)]
+    for r in got[:40]:
+        assert r.item_pos == max(i + 1 for i, n in enumerate(names) if f"bread {r.seq * 10}" in n)
+
+
 def test_supplier_mismatch(spark):
     pairs = [("Северный берег", "ООО Северный берег"), ("Северный берег", "ООО Южный ветер"), ("Северный берег", None)]
     df = spark.createDataFrame(pairs, "a string, b string").select(lifecycle.supplier_differs("a", "b").alias("d"))
