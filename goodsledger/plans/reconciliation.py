@@ -292,3 +292,48 @@ union all select 'problem_items', count(*) from items i join compared c on c.id
 select counter, n from tall where n > 0""", needs=("order_lines",))
 def _totals_classes(t: Inputs):
     return analytics.discrepancy_totals(*classed(t))
+
+
+# ---------------------------------------------------------------- receivings of many lines
+
+def crowded_lines(t: Inputs):
+    """All lines put into five receivings; names are two words made of a code, many of them equal."""
+    place = (F.col("receiving_id") * 8 + F.col("item_pos")).alias("item_pos")
+    code = F.lpad(F.col("part_key").cast("string"), 7, "0")
+    kind = (F.col("part_key") * 7 + F.col("item_pos")) % 10
+    name = F.when(kind == 3, F.concat(F.lit("p"), code, F.lit(" y"), code)).when(kind == 5, F.concat(F.lit("n"), code))
+    group = (F.col("receiving_id") % 5).alias("receiving_id")
+    orders = t.order_lines.select(group, place, F.concat(F.lit("p"), code, F.lit(" x"), code).alias("name"), "quantity", "unit", "price")
+    invoices = t.invoice_lines.select(
+        group, place, F.coalesce(name, F.concat(F.lit("p"), code, F.lit(" x"), code)).alias("name"),
+        "quantity", "unit", "price", "crossed_out", "comment",
+    )
+    return orders, invoices
+
+
+@query("match_crowded_lines", """
+with o as (
+  select receiving_id % 5 as g, receiving_id * 8 + item_pos as pos, lpad(cast(part_key as varchar), 7, '0') as code,
+         quantity, price from order_lines),
+i as (
+  select receiving_id % 5 as g, receiving_id * 8 + item_pos as pos, lpad(cast(part_key as varchar), 7, '0') as code,
+         (part_key * 7 + item_pos) % 10 as k, quantity, price, crossed_out, comment from invoice_lines),
+-- every ordered line of a code has the same options, best and first of them served in turn
+oc as (select *, row_number() over (partition by g, code order by pos) as turn from o),
+ic as (select *, row_number() over (partition by g, code order by case when k = 3 then 1 else 0 end, pos) as turn from i where k <> 5),
+last_order as (select g, max(pos) as m from o group by g),
+rows_ as (
+  select o.g, o.pos as item_pos, o.pos as order_pos, i.pos as invoice_pos, case when i.k = 3 then 1.0 / 3 when i.k is not null then 1.0 end as score,
+         case when i.k is null then 'missing' when i.crossed_out then 'crossed_out' when i.k = 3 then 'replacement_candidate'
+              when abs(o.quantity - i.quantity) > 0.0001 then 'quantity_mismatch'
+              when abs(o.price - i.price) > 0.01 then 'price_mismatch' else 'matched' end as status
+  from oc o left join ic i on i.g = o.g and i.code = o.code and i.turn = o.turn
+  union all
+  select i.g, coalesce(l.m, 0) + i.pos, null, i.pos, null, case when i.crossed_out then 'crossed_out' else 'extra' end
+  from (select g, pos, crossed_out from ic anti join oc using (g, code, turn)
+        union all select g, pos, crossed_out from i where k = 5) i left join last_order l using (g))
+select g as receiving_id, item_pos, order_pos, invoice_pos, round(score, 9) as score, status from rows_""", needs=MATCH_NEEDS)
+def _match_crowded(t: Inputs):
+    return matching.match_lines(*crowded_lines(t)).select(
+        "receiving_id", "item_pos", "order_pos", "invoice_pos", F.round("score", 9).alias("score"), "status"
+    )
