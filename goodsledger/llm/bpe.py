@@ -21,6 +21,8 @@ from goodsledger.llm.common import ID, TEXT, id_type, in_arrow, intake, store_bu
 
 #: Bytes of text that a block holds; a longer document is a block of its own.
 BLOCK_BYTES = 24 << 20
+#: Numbers that are packed at a time, and word rows whose ids are packed together.
+AT_ONCE, WORD_ROWS = 200_000, 100_000
 
 
 class Block:
@@ -43,7 +45,9 @@ class Block:
         """The words by falling frequency, equal ones in order of the word; each number's place in that list."""
         words = sorted(self.numbers)
         first = np.fromiter((self.numbers[w] for w in words), np.int64, len(words))
-        counts = np.bincount(np.concatenate(self.found), minlength=len(words)) if words else np.zeros(0, np.int64)
+        counts = np.zeros(len(words), np.int64)
+        for some in self.slices():
+            counts += np.bincount(np.concatenate(some), minlength=len(words))
         order = np.argsort(-counts[first], kind="stable")
         place = np.empty(len(words), np.uint32)
         place[first[order]] = np.arange(len(words), dtype=np.uint32)
@@ -51,9 +55,21 @@ class Block:
 
     def positions(self, place: np.ndarray) -> list[bytes]:
         """Per document the packed places of its words in order."""
-        data, ends = packed_numbers(place[np.concatenate(self.found)])
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, self.found)])]
-        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        out = []
+        for some in self.slices():
+            data, ends = packed_numbers(place[np.concatenate(some)])
+            cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, some)])]
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def slices(self):
+        """The documents' numbers, some documents at a time: about ``AT_ONCE`` numbers, at least one document."""
+        start, size = 0, 0
+        for i, found in enumerate(self.found):
+            size += len(found)
+            if size >= AT_ONCE or i + 1 == len(self.found):
+                yield self.found[start : i + 1]
+                start, size = i + 1, 0
 
 
 def blocks(batches, block_bytes: int):
@@ -124,13 +140,26 @@ def width(ranks: bytes) -> str:
 def encoded_words(words: DataFrame, ranks, kind: str) -> DataFrame:
     """(block, numbers, sizes, ids): words of all blocks side by side, each distinct one encoded once, packed by block.
 
-    A task packs the ids of its words, a partition of the shuffle by word.
+    The ids of every ``WORD_ROWS`` rows are packed at once, so a block may get several rows from one task.
     """
 
+    def packed(at, number, made):
+        at, number = np.concatenate(at), np.concatenate(number)
+        order = np.lexsort((number, at))
+        rows = []
+        for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+            ids = [made[i] for i in part]
+            steps = np.diff(number[part], prepend=0).astype(np.uint32)
+            sizes = np.fromiter(map(len, ids), np.uint32, len(ids)) // np.dtype(kind).itemsize
+            rows.append({"block": int(at[part[0]]), "numbers": packed_numbers(steps)[0], "sizes": packed_numbers(sizes)[0], "ids": b"".join(ids)})
+        return pa.RecordBatch.from_pylist(rows)
+
     def run(batches):
         coder, last, codes = bpe_tables.encoding(ranks.value), None, b""
-        blocks, numbers, made = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        at, number, made = [], [], []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             found = batch.column("word").dictionary_encode()
             known = []
             for word in found.dictionary.to_pylist():
@@ -138,17 +167,13 @@ def encoded_words(words: DataFrame, ranks, kind: str) -> DataFrame:
                     last, codes = word, np.array(bpe_tables.encode_word(coder, word), dtype=kind).tobytes()
                 known.append(codes)
             made += map(known.__getitem__, found.indices.to_pylist())
-            blocks.append(batch.column("block").to_numpy())
-            numbers.append(batch.column("number").to_numpy().astype(np.int64))
-        at, number = np.concatenate(blocks), np.concatenate(numbers)
-        order = np.lexsort((number, at))
-        for part in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
-            if len(part):
-                ids = [made[i] for i in part]
-                steps = np.diff(number[part], prepend=0).astype(np.uint32)
-                sizes = np.fromiter(map(len, ids), np.uint32, len(ids)) // np.dtype(kind).itemsize
-                packed = {"numbers": packed_numbers(steps)[0], "sizes": packed_numbers(sizes)[0], "ids": b"".join(ids)}
-                yield pa.RecordBatch.from_pylist([{"block": int(at[part[0]])} | packed])
+            at.append(batch.column("block").to_numpy())
+            number.append(batch.column("number").to_numpy().astype(np.int64))
+            if len(made) >= WORD_ROWS:
+                yield packed(at, number, made)
+                at, number, made = [], [], []
+        if made:
+            yield packed(at, number, made)
 
     together = words.repartition("word").sortWithinPartitions("word")
     return in_arrow(together, run, "block long, numbers binary, sizes binary, ids binary")
