@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 
 import public_tokenizers
@@ -10,13 +11,19 @@ import pyarrow as pa
 import regex
 import tiktoken
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def ranks_path() -> str:
     return public_tokenizers.path(RANKS)
 
 
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """Marks that the tokenizer file names beside its vocabulary, with their ids."""
+    with open(path or public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
 def rank_file(path: str) -> bytes:
     """The rank file as it is: some 1 MB whatever the corpus, so it may be broadcast."""
     with open(path, "rb") as file:
@@ -54,6 +61,14 @@ def encode_text(coder: tiktoken.Encoding, text: str, pattern: str = public_token
     return [i for word in splitter(pattern).finditer(text) for i in encode_word(coder, word.group())]
 
 
+def encode_marked(coder: tiktoken.Encoding, text: str, marks: dict[str, int]) -> list[int]:
+    """Ids of a whole text in which ``marks`` are tokens: it is cut at them, leftmost and longest, before all else."""
+    if not any(mark in text for mark in marks):
+        return encode_text(coder, text)
+    cuts = regex.split("(" + "|".join(map(regex.escape, sorted(marks, key=len, reverse=True))) + ")", text)
+    return [i for n, part in enumerate(cuts) for i in ([marks[part]] if n % 2 else encode_text(coder, part))]
+
+
 @lru_cache(maxsize=2)
 def byte_table(ranks: bytes) -> pa.LargeBinaryArray:
     """The bytes of each id, at its place. Ids that the file leaves free have none."""

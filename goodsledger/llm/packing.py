@@ -183,19 +183,21 @@ def cut(tokens: int, capacity: int) -> list[tuple[int, int]]:
     return head + [(start, capacity) for start in starts]
 
 
-def token_pieces(docs: DataFrame, id_col="doc_id", text_col="text", *, ranks=None, capacity=2048, end_id=0) -> DataFrame:
+def token_pieces(docs: DataFrame, id_col="doc_id", text_col="text", *, ranks=None, tokenizer=None, capacity=2048, end_id=0) -> DataFrame:
     """Pieces (_id, piece, start, length, ids_crc32) of the documents' token sequences, each closed by ``end_id``.
 
-    Null and empty texts have one piece, the end id. A text longer than the capacity is cut.
+    Null and empty texts have one piece, the end id. Marks that the ``tokenizer`` file adds to its vocabulary are
+    tokens where a text holds them. A text longer than the capacity is cut.
     """
     rows = intake(docs, id_col, text_col)
     sent = rows.sparkSession.sparkContext.broadcast(bpe_tables.rank_file(ranks or bpe_tables.ranks_path()))
+    marks = bpe_tables.added_tokens(tokenizer)
 
     def build(ids: pa.Array, texts: list[bytes]) -> dict:
         coder = bpe_tables.encoding(sent.value)
         at, out = [], {name: [] for name in ("piece", "start", "length", "ids_crc32")}
         for row, text in enumerate(texts):
-            codes = np.array([*bpe_tables.encode_text(coder, text.decode()), end_id], dtype="<u4")
+            codes = np.array([*bpe_tables.encode_marked(coder, text.decode(), marks), end_id], dtype="<u4")
             for piece, (start, length) in enumerate(cut(len(codes), capacity)):
                 at.append(row)
                 out["piece"].append(piece)

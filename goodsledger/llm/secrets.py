@@ -61,8 +61,9 @@ WEAK = (
          "access", 3, 2, True, (":", "=")),
     Kind("weak_secret", f"({either_case('pass|pwd|access_?key|private_?key|credential|auth')}){GIVES}([A-Za-z0-9+/_.=-]+)",
          "secret", 6, 2, True, (":", "=")),
-    Kind("weak_endpoint", r"[a-z][a-z0-9+]*://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+", "endpoint", 10, 0, True, ("://",)),
+    Kind("weak_endpoint", r"[a-z][a-z0-9+]{0,19}://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+", "endpoint", 10, 0, True, ("://",)),
 )
+# An endpoint's scheme has at most 20 characters, so that a long run of letters is not read again from each of them.
 KINDS = (*BASE, *WEAK)
 #: Other roles that must all stand in the scope of a weak part.
 NEEDS = {"access": ("secret",), "secret": ("access",), "endpoint": ("access", "secret")}

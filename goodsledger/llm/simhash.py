@@ -346,15 +346,15 @@ def similar_classes(marks: DataFrame, rows: DataFrame, shingle: int, seed: int,
         for name, form in kinds
     ])
     ends = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    shared = store(keys.join(ends, "key"), "shingle-keys")
+    is_hub = (F.col("node") == F.col("low")) | (F.col("node") == F.col("high"))
+    shared = store(keys.join(ends, "key").withColumn("hub", is_hub).drop("low", "high"), "shingle-keys")
 
     # first two nodes of each key against all others; then all pairs that these links leave in different classes
-    hubs = shared.where("node = low or node = high")
-    pairs = store(candidates(hubs, shared, F.col("a_node") != F.col("b_node"), similarity), "shingle-pairs")
+    hubs, every = shared.where("hub").drop("hub"), shared.drop("hub")
+    pairs = store(candidates(hubs, every, F.col("a_node") != F.col("b_node"), similarity), "shingle-pairs")
     links = similar(pairs, prints, rows, shingle, seed, similarity)
     linked = components(links)
-    rooted = shared.drop("low", "high").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = store(rooted, "shingle-roots")
+    rooted = every.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     open_keys = store(rooted.join(several.select("key"), "key"), "shingle-open")
     apart = (F.col("a_root") != F.col("b_root")) & (F.col("a_node") < F.col("b_node"))

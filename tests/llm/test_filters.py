@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import duckdb
 import pytest
@@ -143,6 +144,24 @@ def test_masked_texts(spark):
         assert got[n]["spans"] == "c"
 
 
+def test_secret_scans_on_edge_tables(edge_docs, no_docs):
+    got = secrets.secret_spans(edge_docs).collect()
+    assert len(got) == edge_docs.count() and all(r["spans"] == "" and r["n_hex"] == 0 for r in got)
+    assert secrets.secret_spans(no_docs).count() == 0
+    kept = secrets.mask_secrets(edge_docs)
+    assert kept.columns == edge_docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, edge_docs.collect()))
+    assert secrets.mask_secrets(no_docs).count() == 0
+
+
+def test_a_long_run_before_a_mark_is_read_once(spark):
+    run = "a" * 1_000_000
+    docs = spark.createDataFrame([(1, run + "://h.example/x user = bob password = hunter22")], "doc_id long, text string")
+    started = time.time()
+    [row] = secrets.secret_spans(docs).collect()
+    assert row["n_assign"] == 1 and "weak_endpoint:999980:" in row["spans"]
+    assert time.time() - started < 30
+
+
 def test_native_secret_scan_has_no_python(spark, tables):
     for made in (secrets.secret_spans(tables["documents"]), secrets.mask_secrets(tables["documents"])):
         plan = made._jdf.queryExecution().toString()

@@ -84,7 +84,6 @@ def check_places(rows, capacity):
 
 def test_packed_documents_match_the_tokenizer(spark, edge_docs, no_docs):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = pack_documents(edge_docs, capacity=512).collect()
     check_places(rows, 512)
     want = Counter()
@@ -96,6 +95,13 @@ def test_packed_documents_match_the_tokenizer(spark, edge_docs, no_docs):
     assert pack_documents(no_docs).count() == 0
 
 
+def test_marks_of_the_tokenizer_file_are_tokens():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    coder, marks = bpe_tables.encoding(bpe_tables.rank_file(bpe_tables.ranks_path())), bpe_tables.added_tokens()
+    for text in ("", "<|endoftext|>", "a  <|endoftext|>  b", "<|endoftext|><|endoftext|>x <|endoftext", "it's\n <|endoftext|>'s <|ENDOFTEXT|>"):
+        assert bpe_tables.encode_marked(coder, text, marks) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_very_long_texts_are_split_by_the_other_engine_alike():
     coder = bpe_tables.encoding(bpe_tables.rank_file(bpe_tables.ranks_path()))
     text = "It's a test, naïve 123  \n\n and more; " * 40
