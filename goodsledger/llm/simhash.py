@@ -11,8 +11,9 @@ two. With k = 2 the third split fixes 56 bits, so that no bucket ever holds more
 Elements are put in one global order, rarest first by hashed counters over all texts. Two similar sets share one of
 the first elements of both (prefix filter), and the first one they share leaves enough behind it on both sides
 (length and positional filter). The pairs found are verified on the whole sets. At each element the two outermost
-texts are compared with all others first; then every pair that these links leave in different classes. So a large
-group of near copies is not paired in full, and no link between two classes is left out, however many texts share it.
+texts are compared with all others first, then in some turns a few others with all that lie in another class; last,
+every pair that these links leave in different classes. So a large group of near copies is not paired in full, and no
+link between two classes is left out, however many texts share it.
 
 Copies meet in the distinct fingerprints and are never paired. Components of the links are found by alternating
 large-star and small-star steps on the distinct fingerprints; every step is a written table.
@@ -231,6 +232,8 @@ SENT = 50_000
 #: Taken off bounds that are products of fractions, so that rounding never loses a pair.
 ROUNDING = 1e-9
 COUNTED, DISTINCT = 1, 2
+#: Turns in which a few texts of each key are compared with all others before all that is left is paired.
+HUB_TURNS = 3
 
 
 def shingle_sets(text: bytes, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -277,12 +280,18 @@ def rare_first(found: np.ndarray, counts: np.ndarray, similarity: float) -> np.n
     return found[order[: len(found) - ceil(similarity * len(found) - ROUNDING) + 1]].view(np.int64)
 
 
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """256 bits, each the parity of the elements that fall on it: two sketches differ in no more bits than their sets."""
+    odd = np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_marks(rows: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
     """(_id, _sha, digest, sizes and first elements of both sets); no second set where nothing is repeated."""
     sent = rows.sparkSession.sparkContext.broadcast(shingle_counts(rows, shingle, seed))
 
     def build(texts: list[bytes]) -> dict:
-        out = {name: [] for name in ("digest", "counted_size", "counted_keys", "distinct_size", "distinct_keys")}
+        out = {name: [] for name in ("digest", *(f"{form}_{what}" for form in ("counted", "distinct") for what in ("size", "keys", "sketch")))}
         for text in texts:
             counted, distinct = shingle_sets(text, shingle, seed)
             out["digest"].append(sha256(counted.tobytes()).hexdigest())
@@ -290,10 +299,11 @@ def shingle_marks(rows: DataFrame, shingle: int, seed: int, similarity: float) -
             for name, found in (("counted", counted), ("distinct", distinct)):
                 out[f"{name}_size"].append(len(found))
                 out[f"{name}_keys"].append(rare_first(found, sent.value, similarity))
+                out[f"{name}_sketch"].append(odd_sketch(found))
         return out
 
-    fields = "digest string, counted_size int, counted_keys array<long>, distinct_size int, distinct_keys array<long>"
-    return derive(rows, build, fields)
+    form = "{0}_size int, {0}_keys array<long>, {0}_sketch array<long>"
+    return derive(rows, build, f"digest string, {form.format('counted')}, {form.format('distinct')}")
 
 
 def candidates(left: DataFrame, right: DataFrame, apart, similarity: float) -> DataFrame:
@@ -319,22 +329,55 @@ def similar(pairs: DataFrame, prints: DataFrame, rows: DataFrame, shingle: int,
 
     def build(found: list[bytes]) -> dict:
         sets = [shingle_sets(text, shingle, seed) for text in found]
-        return {"counted": [c.view(np.int64) for c, _ in sets], "distinct": [d.view(np.int64) for _, d in sets]}
+        # the second set only where it is another one
+        return {"counted": [c.view(np.int64) for c, _ in sets], "distinct": [d.view(np.int64) if len(d) < len(c) else None for c, d in sets]}
 
     sets = store(derive(texts, build, "counted array<long>, distinct array<long>"), "shingle-sets")
     a, b = ([F.col(c).alias(f"{side}_{c}" if c != "node" else side) for c in sets.columns] for side in "ab")
 
-    def alike(name: str):
-        both = F.size(F.array_intersect(f"a_{name}", f"b_{name}"))
-        return both / (F.size(f"a_{name}") + F.size(f"b_{name}") - both) >= similarity
+    def alike(x, y):
+        both = F.size(F.array_intersect(x, y))
+        return both / (F.size(x) + F.size(y) - both) >= similarity
 
-    found = pairs.join(sets.select(a), "a").join(sets.select(b), "b").where(alike("distinct") | alike("counted"))
+    def distinct(side: str):
+        return F.coalesce(f"{side}_distinct", f"{side}_counted")
+
+    same = alike(distinct("a"), distinct("b")) | alike(F.col("a_counted"), F.col("b_counted"))
+    found = pairs.join(sets.select(a), "a").join(sets.select(b), "b").where(same)
     return store(found.select("a", "b"), "similar")
 
 
+def open_keys(keys: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows of the keys whose nodes lie in several classes, with the class (``root``) of each."""
+    rooted = keys.drop("root").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return rooted.join(several.select("key"), "key")
+
+
+def hubs_of(keys: DataFrame, turn: int) -> DataFrame:
+    """At most four nodes of each key, the same ones for keys of the same nodes: the ends of two orders by hash."""
+    orders = [F.xxhash64("node", F.lit(f"{turn}-{side}")) for side in range(2)]
+    ends = keys.groupBy("key").agg(*[f(o).alias(f"{f.__name__}{i}") for i, o in enumerate(orders) for f in (F.min, F.max)])
+    is_hub = reduce(lambda x, y: x | y, [(o == F.col(f"min{i}")) | (o == F.col(f"max{i}")) for i, o in enumerate(orders)])
+    return keys.join(ends, "key").where(is_hub).select(*keys.columns)
+
+
+def with_sketches(keys: DataFrame, prints: DataFrame) -> DataFrame:
+    counted = F.col("form").bitwiseAND(F.lit(COUNTED)) != 0
+    sketches = prints.select("node", "counted_sketch", "distinct_sketch")
+    chosen = F.when(counted, F.col("counted_sketch")).otherwise(F.col("distinct_sketch"))
+    return keys.join(sketches, "node").select(*keys.columns, chosen.alias("sketch"))
+
+
+def may_be_alike(similarity: float):
+    """Sets of together n elements that are this similar differ in at most n (1 - s) / (1 + s); so do their sketches."""
+    bits = [F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(4)]
+    return reduce(lambda x, y: x + y, bits) <= (1 - similarity) / (1 + similarity) * (F.col("a_size") + F.col("b_size")) + ROUNDING
+
+
 def similar_classes(marks: DataFrame, rows: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
     """Stored (digest, root): the class of every distinct counted set under the links of this similarity or more."""
-    columns = ("_sha", "counted_size", "counted_keys", "distinct_size", "distinct_keys")
+    columns = ("_sha", "counted_size", "counted_keys", "counted_sketch", "distinct_size", "distinct_keys", "distinct_sketch")
     first = F.min_by(F.struct(*columns), "_sha").alias("first")
     prints = marks.groupBy("digest").agg(first).select("digest", "first.*")
     prints = store(prints.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
@@ -353,13 +396,21 @@ def similar_classes(marks: DataFrame, rows: DataFrame, shingle: int, seed: int,
     hubs, every = shared.where("hub").drop("hub"), shared.drop("hub")
     pairs = store(candidates(hubs, every, F.col("a_node") != F.col("b_node"), similarity), "shingle-pairs")
     links = similar(pairs, prints, rows, shingle, seed, similarity)
-    linked = components(links)
-    rooted = every.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    open_keys = store(rooted.join(several.select("key"), "key"), "shingle-open")
-    apart = (F.col("a_root") != F.col("b_root")) & (F.col("a_node") < F.col("b_node"))
-    further = candidates(open_keys, open_keys, apart, similarity).join(pairs, ["a", "b"], "left_anti")
-    links = links.union(similar(store(further, "shingle-pairs"), prints, rows, shingle, seed, similarity))
+    done, still = pairs, every
+    for turn in range(HUB_TURNS + 1):
+        still = store(open_keys(still, components(links)), "shingle-open")
+        if still.isEmpty():
+            break
+        # a few nodes of each key against all others, and last all that these links leave in different classes
+        apart = F.col("a_root") != F.col("b_root")
+        if turn < HUB_TURNS:
+            found = candidates(hubs_of(still, turn), still, apart, similarity)
+        else:
+            sketched = with_sketches(still, prints)
+            apart &= (F.col("a_node") < F.col("b_node")) & may_be_alike(similarity)
+            found = candidates(sketched, sketched, apart, similarity)
+        further = store(found.join(done, ["a", "b"], "left_anti"), "shingle-pairs")
+        done, links = done.union(further), links.union(similar(further, prints, rows, shingle, seed, similarity))
     classes = prints.select("digest", "node").join(components(links), "node", "left")
     return store(classes.select("digest", F.coalesce("root", "node").alias("root")), "shingle-classes")
 

@@ -5,6 +5,7 @@ from collections import Counter
 from functools import cache
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from goodsledger.llm import simhash
@@ -67,6 +68,15 @@ def test_planted_pairs_from_0_80_to_0_90(spark):
     assert kept(spark, texts) == kept_by_brute_force(texts)
 
 
+def test_sketches_differ_in_no_more_bits_than_their_sets():
+    rnd = random.Random(16)
+    for n in (0, 1, 5, 40, 400):
+        a, b = ({rnd.getrandbits(64) for _ in range(n)} for _ in range(2))
+        common = {rnd.getrandbits(64) for _ in range(200)}
+        x, y = (simhash.odd_sketch(np.array(sorted(s | common), dtype=np.uint64)) for s in (a, b))
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(a ^ b)
+
+
 def test_repeated_boilerplate_links_nothing(spark):
     rnd = random.Random(12)
     line = " ".join(words(rnd, 20))
