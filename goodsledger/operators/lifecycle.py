@@ -17,6 +17,7 @@ from goodsledger.functions.text import as_col, normalize_product_name
 from goodsledger.operators.candidates import containing, similar_names
 from goodsledger.operators.matching import FOLD_LIMIT, REPLACEMENT_THRESHOLD, match_lines
 from goodsledger.schemas import CONFIRMED_STATUSES
+from goodsledger.session import ensure_checkpoint_dir
 
 SUPPLIER_THRESHOLD = 0.35
 # Comment texts.
@@ -200,6 +201,7 @@ def _best_items(probes: DataFrame, items: DataFrame, indexed_pairs: int) -> Data
     A receiving with few texts and names compares them as they are. Where they are many, containment is found by the
     text's rarest piece and similarity by rare tokens (``candidates.py``); both ways give the same rows. Names are
     classes of equal texts with their first and last position, and a maximum per text is formed on the map side.
+    Texts and names are written first, so the match behind the items runs once for all of this.
     """
     told = F.explode(F.array(normalize_product_name("item_name_from_order"), normalize_product_name("item_name_from_invoice")))
     asked = probes.select("receiving_id").distinct()
@@ -207,24 +209,31 @@ def _best_items(probes: DataFrame, items: DataFrame, indexed_pairs: int) -> Data
         items.join(asked, "receiving_id", "left_semi").select("receiving_id", "item_pos", told.alias("norm"))
         .groupBy("receiving_id", "norm").agg(F.min("item_pos").alias("first_pos"), F.max("item_pos").alias("last_pos"))
     )
-    probes = probes.withColumn("again", normalize_product_name("query_norm"))
-    names = names.withColumn("again", normalize_product_name("norm"))
+    ensure_checkpoint_dir(items.sparkSession)
+    probes = probes.withColumn("again", normalize_product_name("query_norm")).checkpoint()
+    names = names.withColumn("again", normalize_product_name("norm")).checkpoint()
 
     def size(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy("receiving_id").agg(F.count(F.lit(1)).alias(name))
 
     crowded = size(probes, "texts").join(size(names, "names"), "receiving_id").where(
         F.col("texts") * F.col("names") > indexed_pairs
-    ).select("receiving_id")
+    ).select("receiving_id").checkpoint()
 
     def rank(direct: Column, score: Column) -> Column:
         place = F.when(direct, F.col("last_pos")).otherwise(-F.col("first_pos"))
         return F.struct(direct.alias("direct"), F.when(direct, F.lit(1.0)).otherwise(score).alias("score"), place.alias("place"))
 
+    def leaders(found: DataFrame) -> DataFrame:
+        best = found.groupBy("receiving_id", "query_norm").agg(F.max("rank").alias("best")).where(F.col("best.score") >= REPLACEMENT_THRESHOLD)
+        return best.select("receiving_id", "query_norm", F.abs("best.place").alias("item_pos"))
+
     few = probes.join(crowded, "receiving_id", "left_anti").withColumnRenamed("again", "query_again")
     paired = few.join(names, "receiving_id")
     score = normalized_similarity(F.col("query_again"), F.col("again"))
     compared = paired.select("receiving_id", "query_norm", rank(F.col("norm").contains(F.col("query_norm")), score).alias("rank"))
+    if crowded.isEmpty():
+        return leaders(compared)
 
     texts, many = (side.join(crowded, "receiving_id", "left_semi") for side in (probes, names))
     first_last = many.drop("again").withColumnRenamed("norm", "right")
@@ -239,9 +248,7 @@ def _best_items(probes: DataFrame, items: DataFrame, indexed_pairs: int) -> Data
     ranked = close.join(places, ["receiving_id", "right"]).select("receiving_id", F.col("left").alias("again"), rank(F.lit(False), F.col("score")).alias("rank"))
     similar = texts.join(ranked, ["receiving_id", "again"]).select("receiving_id", "query_norm", "rank")
 
-    found = reduce(DataFrame.unionByName, [compared, direct, empty, similar])
-    best = found.groupBy("receiving_id", "query_norm").agg(F.max("rank").alias("best")).where(F.col("best.score") >= REPLACEMENT_THRESHOLD)
-    return best.select("receiving_id", "query_norm", F.abs("best.place").alias("item_pos"))
+    return leaders(reduce(DataFrame.unionByName, [compared, direct, empty, similar]))
 
 
 def locate_corrections(corrections: DataFrame, items: DataFrame, indexed_pairs: int = INDEXED_PAIRS) -> DataFrame:
