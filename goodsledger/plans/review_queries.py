@@ -48,7 +48,9 @@ def review_requests(t: Inputs):
         ))).alias("items")
     )
     heads = t.spark.sql(HEADS_SQL, receivings=t.receivings)
-    return heads.join(items, "receiving_id")
+    # a receiving without lines is a request without items
+    none = F.array().cast(items.schema["items"].dataType)
+    return heads.join(items, "receiving_id", "left").withColumn("items", F.coalesce("items", none))
 
 
 def reviews(t: Inputs, catalog=None):
@@ -68,7 +70,7 @@ _IDENT = {"order_lines": "order_lines", "receivings": "receivings"}
 REVIEW_SQL = f"""
 lines as ({LINES_SQL.format(**_IDENT)}),
 heads as ({HEADS_SQL.format(**_IDENT)}),
-kept_heads as (select h.* from heads h where h.receiving_id in (select receiving_id from lines)),
+bare_heads as (select h.* from heads h where h.receiving_id not in (select receiving_id from lines)),
 amounts as (
   select *, coalesce(given_sum, round_even(quantity * price, 2)) as line_sum,
          round_even(quantity * price, 2) as expected,
@@ -111,7 +113,7 @@ select receiving_id as id, coalesce(supplier, '') as supplier, venue,
        coalesce(invoice_number, 'MANUAL-' || strftime(created_at, '%Y%m%d%H%M%S')) as order_number,
        'MVP4-' || coalesce(invoice_number, 'MANUAL-' || strftime(created_at, '%Y%m%d%H%M%S')) as request_id,
        'ocr_processed' as status
-from kept_heads""", needs=REVIEW_NEEDS)
+from heads""", needs=REVIEW_NEEDS)
 def _review_receivings(t: Inputs):
     return reviews(t)[0].select("id", "supplier", "venue", "order_number", "request_id", "status")
 
@@ -122,7 +124,7 @@ select receiving_id, iiko_supplier_id, iiko_default_store_id, venue as trade_poi
        case when iiko_supplier_id is null or iiko_default_store_id is null then 'needs_review' else 'ready' end as iiko_mapping_status,
        concat_ws('; ', case when iiko_supplier_id is null then 'не заполнен iiko_supplier_id' end,
                  case when iiko_default_store_id is null then 'не заполнен iiko_default_store_id/defaultStore' end) as iiko_mapping_error
-from kept_heads""", needs=REVIEW_NEEDS)
+from heads""", needs=REVIEW_NEEDS)
 def _review_headers(t: Inputs):
     return reviews(t)[1].select(
         "receiving_id", "iiko_supplier_id", "iiko_default_store_id", "trade_point", "warehouse", "display_store",
@@ -134,7 +136,7 @@ ISSUES_SQL = REVIEW_SQL + """,
 mapped as (select *, iiko_supplier_id is null or iiko_default_store_id is null as review,
                   concat_ws('; ', case when iiko_supplier_id is null then 'не заполнен iiko_supplier_id' end,
                   case when iiko_default_store_id is null then 'не заполнен iiko_default_store_id/defaultStore' end) as error
-           from kept_heads),
+           from heads),
 raw_issues as (
   select receiving_id, 'не распознан поставщик' as message from mapped where supplier is null
   union all select receiving_id, 'не распознана точка доставки / организация' from mapped where venue = ''
@@ -146,7 +148,8 @@ raw_issues as (
   union all select receiving_id, 'нет iiko product/productArticle по позиции: ' || coalesce(nullif(name, ''), 'строка ' || item_pos)
             from amounts where iiko_product_id is null and product_article is null
   union all select receiving_id, 'некорректное количество по позиции: ' || coalesce(nullif(name, ''), 'строка ' || item_pos)
-            from amounts where quantity <= 0),
+            from amounts where quantity <= 0
+  union all select receiving_id, 'нет товарных позиций' from bare_heads),
 issues as (select distinct receiving_id, message from raw_issues)
 """
 
@@ -164,7 +167,7 @@ def _review_issues(t: Inputs):
 @query("review_status", f"""with {ISSUES_SQL},
 n as (select receiving_id, count(*) as n from issues group by receiving_id)
 select k.receiving_id, coalesce(n.n, 0) as n_issues, case when n.n is null then 'ready' else 'needs_review' end as status
-from kept_heads k left join n on n.receiving_id = k.receiving_id""", needs=REVIEW_NEEDS)
+from heads k left join n on n.receiving_id = k.receiving_id""", needs=REVIEW_NEEDS)
 def _review_status(t: Inputs):
     return review.review_status(*_issues(t))
 
@@ -174,7 +177,7 @@ n as (select receiving_id, count(*) as n from issues group by receiving_id)
 select k.receiving_id,
        case when k.receiving_id % 3 = 0 then 'Перед отправкой пользователь должен подтвердить проверку накладной'
             when n.n > 0 and k.receiving_id % 2 = 0 then 'Накладная требует проверки' end as error_message
-from kept_heads k left join n on n.receiving_id = k.receiving_id""", needs=REVIEW_NEEDS)
+from heads k left join n on n.receiving_id = k.receiving_id""", needs=REVIEW_NEEDS)
 def _approval_gate(t: Inputs):
     receivings, issues = _issues(t)
     approvals = receivings.select(
@@ -209,7 +212,7 @@ def _whole_documents(t: Inputs):
 @query("document_meta", f"""with {REVIEW_SQL}
 select a.receiving_id, a.item_pos, a.name, a.given_sum as sum,
        case when a.receiving_id % 3 <> 1 then h.iiko_supplier_id end as iiko_supplier_id
-from amounts a join kept_heads h on h.receiving_id = a.receiving_id
+from amounts a join heads h on h.receiving_id = a.receiving_id
 where a.receiving_id % 3 = 1 or a.receiving_id % 10 <> 0""", needs=REVIEW_NEEDS)
 def _document_meta(t: Inputs):
     documents = _whole_documents(t)
@@ -222,7 +225,7 @@ def _document_meta(t: Inputs):
 @query("stored_document_meta", f"""with {REVIEW_SQL}
 select a.receiving_id, a.item_pos, a.name, a.line_sum as sum,
        case when a.receiving_id % 10 <> 0 then h.iiko_supplier_id end as iiko_supplier_id
-from amounts a join kept_heads h on h.receiving_id = a.receiving_id""", needs=REVIEW_NEEDS)
+from amounts a join heads h on h.receiving_id = a.receiving_id""", needs=REVIEW_NEEDS)
 def _stored_document_meta(t: Inputs):
     stored = _stored(t)
     heads = review.stored_headers(stored).select("receiving_id", "header.iiko_supplier_id")
@@ -260,7 +263,7 @@ def _merge_technical(t: Inputs):
 @query("merge_headers", f"""with {REVIEW_SQL}
 select receiving_id, coalesce(nullif(case when receiving_id % 2 = 0 then 'NEW' else '' end, ''), iiko_supplier_id) as iiko_supplier_id,
        coalesce(case when receiving_id % 5 = 0 then 9.5 end, 1.5) as total_sum
-from kept_heads""", needs=REVIEW_NEEDS)
+from heads""", needs=REVIEW_NEEDS)
 def _merge_headers(t: Inputs):
     old = reviews(t)[1].select("receiving_id", "iiko_supplier_id", F.lit(1.5).alias("total_sum"))
     new = old.select(
@@ -275,7 +278,7 @@ def _merge_headers(t: Inputs):
 select a.receiving_id, a.item_pos, a.name as item_name_from_invoice, a.quantity + 1 as received_quantity,
        case when a.name <> '' then 'accepted' else 'manual_review' end as status,
        case when a.receiving_id % 2 = 0 then 'Новый поставщик' else coalesce(h.supplier, '') end as supplier
-from amounts a join kept_heads h on h.receiving_id = a.receiving_id""", needs=REVIEW_NEEDS)
+from amounts a join heads h on h.receiving_id = a.receiving_id""", needs=REVIEW_NEEDS)
 def _update_reviews(t: Inputs):
     receivings, headers, lines, _ = reviews(t)
     updates = review_requests(t).withColumns(
@@ -517,9 +520,9 @@ select k.receiving_id, k.invoice_number, k.created_at, struct_pack(
                                  "defaultStoreId" := coalesce(k.iiko_default_store_id, 'Основной склад'), "venue" := k.venue),
          "supplier" := struct_pack("displayName" := coalesce(k.supplier, ''), "legalName" := k.supplier, "iikoSupplierId" := k.iiko_supplier_id),
          "invoice" := struct_pack("number" := k.invoice_number, "documentNumber" := k.invoice_number, "date" := k.invoice_date,
-                                  "incomingDate" := k.invoice_date, "dueDate" := cast(null as varchar), "totalSum" := s.total),
+                                  "incomingDate" := k.invoice_date, "dueDate" := cast(null as varchar), "totalSum" := coalesce(s.total, 0.0)),
          "statusBeforeSend" := 'ocr_processed', "source" := 'incoming_invoice_adapter') as head
-from kept_heads k join s on s.receiving_id = k.receiving_id)
+from heads k left join s on s.receiving_id = k.receiving_id)
 """
 
 
@@ -532,7 +535,7 @@ def total_apart(rows, name: str, path: str):
 @query("send_preview", f"""with {PREVIEW_SQL}
 select receiving_id, 0 as section, 0 as pos, regexp_replace(cast(to_json(head) as varchar), '"totalSum":[^,}}]*', '"totalSum":0') as fragment,
        head."invoice"."totalSum" as total_sum from preview
-union all select receiving_id, 1, receiving_id, 'file_' || receiving_id, null from kept_heads
+union all select receiving_id, 1, receiving_id, 'file_' || receiving_id, null from heads
 union all select a.receiving_id, 2, a.item_pos, cast(to_json(struct_pack(
     "num" := a.item_pos, "name" := a.name, "iikoProductId" := a.iiko_product_id, "productArticle" := a.product_article,
     "supplierProduct" := cast(null as varchar), "supplierProductArticle" := cast(null as varchar),
@@ -540,7 +543,7 @@ union all select a.receiving_id, 2, a.item_pos, cast(to_json(struct_pack(
     "price" := a.price::double, "sum" := a.line_sum::double, "vatPercent" := a.percent::double, "vatSum" := a.vat_sum::double,
     "store" := coalesce(h.iiko_default_store_id, 'Основной склад'), "status" := case when a.name <> '' and a.quantity > 0 then 'accepted' else 'manual_review' end,
     "mappingStatus" := 'ready', "mappingError" := cast(null as varchar), "comment" := COMMENT)) as varchar), null
-  from amounts a join kept_heads h on h.receiving_id = a.receiving_id
+  from amounts a join heads h on h.receiving_id = a.receiving_id
 union all select receiving_id, 3, 0, message, null from issues""".replace("COMMENT", ITEM_COMMENT_SQL), needs=REVIEW_NEEDS)
 def _send_preview(t: Inputs):
     rows = payloads.fragments(_preview(t)).withColumn("pos", F.when(F.col("section") == 3, 0).otherwise(F.col("pos")))
@@ -575,9 +578,9 @@ XML_REST_SQL = """
 
 @query("invoice_xml", f"""with {REVIEW_SQL}
 select receiving_id, 0 as section, 0 as pos,
-       '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' || chr(10) || '<document>' || chr(10) || '  <items>' as fragment from kept_heads
-union all select a.receiving_id, 1, a.item_pos, {XML_ITEM_SQL} from amounts a join kept_heads h on h.receiving_id = a.receiving_id
-union all select receiving_id, 2, 0, {XML_REST_SQL} from kept_heads""", needs=REVIEW_NEEDS)
+       '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' || chr(10) || '<document>' || chr(10) || '  <items>' as fragment from heads
+union all select a.receiving_id, 1, a.item_pos, {XML_ITEM_SQL} from amounts a join heads h on h.receiving_id = a.receiving_id
+union all select receiving_id, 2, 0, {XML_REST_SQL} from heads""", needs=REVIEW_NEEDS)
 def _invoice_xml(t: Inputs):
     return payloads.invoice_xml(_preview(t))
 
@@ -610,7 +613,7 @@ def _review_exports(t: Inputs):
 n as (select receiving_id, count(*) as n from issues group by receiving_id),
 judged as (
 select k.receiving_id, k.supplier, k.receiving_id % 3 = 0 as unapproved, n.n > 0 and k.receiving_id % 2 = 0 as warned
-from kept_heads k left join n on n.receiving_id = k.receiving_id)
+from heads k left join n on n.receiving_id = k.receiving_id)
 select receiving_id, coalesce(supplier, '') as supplier,
        case when unapproved then 'Перед отправкой пользователь должен подтвердить проверку накладной'
             when warned then 'Накладная требует проверки' end as error_message,
@@ -662,7 +665,11 @@ select a.receiving_id, a.item_pos as row_pos,
        case when a.item_pos = 1 then cast(t.t as varchar) else '' end as "Сумма накладной",
        case when a.item_pos = 1 then strftime(h.created_at, '%Y-%m-%d %H:%M:%S') else '' end as "Время загрузки документа",
        case when a.item_pos = 1 then '1' else '' end as "ID документа"
-from amounts a join kept_heads h on h.receiving_id = a.receiving_id join totals t on t.receiving_id = a.receiving_id)
+from amounts a join heads h on h.receiving_id = a.receiving_id join totals t on t.receiving_id = a.receiving_id
+union all
+select receiving_id, 1, 'ТОРГ-12', coalesce(invoice_number, ''), invoice_date, coalesce(supplier, ''), venue, coalesce(iiko_default_store_id, ''),
+       '', '', '', '', '', '', '0.0', strftime(created_at, '%Y-%m-%d %H:%M:%S'), '1'
+from bare_heads)
 """
 _SHOWN = (
     "Форма документа", "№ Документа", "Дата документа", "Поставщик", "Торговая точка", "Склад",
@@ -693,11 +700,13 @@ def _next_id(t: Inputs):
 
 
 @query("merge_register", f"""with {REVIEW_SQL},
-ids as (select receiving_id, row_number() over (order by receiving_id) + (select max(o_custkey) from orders) as n from kept_heads)
+ids as (select receiving_id, row_number() over (order by receiving_id) + (select max(o_custkey) from orders) as n from heads)
 select 0 as merged_block, a.receiving_id, a.item_pos as row_pos,
        case when a.item_pos = 1 then cast(i.n as varchar) else '' end as "ID документа"
 from amounts a join ids i on i.receiving_id = a.receiving_id
 union all
+select 0, b.receiving_id, 1, cast(i.n as varchar) from bare_heads b join ids i on i.receiving_id = b.receiving_id
+union all
 select 1, o_orderkey, 1, case when o_orderkey % 2 = 0 then cast(o_custkey as varchar) else '' end from orders""", needs=REVIEW_NEEDS)
 def _merge_register(t: Inputs):
     return register.merge_register(_existing(t), register_rows_of(t)).select(
