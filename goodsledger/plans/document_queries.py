@@ -481,12 +481,12 @@ def _mixed_columns(t: Inputs):
 
 
 def _headed(t: Inputs) -> DataFrame:
-    """Waybills with a printed header, one per receiving with a supplier."""
+    """Waybills with a printed header, one per receiving, lines or not."""
     lines = t.order_lines.select(
         "receiving_id", "item_pos",
         F.concat_ws(" ", "name", F.col("quantity").cast("int").cast("string"), F.lit("шт"), _two(F.col("price")), _two(F.col("quantity") * F.col("price"))).alias("line"),
     ).groupBy("receiving_id").agg(F.array_sort(F.collect_list(F.struct("item_pos", "line"))).alias("all"))
-    heads = t.receivings.join(lines.withColumnRenamed("receiving_id", "id"), "id")
+    heads = t.receivings.join(lines.withColumnRenamed("receiving_id", "id"), "id", "left")
     return heads.select(
         F.col("id").alias("doc_id"),
         F.concat_ws(
@@ -508,7 +508,7 @@ select r.id as doc_id, 'ООО "' || supplier || ' плюс", ИНН ' || cast(7
        'Договор поставки ' || cast(id % 100 as varchar) as basis, 'УТ-' || cast(id + 10000 as varchar) as invoice_number,
        strftime(created_at, '%Y-%m-%d') as invoice_date, 'ТОРГ-12' as document_form,
        (select cast(sum(cast(quantity * price as decimal(24,2))) as double) from order_lines o where o.receiving_id = r.id) as total_sum
-from receivings r where id in (select receiving_id from order_lines)""", needs=("order_lines", "receivings"))
+from receivings r""", needs=("order_lines", "receivings"))
 def _waybill_headers(t: Inputs):
     return parse_documents(spread(_headed(t))).select(
         "doc_id", "supplier", "supplier_inn", "consignee", "recipient", "warehouse", "basis", "invoice_number", "invoice_date",

@@ -17,7 +17,7 @@ from goodsledger.plans.reconciliation import (
     sim_sql,
 )
 from goodsledger.plans.registry import Inputs, query
-from goodsledger.sources.exports import export_tables
+from goodsledger.sources.exports import DOCUMENT_TITLES, ITEM_TITLES, export_tables
 
 # ---------------------------------------------------------------- opening
 
@@ -337,6 +337,38 @@ def _export(t: Inputs):
     )
 
 
+def titled(titles, columns) -> str:
+    return ", ".join(f'{column} as "{title}"' for title, column in zip(titles, columns, strict=True))
+
+
+_EXPORTED_ITEM = titled(ITEM_TITLES, (
+    "i.receiving_id", "coalesce(r.request_id, '')", "i.item_name_from_order", "i.item_name_from_invoice", "i.ordered_quantity",
+    "i.received_quantity", "i.unit", "i.ordered_price", "i.invoice_price", "i.status", "i.comment",
+))
+_EXPORTED_DOCUMENT = titled(DOCUMENT_TITLES, (
+    "d.receiving_id", "coalesce(r.request_id, '')", "d.file_type", "d.file_id", "d.file_url",
+    "case when coalesce(d.raw_text, '') = '' then 'uploaded' else 'ocr_processed' end", "d.supplier_legal_name",
+    "d.invoice_number", "d.invoice_date", "d.raw_text",
+))
+
+
+def _attached_export(t: Inputs):
+    receivings, documents = lifecycle.attach_documents(t.receivings, t.receiving_documents)
+    return export_tables(receivings, t.order_lines, matched_items(t), documents)
+
+
+@query("export_items", f"with {MATCH_SQL} select {_EXPORTED_ITEM} from items i left join receivings r on r.id = i.receiving_id",
+       needs=(*MATCH_NEEDS, "receivings"), recursive=True)
+def _export_items(t: Inputs):
+    return _attached_export(t)[1]
+
+
+@query("export_documents", f"select {_EXPORTED_DOCUMENT} from receiving_documents d left join receivings r on r.id = d.receiving_id",
+       needs=("receiving_documents", "receivings"))
+def _export_documents(t: Inputs):
+    return _attached_export(t)[2]
+
+
 @query("document_history", """
 select d.id, d.receiving_id, d.file_id, d.file_type, d.source, d.file_url,
        case when coalesce(raw_text, '') = '' then 'uploaded' else 'ocr_processed' end as ocr_status,

@@ -62,7 +62,9 @@ def export_tables(
         )]
     )
     requests = receivings.select(F.col("id").alias("receiving_id"), "request_id")
-    second = items.join(requests, "receiving_id", "left").select(
+    # rows whose receiving is gone stay, without a request
+    request = F.coalesce("request_id", F.lit(""))
+    second = items.join(requests, "receiving_id", "left").withColumn("request_id", request).select(
         *[F.col(c).alias(t) for c, t in zip(
             (
                 "receiving_id", "request_id", "item_name_from_order", "item_name_from_invoice", "ordered_quantity",
@@ -71,7 +73,7 @@ def export_tables(
             ITEM_TITLES,
         )]
     )
-    third = documents.join(requests, "receiving_id", "left").select(
+    third = documents.join(requests, "receiving_id", "left").withColumn("request_id", request).select(
         *[F.col(c).alias(t) for c, t in zip(
             (
                 "receiving_id", "request_id", "file_type", "file_id", "file_url", "ocr_status", "supplier_legal_name",
