@@ -1,10 +1,12 @@
 """URL filter, license scans and secret scans."""
 
 import hashlib
+import random
 import re
 import time
 
 import duckdb
+import numpy as np
 import pytest
 
 from goodsledger.llm import licenses, queries, secrets, url_filter
@@ -168,18 +170,87 @@ def test_native_secret_scan_has_no_python(spark, tables):
         assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def wrapped(text, every):
+    words = text.split()
+    return "\n * ".join(" ".join(words[n : n + every]) for n in range(0, len(words), every))
+
+
+def brute_labels(text):
+    """Every window of the text against every notice."""
+    words = licenses.words_of(text.encode())
+    pairs = list(zip(words, words[1:]))
+    labels, share = set(), 0.0
+    for notice in licenses.notice_table(licenses.standard_notices(), licenses.CONTAINED, licenses.WHOLE_BELOW):
+        own = set(notice.pairs)
+        held = max((len(own & set(pairs[n : n + notice.span])) for n in range(len(pairs))), default=0)
+        if held >= notice.need:
+            labels.add(notice.label)
+            share = max(share, held / len(own))
+    return labels, share
+
+
 def test_license_cases(spark, edge_docs, no_docs):
-    mit = licenses.TEMPLATES[0][1].upper().replace(" ", ", ")
+    notices = licenses.standard_notices()
+    mit = notices[0][1]
+    scattered = " ".join(f"{word} " + "filler text between " * 100 for word in "released under the mit open license".split())
     rows = [
-        (1, "Released under the MIT License.\nApache license; mit\nlicense"), (2, mit), (3, " ".join(licenses.TEMPLATES[0][1].split()[:9])),
-        (4, "licensed under\ncc by nc 4 0"), (5, "Licensed under CC BY-NC 4.0."), (None, None), (6, "general public general public license"),
+        (1, "Released under the MIT License.\nApache license; mit\nlicense"), (2, wrapped(mit.upper(), 9)), (3, " ".join(mit.split()[:9])),
+        (4, "licensed under\ncc by nc 4 0"), (5, "Licensed under CC BY-NC-SA 4.0."), (None, None), (6, "general public general public license"),
+        (7, "We released the book under a license last year"), (8, scattered), (9, mit.replace("granted", "given")), (10, "x " * 300_000 + mit),
+        (11, " ".join(reversed(mit.split()))), (12, wrapped("\n\n".join(text for _, text in notices), 7)), (13, (mit + "\n") * 2000),
     ]
     got = {r["doc_id"]: r for r in licenses.license_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"]) == (3, 3, 7, "apache,mit")
     assert (got[2]["labels"], got[2]["score"], got[2]["base_labels"]) == ("mit", 1.0, "")
-    assert (got[3]["labels"], got[3]["score"]) == ("", 0.0)
-    assert (got[4]["labels"], got[5]["labels"]) == ("", "cc-by-nc")
+    assert (got[4]["labels"], got[5]["labels"]) == ("cc-by-nc", "cc-by-nc-sa")
+    assert all((got[n]["labels"], got[n]["score"]) == ("", 0.0) for n in (3, 7, 8, 11))
+    assert got[9]["labels"] == "mit" and 0.8 <= got[9]["score"] < 1
+    assert got[10]["labels"] == got[13]["labels"] == "mit"
+    assert got[12]["labels"] == ",".join(sorted({label for label, _ in notices}))
     assert (got[None]["n_words"], got[None]["first_word"], got[None]["labels"]) == (0, None, "")
     assert (got[6]["n_base"], got[6]["first_word"], got[6]["n_words"]) == (1, 2, 5)
     assert licenses.license_labels(edge_docs).count() == edge_docs.count()
     assert licenses.license_labels(no_docs).count() == 0
+
+
+def test_license_blocks_match_brute_force(spark, sf_dir):
+    """Notices with words lost, doubled or changed, between other words, against all windows and the SQL."""
+    rng = random.Random(5)
+    texts = []
+    for _, text in licenses.standard_notices():
+        for lost in (0.0, 0.03, 0.06, 0.1, 0.2):
+            words = []
+            for word in text.split():
+                drawn = rng.random()
+                words += [] if drawn < lost / 3 else [word, word] if drawn < 2 * lost / 3 else ["other"] if drawn < lost else [word]
+            texts.append(" ".join(rng.choices(["the", "software", "of", "license", "in"], k=rng.randrange(40))) + wrapped(" ".join(words), 8))
+    texts += ["\n".join(rng.sample(texts, 4)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_labels(docs, phrases=()).collect()}
+    found = 0
+    for n, text in enumerate(texts):
+        labels, share = brute_labels(text)
+        assert got[n]["labels"] == ",".join(sorted(labels))
+        assert got[n]["score"] == pytest.approx(share)
+        found += bool(labels)
+    assert len(texts) * 0.3 < found < len(texts)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    cursor = con.execute(licenses.labels_sql())
+    columns = [d[0] for d in cursor.description]
+    got = licenses.license_labels(docs).select(*columns).collect()
+    assert plain(tuple(r) for r in got) == plain(cursor.fetchall())
+
+
+def test_license_blocks_of_any_pairs():
+    rng = random.Random(3)
+    for _ in range(2000):
+        size = rng.randrange(1, 9)
+        need, span = rng.randrange(1, size + 1), rng.randrange(1, 12)
+        places = sorted(rng.sample(range(60), rng.randrange(1, 40)))
+        orders = [rng.randrange(size) for _ in places]
+        held = max(len({o for q, o in zip(places, orders) if p <= q < p + span}) for p in places)
+        best = licenses.best_block(np.array(places), np.array(orders), size, need, span)
+        assert best == (held if held >= need else 0)
+    with pytest.raises(ValueError):
+        licenses.notice_table([("x", "word")], 0.8, 10)
