@@ -125,10 +125,14 @@ def labelled_sample(labels: DataFrame, id_col: str, label_col: str, bound: int,
 
 
 def sample_texts(docs: DataFrame, sample: list[tuple]) -> DataFrame:
-    """The sampled documents with their labels. The sample's size is bounded, so it is broadcast."""
+    """The sampled documents with their labels. The sample's size is bounded, so it is broadcast.
+
+    The bound holds for rows too: where an id repeats, its text with the smallest hash counts, once per label.
+    """
     spark = docs.sparkSession
     wanted = spark.createDataFrame(sample, f"{ID} {id_type(docs)}, label int")
-    return docs.join(F.broadcast(wanted), ID)
+    rows = docs.join(F.broadcast(wanted), ID)
+    return rows.groupBy(ID, "label").agg(F.min_by(TEXT, F.struct(F.xxhash64(TEXT), TEXT)).alias(TEXT))
 
 
 def keep_rows(docs: DataFrame, id_col: str, text_col: str, kept: DataFrame) -> DataFrame:

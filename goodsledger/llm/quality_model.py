@@ -94,12 +94,18 @@ def rule_column(rule: tuple) -> Column:
 
 
 def fit(stats: DataFrame, sample: list[tuple]) -> Column:
-    """The score as a column over the statistics. ``stats`` has _id; ``sample`` is (_id, label), bounded."""
+    """The score as a column over the statistics. ``stats`` has _id; ``sample`` is (_id, label), bounded.
+
+    Where an id repeats, its smallest statistics count, once per label, so that the bound holds for rows too.
+    """
     seen = Counter(label for _, label in sample)
     if len(seen) < 2:
         return F.lit(float(next(iter(seen), 0.5)))
     wanted = stats.sparkSession.createDataFrame(sample, f"{ID} {stats.schema[ID].dataType.simpleString()}, label double")
-    train = store(stats.join(F.broadcast(wanted), ID).select("label", *STATISTICS).coalesce(4), "rule-sample").cache()
+    chosen = stats.join(F.broadcast(wanted), ID).groupBy(ID, "label").agg(F.min(F.struct(*STATISTICS)).alias("s"))
+    # a fixed place for every row: the forest draws its samples by partition and place
+    placed = chosen.repartition(4, ID).sortWithinPartitions(F.xxhash64(ID), ID, "label")
+    train = store(placed.select("label", "s.*"), "rule-sample").cache()
     vectors = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(train)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="onethird").fit(vectors)
     rules = tree_rules(forest.toDebugString)
@@ -121,7 +127,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col
 
     Null and empty texts have zero statistics and the score of those. Without labels every score is 0.5, with
     one class only it is that class. Null ids are scored, never learned from and not held out. Repeated rows
-    get equal scores. An empty table gives no rows.
+    get equal scores; an id that repeats is one example. An empty table gives no rows.
     """
     stats = store(text_statistics(intake(docs, id_col, text_col)), "statistics")
     chosen = labelled_sample(labels, id_col, label_col, sample, ~held_out(F.col(ID)))

@@ -75,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     coded = derive(sample_texts(rows, chosen), lambda texts: {"at": [features(t) for t in texts]}, "at array<int>")
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, [("place", "ascending")]))
+        table = table.take(pc.sort_indices(table, [("place", "ascending"), ("label", "ascending")]))
         at = table["at"].combine_chunks()
         rows = [(at[i].values.to_numpy(), y) for i, y in enumerate(table["label"].to_pylist())]
         w = ftrl(rows)
@@ -96,7 +96,8 @@ def toxicity_scores(
     """Per row: id, held_out, score, predicted (score of 0.5 or more).
 
     Null and empty texts get the intercept's score; without labels every score is 0.5. Null ids are scored,
-    never learned from and not held out. Repeated rows get equal scores. An empty table gives no rows.
+    never learned from and not held out. Repeated rows get equal scores; an id that repeats is one example.
+    An empty table gives no rows.
     """
     weights = fit(docs, labels, id_col, text_col, label_col, sample)
     rows = intake(docs, id_col, text_col)

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from goodsledger.llm import bpe, bpe_tables, quality_model, quality_rules, queries, toxicity
+from goodsledger.llm import bpe, bpe_tables, common, quality_model, quality_rules, queries, toxicity
 from goodsledger.llm.common import fold_of
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -100,6 +100,63 @@ def test_models_on_edge_tables(edge_docs, no_docs, labels):
         assert {r["score"] for r in scores(edge_docs, labels.where("1 = 0")).collect()} == {0.5}
 
 
+def slow_toxicity(docs, labels):
+    """FTRL-proximal one coordinate after the other, in the order of the sample's places."""
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    place = {r["doc_id"]: r["place"] for r in docs.selectExpr("doc_id", "xxhash64('order', doc_id) as place").collect()}
+    known = [(place[r["doc_id"]], r["doc_id"], r["toxic"]) for r in labels.collect() if r["doc_id"] in texts and fold_of(r["doc_id"])]
+    z, n = Counter(), Counter()
+
+    def weight(at):
+        if abs(z[at]) <= toxicity.L1:
+            return 0.0
+        return -(z[at] - (toxicity.L1 if z[at] > 0 else -toxicity.L1)) / ((toxicity.BETA + n[at] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for _, key, label in sorted(known):
+            ats = toxicity.features(texts[key]).tolist()
+            weights = [weight(at) for at in ats]
+            off = toxicity.sigmoid(sum(weights)) - label
+            for at, w in zip(ats, weights, strict=True):
+                z[at] += off - ((n[at] + off * off) ** 0.5 - n[at] ** 0.5) / toxicity.ALPHA * w
+                n[at] += off * off
+    return {key: toxicity.sigmoid(sum(map(weight, toxicity.features(text).tolist()))) for key, text in texts.items()}
+
+
+def test_toxicity_matches_brute_force(tables):
+    docs, labels = tables["documents"], tables["labels"]
+    want = slow_toxicity(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[key] == pytest.approx(want[key], abs=1e-6) for key in want)
+
+
+def test_repeated_ids_are_one_example(spark, tables):
+    """A learned id that repeats, with its text and with others, adds no example."""
+    docs, labels = tables["documents"].select("doc_id", "text"), tables["labels"]
+    key = next(r["doc_id"] for r in labels.orderBy("doc_id").collect() if fold_of(r["doc_id"]))
+    for scores in (toxicity.toxicity_scores, quality_model.quality_scores):
+        plain = {r["doc_id"]: r["score"] for r in scores(docs, labels).collect()}
+        again = docs.union(docs.where(f"doc_id = {key}").crossJoin(spark.range(50)).select("doc_id", "text"))
+        repeated = scores(again, labels).collect()
+        assert len(repeated) == len(plain) + 50
+        assert all(r["score"] == pytest.approx(plain[r["doc_id"]]) for r in repeated)
+    many = spark.range(40).selectExpr(f"cast({key} as bigint) as doc_id", "concat('text ', id) as text")
+    sample = common.sample_texts(common.intake(docs.union(many), "doc_id", "text"), [(key, 0), (key, 1)])
+    assert sample.count() == 2
+
+
+def test_rule_scores_match_brute_force(spark, tables):
+    rows = common.intake(tables["documents"], "doc_id", "text")
+    rules = [((0, "<=", 300.0),), ((0, ">", 100.0), (1, "<=", 5.0)), ((2, ">", 0.1),)]
+    stats = quality_model.text_statistics(rows)
+    columns = [quality_model.rule_column(r).alias(f"r{n}") for n, r in enumerate(rules)]
+    for row in stats.select(*quality_model.STATISTICS, *columns).collect():
+        for n, rule in enumerate(rules):
+            values = [(row[quality_model.STATISTICS[f]], c, t) for f, c, t in rule]
+            assert row[f"r{n}"] == all(v <= t if c == "<=" else v > t for v, c, t in values)
+
+
 def test_tree_paths_become_rules():
     text = """Model
   Tree 0 (weight 1.0):
