@@ -1,8 +1,8 @@
 """Quality rules: simple limits, then the likelihood ratio of a trusted target against the raw corpus.
 
 Words and word pairs are hashed to ``BUCKETS`` counters. Two multinomials are fitted: the raw one on every
-document, the target one on every trusted document. A document's score is the mean log ratio of its hashed
-words and pairs; it is kept from ``THRESHOLD`` on, whatever the other documents are.
+document, the target one on trusted rows (a bounded sample, see ``TRUSTED``). A document's score is the mean
+log ratio of its hashed words and pairs; it is kept from ``THRESHOLD`` on, whatever the other documents are.
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from goodsledger.llm.common import ID, byte_texts, derive, in_arrow, intake, packed_rows, quoted
+from goodsledger.llm.common import ID, byte_texts, derive, in_arrow, intake, labelled_sample, packed_rows
 
 BUCKETS = 1 << 16
+#: Trusted rows of which the target multinomial is fitted at most.
+TRUSTED = 20_000
 THRESHOLD = -0.1
 MIN_WORDS, MOST_REPEATED_PERCENT = 50, 50
 SPACES, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
@@ -65,25 +68,35 @@ def hashed(text: bytes) -> np.ndarray:
     return ((np.concatenate([codes, pairs]) * MULTIPLIER) >> np.uint64(48)).astype(np.int64) % BUCKETS
 
 
-def gram_counts(rows: DataFrame) -> np.ndarray:
-    """Counts of each bucket over all rows. ``BUCKETS`` sums reach the driver."""
+def gram_counts(rows: DataFrame, trusted: list) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each bucket over all rows, and over the trusted ones. ``BUCKETS`` sums reach the driver."""
+    spark = rows.sparkSession
+    known = spark.sparkContext.broadcast(trusted)
 
     def run(batches):
-        counts = np.zeros(BUCKETS, np.int64)
+        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text in byte_texts(batch):
-                if len(text) > BUCKETS:
-                    counts += np.bincount(hashed(text), minlength=BUCKETS)
-                else:
+            ids = batch.column(ID)
+            marked = pc.is_in(ids, value_set=pa.array(known.value, ids.type)).to_numpy(zero_copy_only=False)
+            for text, is_target in zip(byte_texts(batch), marked, strict=True):
+                counted = np.bincount(hashed(text), minlength=BUCKETS) if len(text) > BUCKETS else None
+                if counted is None:
                     at, n = np.unique(hashed(text), return_counts=True)
-                    counts[at] += n
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_pydict({"bucket": used, "n": counts[used]})
+                    raw[at] += n
+                    if is_target:
+                        target[at] += n
+                else:
+                    raw += counted
+                    if is_target:
+                        target += counted
+        used = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_pydict({"bucket": used, "raw": raw[used], "target": target[used]})
 
-    counts = np.zeros(BUCKETS, np.int64)
-    for row in in_arrow(rows, run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        counts[row["bucket"]] = row["n"]
-    return counts
+    parts = in_arrow(rows, run, "bucket long, raw long, target long")
+    raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for row in parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
+        raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
+    return raw, target
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -111,15 +124,14 @@ def judged(rows: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD) ->
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def trusted_ids(labels: DataFrame, id_col="doc_id", label_col="quality") -> DataFrame:
-    """The different ids of all rows marked 1."""
-    return labels.where(F.col(quoted(label_col)) == 1).select(F.col(quoted(id_col)).alias(ID)).distinct()
+def trusted_rows(labels: DataFrame, id_col="doc_id", label_col="quality", bound: int = TRUSTED) -> list:
+    """Ids of at most ``bound`` rows marked 1, chosen by a hash of the id."""
+    good: Column = F.col("label") == 1
+    return [key for key, _ in labelled_sample(labels, id_col, label_col, bound, good)]
 
 
-def fit(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_col="text") -> np.ndarray:
-    """Log ratios by bucket. Of the texts only those of trusted rows may move, where their ids are too many to send."""
-    rows = intake(docs, id_col, text_col)
-    return log_ratios(gram_counts(rows), gram_counts(rows.join(trusted, ID, "left_semi")))
+def fit(docs: DataFrame, trusted: list, id_col="doc_id", text_col="text") -> np.ndarray:
+    return log_ratios(*gram_counts(intake(docs, id_col, text_col), trusted))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", *, threshold=THRESHOLD) -> DataFrame:
@@ -128,11 +140,11 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_c
     Null and empty texts have no words and fail. Null ids are judged but never trusted; repeated rows count
     each. Without trusted rows all ratios are 0, so only the limits decide. An empty table gives no rows.
     """
-    ratios = fit(docs, trusted_ids(labels, id_col), id_col, text_col)
+    ratios = fit(docs, trusted_rows(labels, id_col), id_col, text_col)
     return judged(intake(docs, id_col, text_col), ratios, threshold).withColumnRenamed(ID, id_col)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", *, threshold=THRESHOLD) -> DataFrame:
-    """The rows that are kept, with all their columns: those that ``quality_verdicts`` keeps, repeated ones too."""
-    ratios = fit(docs, trusted_ids(labels, id_col), id_col, text_col)
+    """The rows that are kept, with all their columns."""
+    ratios = fit(docs, trusted_rows(labels, id_col), id_col, text_col)
     return judged(packed_rows(docs, id_col, text_col), ratios, threshold).where("kept").select("row.*")
