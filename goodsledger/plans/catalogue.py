@@ -6,7 +6,7 @@ import importlib
 
 from goodsledger.plans.registry import QUERIES, Inputs
 
-MODULES = ("reconciliation", "lifecycle_queries", "review_queries", "document_queries")
+MODULES = ("reconciliation", "lifecycle_queries", "review_queries", "document_queries", "intake_queries")
 
 for _name in MODULES:
     importlib.import_module(f"goodsledger.plans.{_name}")

@@ -48,25 +48,43 @@ FILE_SPAN = 1 << 40
 
 
 def read_catalog(spark: SparkSession, path: str, kind: str, fmt: str = "json", row_tag: str = "item") -> DataFrame:
-    """Catalog of one kind from any number of files: a JSON array, an object with ``items``, or XML elements ``row_tag``.
+    """Catalog of one kind from any number of files.
 
-    ``entity_pos`` is unique: the file's place among the paths, then the entity's place in the file. XML entities
-    need an id, a name or a code.
+    ``json``: a file is one JSON array, or one object with ``items``, and is read whole. ``lines``: one JSON entity per
+    line, also inside an array or ``items`` written that way; files of any size are split, lines that are no entity
+    are left out. ``xml``: elements ``row_tag``; entities need an id, a name or a code.
+
+    ``entity_pos`` is unique and follows the order of the paths, then that of the entities in a file.
     """
     if fmt == "xml":
         raw = spark.read.format("xml").option("rowTag", row_tag).schema(_ENTITY).load(path)
-        placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_nth"))
-        within = Window.partitionBy("_file").orderBy("_nth")
-        placed = _numbered(placed, raw.inputFiles()).withColumn(
-            "entity_pos", F.col("_place") * FILE_SPAN + F.row_number().over(within).cast("long") - 1
-        )
         usable = F.coalesce(*[F.nullif(k, F.lit("")) for k in ("id", "name", "code")])
-        return _entities(placed.where(usable.isNotNull()), kind)
+        return _entities(_placed(raw).where(usable.isNotNull()), kind)
+    if fmt == "lines":
+        placed = _placed(spark.read.text(path))
+        body = F.regexp_replace(F.trim(F.regexp_replace("value", "^\ufeff", "")), r"\s*,$", "")
+        found = F.from_json(body, f"{_ENTITY}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+        rows = placed.where(body.startswith("{") & body.endswith("}")).select("entity_pos", found.alias("e"))
+        return _entities(rows.where(F.col("e._broken").isNull()).select("entity_pos", "e.*"), kind)
+    if fmt != "json":
+        raise ValueError(f"unknown catalog format {fmt!r}")
     raw = spark.read.text(path, wholetext=True)
     texts = raw.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_file"))
     return parse_catalog(_numbered(texts, raw.inputFiles()), kind)
 
 
+def _placed(raw: DataFrame) -> DataFrame:
+    """``entity_pos`` of rows read from split files: the file's place, the split's first byte, the row's place in it.
+
+    A row takes a byte or more, so the rows of a split end before the next split begins; only one split is sorted at a time.
+    """
+    start = F.col("_metadata.file_block_start")
+    rows = raw.select("*", F.col("_metadata.file_path").alias("_file"), start.alias("_start"), F.monotonically_increasing_id().alias("_nth"))
+    within = F.row_number().over(Window.partitionBy("_file", "_start").orderBy("_nth"))
+    position = F.col("_place") * FILE_SPAN + F.col("_start") + within.cast("long") - 1
+    return _numbered(rows, raw.inputFiles()).withColumn("entity_pos", position).drop("_file", "_start", "_nth", "_place")
+
+
 def _numbered(rows: DataFrame, files: list[str]) -> DataFrame:
     """``_place``: the row's file among all files of the source, in order of their paths."""
     scheme = re.compile("^([a-z0-9]+:)/+")  # the two ways to name a file differ in the slashes behind the scheme
