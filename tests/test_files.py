@@ -2,19 +2,26 @@
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from goodsledger.operators.catalog import match_names
 from goodsledger.operators.register import number_documents, write_register
 from goodsledger.schemas import REGISTER_HEADERS
 from goodsledger.sources.catalogs import read_catalog
 from goodsledger.sources.registers import (
+    WIDTHS,
+    cells,
     read_files,
     read_legacy_items,
     read_register,
     read_summary_blocks,
+    register_rows,
     register_to_header,
     register_to_items,
+    with_records,
 )
-from goodsledger.streaming.intake import intake_issues, intake_stream
+from goodsledger.streaming.intake import intake_issues, intake_stream, write_intake
 
 REGISTER = (
     "﻿Реестр\r\r\n\r\r\nНакладные\r\r\n"
@@ -117,3 +124,53 @@ def test_register_files_keep_documents_together(spark, tmp_path):
     assert len({f.parent for f in files}) <= 4
     assert sorted(i for ids in seen for i in set(ids)) == sorted(str(i) for i in range(20))
     assert all(ids[k : k + 2] == [ids[k]] * 2 for ids in seen for k in range(0, len(ids), 2))
+
+
+def test_cells_of_records(spark):
+    wide = [str(n) for n in range(WIDTHS[1] + 5)]
+    cases = {
+        "a,b,c": ["a", "b", "c"], "": [""], "a,": ["a", ""], ",,": ["", "", ""], '"x, ""y""",,z': ["x, \"y\"", "", "z"], '"",1': ["", "1"],
+        '"open,1': ["open,1"], " p , q ": [" p ", " q "], '"l1\nl2",2': ["l1\nl2", "2"], ",".join(wide): wide,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "record string")
+    got = {r.record: r.found for r in rows.select("record", cells(F.col("record")).alias("found")).collect()}
+    assert got == cases | {None: None}
+    over = spark.createDataFrame([("," * WIDTHS[-1],)], "record string")
+    with pytest.raises(Exception, match="more than"):
+        over.select(cells(F.col("record"))).collect()
+
+
+def test_last_column_of_a_name_counts(spark):
+    text = "№ Документа,Наименование товара,Цена,Цена\n7,Чай,1,2\n,Соль,3\n"
+    rows = register_to_items(register_rows(with_records(spark.createDataFrame([("f", text)], "file string, text string"))))
+    assert [(r.name, r.price) for r in rows.orderBy("line_number").collect()] == [("Чай", 2.0), ("Соль", 0.0)]
+
+
+def test_catalog_by_lines_is_split_and_keeps_its_order(spark, tmp_path):
+    entities = [json.dumps({"id": str(n), "name": f"товар {n}"}, ensure_ascii=False) for n in range(500)]
+    (tmp_path / "a.json").write_text("[\n" + ",\n".join(entities[:300]) + "\n]\n", encoding="utf-8")
+    (tmp_path / "b.json").write_text('{"items": [\n' + "\n".join(entities[300:]) + '\n{"id": broken}\n\n]}\n', encoding="utf-8")
+    (tmp_path / "c.json").write_text("", encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        found = read_catalog(spark, str(tmp_path), "product", "lines")
+        rows = found.orderBy("entity_pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.id for r in rows] == [str(n) for n in range(500)]
+    assert len({r.entity_pos for r in rows}) == 500
+
+
+def test_landed_intake_repeats_a_batch_without_doubles(spark, tmp_path):
+    source, target, mark = (str(tmp_path / n) for n in ("landed", "out", "mark"))
+    first = spark.createDataFrame([("a", REGISTER), ("none", ""), ("null", None)], "file string, text string")
+    first.write.mode("append").parquet(source)
+    intake_stream(spark, source, target, mark, landed=True).awaitTermination()
+    spark.createDataFrame([("b", SUMMARY)], "file string, text string").write.mode("append").parquet(source)
+    intake_stream(spark, source, target, mark, landed=True).awaitTermination()
+    write_intake(first, 0, target)
+    items = spark.read.parquet(f"{target}/items").collect()
+    assert sorted((r.batch, r.file, r.name) for r in items) == [(0, "a", "Сок, 1 л"), (0, "a", "Чай"), (1, "b", "Мука")]
+    rejects = spark.read.parquet(f"{target}/rejects").collect()
+    assert sorted(r.file for r in rejects) == ["none", "null"]
