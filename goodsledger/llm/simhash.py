@@ -7,7 +7,9 @@ is made at one key only, that of its first two shared blocks. A key with more th
 joined but split again: the bits outside the key form k + 2 smaller blocks, of which a close pair again shares
 two. With k = 2 the third split fixes 56 bits, so that no bucket ever holds more than 256 values.
 
-``drop_near_duplicates`` links texts by the Jaccard similarity of their shingles, as an exact set-similarity join.
+``drop_near_duplicates`` takes texts whose SimHashes differ in at most ``NEAR_BITS`` bits from the same blocks, and
+verifies them by the Jaccard similarity of their shingles. Fingerprints further apart may belong to texts as similar, so
+the rest comes from an exact set-similarity join.
 Elements are put in one global order, rarest first by hashed counters over all texts. Two similar sets share one of
 the first elements of both (prefix filter), and the first one they share leaves enough behind it on both sides
 (length and positional filter). The pairs found are verified on the whole sets. At each element the two outermost
@@ -227,6 +229,8 @@ def simhash_components(docs: DataFrame, id_col="doc_id", text_col="text", *, shi
 WORDS, SIMILARITY = 5, 0.8
 #: Counters of shingles by the first bits of their hash; they only order the shingles.
 COUNTER_BITS = 18
+#: Bits in which fingerprints of texts that are compared first may differ.
+NEAR_BITS = 3
 #: Texts to be compared up to which their hashes are sent to every task instead of being shuffled.
 SENT = 50_000
 #: Taken off bounds that are products of fractions, so that rounding never loses a pair.
@@ -287,13 +291,14 @@ def odd_sketch(found: np.ndarray) -> np.ndarray:
 
 
 def shingle_marks(rows: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
-    """(_id, _sha, digest, sizes and first elements of both sets); no second set where nothing is repeated."""
+    """(_id, _sha, lanes, digest, sizes and first elements of both sets); no second set where nothing is repeated."""
     sent = rows.sparkSession.sparkContext.broadcast(shingle_counts(rows, shingle, seed))
 
     def build(texts: list[bytes]) -> dict:
-        out = {name: [] for name in ("digest", *(f"{form}_{what}" for form in ("counted", "distinct") for what in ("size", "keys", "sketch")))}
+        out = {name: [] for name in ("lanes", "digest", *(f"{form}_{what}" for form in ("counted", "distinct") for what in ("size", "keys", "sketch")))}
         for text in texts:
             counted, distinct = shingle_sets(text, shingle, seed)
+            out["lanes"].append([signed(majority(shingle_hashes(text, shingle, seed)))])
             out["digest"].append(sha256(counted.tobytes()).hexdigest())
             distinct = distinct[: len(distinct) if len(distinct) < len(counted) else 0]
             for name, found in (("counted", counted), ("distinct", distinct)):
@@ -303,7 +308,14 @@ def shingle_marks(rows: DataFrame, shingle: int, seed: int, similarity: float) -
         return out
 
     form = "{0}_size int, {0}_keys array<long>, {0}_sketch array<long>"
-    return derive(rows, build, f"digest string, {form.format('counted')}, {form.format('distinct')}")
+    return derive(rows, build, f"lanes array<long>, digest string, {form.format('counted')}, {form.format('distinct')}")
+
+
+def fingerprint_pairs(prints: DataFrame, max_bits: int) -> DataFrame:
+    """Pairs (a < b) of nodes whose fingerprints of one lane are close; equal ones pair with the smallest of them only."""
+    least = prints.groupBy("lanes").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    equal = least.join(prints.select("lanes", F.col("node").alias("b")), "lanes").where("a < b").select("a", "b")
+    return close_pairs(prints.select("node", "lanes"), 1, max_bits, max_bits, max_bits).union(equal)
 
 
 def candidates(left: DataFrame, right: DataFrame, apart, similarity: float) -> DataFrame:
@@ -377,7 +389,7 @@ def may_be_alike(similarity: float):
 
 def similar_classes(marks: DataFrame, rows: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
     """Stored (digest, root): the class of every distinct counted set under the links of this similarity or more."""
-    columns = ("_sha", "counted_size", "counted_keys", "counted_sketch", "distinct_size", "distinct_keys", "distinct_sketch")
+    columns = ("_sha", "lanes", "counted_size", "counted_keys", "counted_sketch", "distinct_size", "distinct_keys", "distinct_sketch")
     first = F.min_by(F.struct(*columns), "_sha").alias("first")
     prints = marks.groupBy("digest").agg(first).select("digest", "first.*")
     prints = store(prints.withColumn("node", F.monotonically_increasing_id()), "shingle-nodes")
@@ -392,9 +404,11 @@ def similar_classes(marks: DataFrame, rows: DataFrame, shingle: int, seed: int,
     is_hub = (F.col("node") == F.col("low")) | (F.col("node") == F.col("high"))
     shared = store(keys.join(ends, "key").withColumn("hub", is_hub).drop("low", "high"), "shingle-keys")
 
-    # first two nodes of each key against all others; then all pairs that these links leave in different classes
+    # texts with close fingerprints, and the first two nodes of each key against all others; then all pairs that these
+    # links leave in different classes
     hubs, every = shared.where("hub").drop("hub"), shared.drop("hub")
-    pairs = store(candidates(hubs, every, F.col("a_node") != F.col("b_node"), similarity), "shingle-pairs")
+    first = candidates(hubs, every, F.col("a_node") != F.col("b_node"), similarity)
+    pairs = store(first.union(fingerprint_pairs(prints, NEAR_BITS)).distinct(), "shingle-pairs")
     links = similar(pairs, prints, rows, shingle, seed, similarity)
     done, still = pairs, every
     for turn in range(HUB_TURNS + 1):
