@@ -112,15 +112,22 @@ def unpacked_numbers(data: bytes) -> np.ndarray:
     return numbers
 
 
+def block_batches(found, id_arrow):
+    """The rows of each block. Nothing of a block is held while the next one is read."""
+    for at, block in found:
+        words, place = block.ranked()
+        yield batch_of(at, len(words), id_arrow, number=np.arange(len(words), dtype=np.int32), word=words)
+        del words
+        yield batch_of(at, len(block.keys), id_arrow, key=block.keys, positions=block.positions(place))
+        del block, place
+
+
 def tokenized(rows: DataFrame, block_bytes: int) -> DataFrame:
     """Stored rows of two kinds: (block, number, word), the commonest word first, and (block, _id, positions)."""
     id_arrow = to_arrow_type(rows.schema[ID].dataType)
 
     def run(batches):
-        for at, block in blocks(batches, block_bytes):
-            words, place = block.ranked()
-            yield batch_of(at, len(words), id_arrow, number=np.arange(len(words), dtype=np.int32), word=words)
-            yield batch_of(at, len(block.keys), id_arrow, key=block.keys, positions=block.positions(place))
+        yield from block_batches(blocks(batches, block_bytes), id_arrow)
 
     schema = f"block long, number int, word string, {ID} {id_type(rows)}, positions binary"
     return store_bucketed(in_arrow(rows, run, schema), "block", "words")
