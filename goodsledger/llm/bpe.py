@@ -23,6 +23,8 @@ from goodsledger.llm.common import ID, TEXT, id_type, in_arrow, intake, store_bu
 BLOCK_BYTES = 24 << 20
 #: Numbers that are packed at a time, and word rows whose ids are packed together.
 AT_ONCE, WORD_ROWS = 200_000, 100_000
+#: Documents that leave a task together.
+DOCUMENTS = 512
 
 
 class Block:
@@ -204,20 +206,44 @@ def reassemble(positions: pa.Table, words: pa.Table, kind: str) -> pa.Table:
     return pa.table({ID: positions[ID], "ids": pa.array(out, pa.binary())})
 
 
-def encode(docs: DataFrame, id_col="doc_id", text_col="text", *, ranks: str | None = None, block_bytes=BLOCK_BYTES) -> DataFrame:
-    """(_id, ids) per row; ids are little-endian unsigned 32-bit integers.
-
-    Null and empty texts have no ids. Null and repeated ids stay as they are. An empty table gives no rows.
-    """
+def _by_block(docs: DataFrame, id_col: str, text_col: str, ranks: str | None, block_bytes: int, finish, more: str) -> DataFrame:
+    """Rows (_id, ids) of the blocks; ``finish(batch, rank table)`` adds the columns ``more`` where the ids are made."""
     rows = intake(docs, id_col, text_col)
     table = bpe_tables.rank_file(ranks or bpe_tables.ranks_path())
     kind = width(table)
     found = tokenized(rows, block_bytes)
     words = found.where(F.col("number").isNotNull()).select("block", "number", "word")
-    coded = encoded_words(words, rows.sparkSession.sparkContext.broadcast(table), kind)
+    sent = rows.sparkSession.sparkContext.broadcast(table)
+    coded = encoded_words(words, sent, kind)
     positions = found.where(F.col("number").isNull()).select("block", ID, "positions")
     blocked = positions.groupBy("block").cogroup(coded.groupBy("block"))
-    return blocked.applyInArrow(lambda left, right: reassemble(left, right, kind), f"{ID} {id_type(rows)}, ids binary")
+
+    def run(left, right):
+        made = reassemble(left, right, kind)
+        # a block without documents has no batches; finish then sees an empty one
+        parts = made.to_batches(DOCUMENTS) or [pa.RecordBatch.from_pylist([], made.schema)]
+        return pa.Table.from_batches(parts if finish is None else [finish(part, sent.value) for part in parts])
+
+    return blocked.applyInArrow(run, f"{ID} {id_type(rows)}, ids binary{more}")
+
+
+def encode(docs: DataFrame, id_col="doc_id", text_col="text", *, ranks: str | None = None, block_bytes=BLOCK_BYTES) -> DataFrame:
+    """(_id, ids) per row; ids are little-endian unsigned 32-bit integers.
+
+    Null and empty texts have no ids. Null and repeated ids stay as they are. An empty table gives no rows.
+    """
+    return _by_block(docs, id_col, text_col, ranks, block_bytes, None, "")
+
+
+def with_decoded(batch: pa.RecordBatch, ranks: bytes) -> pa.RecordBatch:
+    """A batch (_id, ids) beside the bytes of its ids."""
+    table = bpe_tables.byte_table(ranks)
+    decoded = []
+    for ids in batch.column("ids").to_pylist():
+        found = table.take(pa.array(np.frombuffer(ids or b"", dtype="<u4")))
+        decoded.append(joined(found))
+    kept = {name: batch.column(name) for name in (ID, "ids")}
+    return pa.RecordBatch.from_pydict(kept | {"decoded": pa.array(decoded, pa.binary())})
 
 
 def decode(coded: DataFrame, *, ranks: str | None = None) -> DataFrame:
@@ -225,14 +251,8 @@ def decode(coded: DataFrame, *, ranks: str | None = None) -> DataFrame:
     sent = coded.sparkSession.sparkContext.broadcast(bpe_tables.rank_file(ranks or bpe_tables.ranks_path()))
 
     def run(batches):
-        table = bpe_tables.byte_table(sent.value)
         for batch in batches:
-            decoded = []
-            for ids in batch.column("ids").to_pylist():
-                found = table.take(pa.array(np.frombuffer(ids or b"", dtype="<u4")))
-                decoded.append(joined(found))
-            kept = {name: batch.column(name) for name in (ID, "ids")}
-            yield pa.RecordBatch.from_pydict(kept | {"decoded": pa.array(decoded, pa.binary())})
+            yield with_decoded(batch, sent.value)
 
     return in_arrow(coded.select(ID, "ids"), run, f"{ID} {id_type(coded)}, ids binary, decoded binary")
 
@@ -246,8 +266,11 @@ def joined(found: pa.LargeBinaryArray) -> bytes:
 
 
 def round_trip(docs: DataFrame, id_col="doc_id", text_col="text", *, ranks: str | None = None) -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode(encode(docs, id_col, text_col, ranks=ranks), ranks=ranks)
+    """Per row: id, n_tokens, ids_sha256, decoded_sha256.
+
+    The ids are decoded where they are put together, so that a task of that stage has one Python worker, not two.
+    """
+    both = _by_block(docs, id_col, text_col, ranks, BLOCK_BYTES, with_decoded, ", decoded binary")
     return both.select(
         F.col(ID).alias(id_col),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -225,3 +225,13 @@ def test_pipeline_stages_keep_columns_and_act(spark, sf_dir, tables):
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
     assert {r["doc_id"] for r in rows} == texts[3].keys()
     assert corpus_pipeline.run(spark, sf_dir).count() == len(rows)
+
+
+def test_round_trip_decodes_where_ids_are_made(spark, edge_docs):
+    both = bpe.round_trip(edge_docs)
+    # tokens, words and blocks: no Python stage of its own for decoding
+    text = both._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("MapInArrow") == 1 and text.count("FlatMapCoGroupsInArrow") == 1
+    want = bpe.decode(bpe.encode(edge_docs)).selectExpr("_id as doc_id", "sha2(ids, 256) as i", "sha2(decoded, 256) as d")
+    assert sorted(map(tuple, want.collect()), key=repr) == sorted(
+        map(tuple, both.select("doc_id", "ids_sha256", "decoded_sha256").collect()), key=repr)
