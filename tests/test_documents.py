@@ -155,3 +155,14 @@ def test_texts_without_data_go_to_manual_review(parsed):
     assert parsed["prose"]["items"] == [] and parsed["prose"].invoice_number is None
     assert parsed["prose"].parser_provider == "manual_review_empty_sheet" and len(parsed["prose"].parser_notes) == 2
     assert parsed["inline"].parser_provider == "deterministic_parser"
+
+
+def test_the_query_returns_every_field_and_the_items(spark, tmp_path):
+    from goodsledger.operators.extract import HEADER_COLUMNS
+    from goodsledger.plans.catalogue import queries
+
+    spark.createDataFrame([(1, INLINE), (2, PROSE)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in queries()["parse_documents"](spark, str(tmp_path)).collect()}
+    assert {*HEADER_COLUMNS, "items", "n_items", "parser_notes", "parser_provider", "raw_text"} < set(rows[1].asDict())
+    assert items(rows[1]) == [("Гречка ядрица", 4.0, "кг", 80.0, 320.0, None, None)] and rows[1].n_items == 1
+    assert rows[2]["items"] == [] and rows[2].raw_text == PROSE
