@@ -33,8 +33,9 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 def words_of(text: str) -> Counter:
     """Counts of the runs of letters, in small letters. Runs of other numerals, which hold no letter, are no words."""
     found = Counter(WORD.findall(text.lower()))
-    for word in [w for w in found if not w.isalpha() and not any(map(str.isalpha, w))]:
-        del found[word]
+    if not "".join(found).isalpha():
+        for word in [w for w in found if not w.isalpha() and not any(map(str.isalpha, w))]:
+            del found[word]
     return found
 
 
@@ -77,11 +78,13 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             texts = batch.column(TEXT).cast(pa.binary()).to_pylist()
             done = 0
             for group in text_groups(texts):
-                words: dict[str, Counter] = {}
+                spoken: dict[str, list[bytes]] = {}
                 for lang, text in zip(langs[done : done + len(group)], group, strict=True):
-                    words.setdefault(lang, Counter()).update(words_of(text.decode()))
+                    spoken.setdefault(lang, []).append(text)
                 done += len(group)
-                for lang, counted in words.items():
+                for lang, said in spoken.items():
+                    # a line break ends a word like the end of a text
+                    counted = words_of(b"\n".join(said).decode())
                     total = counts.setdefault(lang, np.zeros(len(ORDERS) * BUCKETS, np.int64))
                     times = np.fromiter(counted.values(), np.float64, len(counted))
                     for word, bucket in grams(list(counted)):
@@ -135,23 +138,36 @@ def mixture(likelihood, times, starts, active) -> tuple[np.ndarray, np.ndarray]:
 
     ``likelihood`` and ``times`` have a row per distinct word, documents one after the other from ``starts``.
     """
-    document = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(times))))
-    size = np.add.reduceat(times, starts)[:, None]
+    lengths = np.diff(np.append(starts, len(times)))
     shares = active / active.sum(1, keepdims=True)
-    moving = np.ones(len(starts), dtype=bool)
+    # the documents whose shares still move, with their words; the others' words are not gone through again
+    moving, words, counts, begins, sizes = np.arange(len(starts)), likelihood, times, starts, lengths
     for _ in range(ROUNDS):
-        joint = likelihood * shares[document]
-        joint *= (times / np.maximum(joint.sum(1), 1e-300))[:, None]
-        fresh = np.add.reduceat(joint, starts) / size
-        change = np.abs(fresh - shares).max(1)
-        shares[moving] = fresh[moving]
-        moving &= change >= STILL
-        if not moving.any():
+        joint = np.repeat(shares[moving], sizes, axis=0)
+        joint *= words
+        joint *= (counts / np.maximum(across(joint), 1e-300))[:, None]
+        fresh = np.add.reduceat(joint, begins) / np.add.reduceat(counts, begins)[:, None]
+        change = np.abs(fresh - shares[moving]).max(1)
+        shares[moving] = fresh
+        still = change >= STILL
+        if not still.any():
             break
-    inner = np.log(np.maximum((likelihood * shares[document]).sum(1), 1e-300))
+        if not still.all():
+            kept = np.repeat(still, sizes)
+            moving, words, counts, sizes = moving[still], words[kept], counts[kept], sizes[still]
+            begins = np.cumsum(sizes) - sizes
+    inner = np.log(np.maximum(across(likelihood * np.repeat(shares, lengths, axis=0)), 1e-300))
     return shares, np.add.reduceat(times * inner, starts)
 
 
+def across(values: np.ndarray) -> np.ndarray:
+    """Sums over the languages, added in order; whole columns at a time, as a row is short."""
+    total = values[:, 0].copy()
+    for lang in range(1, values.shape[1]):
+        total += values[:, lang]
+    return total
+
+
 def largest(shares: np.ndarray) -> np.ndarray:
     """The language with the largest share of each row; shares equal to nine places go to the first in order."""
     return np.round(shares, 9).argmax(1)
@@ -190,16 +206,15 @@ def language_sets(likelihood, times, starts) -> np.ndarray:
 def shares_of(texts: list[bytes], model: np.ndarray) -> list[np.ndarray | None]:
     """Language shares per text, None for a text without letters."""
     counted = [words_of(t.decode()) for t in texts]
-    numbers: dict[str, int] = {}
-    at = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in c), np.int64, len(c)) for c in counted]
     filled = [i for i, c in enumerate(counted) if c]
     if not filled or not model.shape[1]:
         return [None] * len(texts)
-    likelihood = np.exp(word_scores(list(numbers), model))
+    words = pa.array([w for c in counted for w in c], pa.large_string()).dictionary_encode()
+    likelihood = np.exp(word_scores(words.dictionary.to_pylist(), model))
     times = np.concatenate([np.fromiter(counted[i].values(), np.float64, len(counted[i])) for i in filled])
     starts = np.cumsum([0] + [len(counted[i]) for i in filled[:-1]])
     found: list[np.ndarray | None] = [None] * len(texts)
-    for i, shares in zip(filled, language_sets(likelihood[np.concatenate([at[i] for i in filled])], times, starts), strict=True):
+    for i, shares in zip(filled, language_sets(likelihood[words.indices.to_numpy()], times, starts), strict=True):
         found[i] = shares
     return found
 

@@ -131,3 +131,15 @@ def test_held_out_languages_are_not_learned(speech):
     changed = speech.selectExpr("doc_id", "text", "if(crc32(cast(doc_id as string)) % 5 = 0, 'zz', lang) as lang")
     (a, x), (b, y) = languages.fit(speech), languages.fit(changed)
     assert a == b and np.array_equal(x, y)
+
+
+def test_settled_documents_are_not_gone_through_again(monkeypatch):
+    """Each round went through the words of all documents, settled or not."""
+    likelihood = np.array([[1.0, 1e-9]] * 50 + [[1.0, 0.9], [0.8, 1.0], [1.0, 0.7]])
+    times, starts, seen, sums = np.ones(53), np.array([0, 50]), [], languages.across
+    monkeypatch.setattr(languages, "across", lambda values: seen.append(len(values)) or sums(values))
+    both, fit = languages.mixture(likelihood, times, starts, np.ones((2, 2)))
+    assert seen[0] == 53 and seen[-2] == 3 and seen[-1] == 53
+    for d, rows in enumerate((slice(0, 50), slice(50, 53))):
+        alone, alone_fit = languages.mixture(likelihood[rows], times[rows], np.array([0]), np.ones((1, 2)))
+        assert np.array_equal(both[d], alone[0]) and fit[d] == alone_fit[0]
