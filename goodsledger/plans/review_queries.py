@@ -651,8 +651,10 @@ def _document_totals(t: Inputs):
 
 
 def register_rows_of(t: Inputs):
-    receivings, headers, lines, items = reviews(t)
-    return register.build_register(receivings, items, review_documents(t), headers, lines)
+    """Register rows of the reviews; the requests are written once, as headers, lines, items and documents read them."""
+    requests = stored_requests(t)
+    receivings, headers, lines, items = review.create_reviews(requests, None)
+    return register.build_register(receivings, items, review_documents(t, requests), headers, lines)
 
 
 REGISTER_SQL = REVIEW_SQL + """,
